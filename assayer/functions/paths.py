@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Names that results must agree on.
 EXCLUDED_DIRS = (".git", ".hypothesis", ".pytest_cache", ".mypy_cache", ".ruff_cache", "__pycache__")
@@ -151,14 +152,14 @@ def matches_name_globs(path: Column, patterns: Iterable[str]) -> Column:
     return path.rlike(any_of_regex(name_glob_regex(p) for p in patterns))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def name_globs_to_regex(patterns: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Glob arrays of a rules table -> one regex per row (the rules side only, never the data)."""
     for batch in patterns:
         yield batch.map(lambda globs: any_of_regex(map(name_glob_regex, globs if globs is not None else ())))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def tree_globs_to_regex(patterns: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Like :func:`name_globs_to_regex` for tree globs."""
     for batch in patterns:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions.keys import canonical_json
-from assayer.functions.paths import EXCLUDED_DIRS, has_excluded_segment
+from assayer.functions.paths import EXCLUDED_DIRS, ancestors, has_excluded_segment
 from assayer.functions.text import scrub
 from assayer.operators.ordered import list_parts
 from assayer.operators.scrubbing import scrub_with_registry
@@ -122,7 +122,7 @@ def _unified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     before.splitlines(keepends=True), after.splitlines(keepends=True), f"a/{path}", f"b/{path}"
                 )
             )
-            diffs.append(text if text.endswith("\n") else text + "\n")
+            diffs.append(text if not text or text.endswith("\n") else text + "\n")
         yield batch[["tree_id", "path", "change"]].assign(diff=diffs)
 
 
@@ -203,8 +203,6 @@ def nearest_marked_dir(changed: DataFrame, marked_dirs: DataFrame) -> DataFrame:
     ``marked_dirs`` has one ``dir`` per row. The best directory per path is found
     by a partial maximum before the shuffle, so busy directories do not pile up.
     """
-    from assayer.functions.paths import ancestors
-
     found = (
         changed.select("path", F.explode(ancestors(F.col("path"))).alias("dir"))
         .join(marked_dirs.select("dir").distinct(), "dir", "inner")

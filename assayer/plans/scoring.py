@@ -275,7 +275,7 @@ def comparability(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def repeat_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = derive(spark, sf_dir, inputs.RUNS).select("event_id", "task_id", "agent")
-    numbered = running(runs, ["task_id", "agent"], ["event_id"], number="repeat", rows_per_split=100_000)
+    numbered = running(runs, ["task_id", "agent"], ["event_id"], number="repeat")
     return numbered.withColumn("repeat", F.col("repeat") - 1)
 
 
