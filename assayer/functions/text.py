@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from assayer.functions.binding import let
+
 # Placeholders, key patterns and line breaks that results must agree on.
 REDACTED = "<REDACTED>"
 REDACTED_BINARY = "<REDACTED_BINARY_CHUNK>"
@@ -37,9 +39,12 @@ def normalize(text: Column) -> Column:
 
 def lines_of(text: Column) -> Column:
     """Lines of a text without a trailing empty line."""
-    parts = F.split(text, LINE_BREAK, -1)
-    last = F.element_at(parts, -1)
-    return F.when(last == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    return let(
+        F.split(text, LINE_BREAK, -1),
+        lambda parts: F.when(
+            F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)
+        ).otherwise(parts),
+    )
 
 
 def registry_literal(secrets: Mapping[str, str]) -> Column:
@@ -116,7 +121,7 @@ def utf8_tail(text: Column, limit: int = TAIL_BYTES) -> Column:
 
 def first_line_or_unknown(text: Column, limit: int = 200) -> Column:
     """First line of a captured version output, at most ``limit`` characters."""
-    head = F.element_at(lines_of(strip(text)), 1)
+    head = F.try_element_at(lines_of(strip(text)), F.lit(1))
     return F.coalesce(F.nullif(F.left(head, F.lit(limit)), F.lit("")), F.lit(UNKNOWN_VERSION))
 
 

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from assayer.functions.binding import let
 from assayer.functions.text import lines_of, strip
 
 # The field names and phrases the tools print, in order of preference.
@@ -32,54 +33,73 @@ def _usage(cost: Column, tokens_in: Column, tokens_out: Column) -> Column:
     )
 
 
-def _kind(value: Column) -> Column:
-    return F.substring_index(F.schema_of_variant(value), "(", 1)
+def _kind(scalar: Column) -> Column:
+    return F.substring_index(F.schema_of_variant(scalar), "(", 1)
 
 
-def _member(container: Column, key: str, kind: str = "variant") -> Column:
-    return F.try_variant_get(container, f"$.{key}", kind)
+def _is_object(value: Column) -> Column:
+    return F.try_variant_get(value, "$", "map<string,variant>").isNotNull()
+
+
+def _as(value: Column, kind: str) -> Column:
+    return F.try_variant_get(value, "$", kind)
+
+
+def _member(container: Column, key: str) -> Column:
+    return F.try_variant_get(container, f"$.{key}", "variant")
+
+
+def _number(value: Column) -> Column:
+    return (
+        F.when(_as(value, "string").isNull(), F.lit(None).cast("double"))
+        .when(_kind(value) == "STRING", F.regexp_replace(_as(value, "string"), r"^\$", "").try_cast("double"))
+        .when(_kind(value).isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), _as(value, "double"))
+    )
+
+
+def _count(value: Column) -> Column:
+    digits = F.replace(_as(value, "string"), F.lit(","), F.lit(""))
+    return (
+        F.when(digits.isNull(), F.lit(None).cast("bigint"))
+        .when(_kind(value) == "BIGINT", _as(value, "bigint"))
+        .when((_kind(value) == "STRING") & digits.rlike(r"^\s*[+-]?[0-9]+\s*\z"), digits.try_cast("bigint"))
+    )
 
 
 def number_member(container: Column, keys: tuple[str, ...] = COST_KEYS) -> Column:
     """First key holding a number, or text that reads as one after an optional ``$``."""
-    def one(key: str) -> Column:
-        value, text = _member(container, key), _member(container, key, "string")
-        return F.when(
-            _kind(value).isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), _member(container, key, "double")
-        ).when(_kind(value) == "STRING", F.regexp_replace(text, r"^\$", "").try_cast("double"))
-
-    return F.coalesce(*[one(key) for key in keys])
+    return F.coalesce(*[let(_member(container, key), _number) for key in keys])
 
 
 def count_member(container: Column, keys: tuple[str, ...]) -> Column:
     """First key holding an integer, or text that reads as one without its commas."""
-    def one(key: str) -> Column:
-        value, text = _member(container, key), _member(container, key, "string")
-        digits = F.replace(text, F.lit(","), F.lit(""))
-        return F.when(_kind(value) == "BIGINT", _member(container, key, "bigint")).when(
-            (_kind(value) == "STRING") & digits.rlike(r"^\s*[+-]?[0-9]+\s*\z"), digits.try_cast("bigint")
-        )
-
-    return F.coalesce(*[one(key) for key in keys])
+    return F.coalesce(*[let(_member(container, key), _count) for key in keys])
 
 
 def usage_container(payload: Column) -> Column:
     """Where the counts are: ``message.usage``, else ``usage``, else the payload itself."""
-    plain = F.coalesce(_member(payload, "usage"), payload)
-    in_message = F.when(_kind(_member(payload, "message")).startswith("OBJECT"), _member(payload, "message.usage"))
-    return F.coalesce(in_message, plain)
+    message = _member(payload, "message")
+    in_message = F.when(_is_object(message), _member(payload, "message.usage"))
+    return F.coalesce(in_message, _member(payload, "usage"), payload)
 
 
 def line_usage(line: Column) -> Column:
     """Usage stated by one JSON line; every field null for anything but an object."""
-    payload = F.try_parse_json(strip(line))
-    payload = F.when(_kind(payload).startswith("OBJECT"), payload)
-    container = usage_container(payload)
-    return _usage(
-        F.coalesce(number_member(payload), number_member(container)),
-        count_member(container, TOKENS_IN_KEYS),
-        count_member(container, TOKENS_OUT_KEYS),
+    def from_payload(payload: Column) -> Column:
+        return let(
+            usage_container(payload),
+            lambda container: _usage(
+                F.coalesce(number_member(payload), number_member(container)),
+                count_member(container, TOKENS_IN_KEYS),
+                count_member(container, TOKENS_OUT_KEYS),
+            ),
+        )
+
+    nothing = _usage(F.lit(None), F.lit(None), F.lit(None))
+    parsed = let(
+        F.try_parse_json(line), lambda payload: F.when(payload.isNotNull(), from_payload(payload)).otherwise(nothing)
     )
+    return F.when(F.ltrim(line).startswith("{"), parsed).otherwise(nothing)
 
 
 def json_usage(text: Column) -> Column:
@@ -88,9 +108,7 @@ def json_usage(text: Column) -> Column:
     The whole text is one row already, so the lines are folded inside the row
     and nothing is shuffled.
     """
-    stated = F.transform(lines_of(text), line_usage)
-
-    def total(field: str, kind: str) -> Column:
+    def total(stated: Column, field: str, kind: str) -> Column:
         return F.aggregate(
             stated,
             F.lit(None).cast(kind),
@@ -99,7 +117,13 @@ def json_usage(text: Column) -> Column:
             ).otherwise(acc),
         )
 
-    return _usage(total("cost_usd", "double"), total("tokens_in", "bigint"), total("tokens_out", "bigint"))
+    objects = F.filter(F.transform(lines_of(text), strip), lambda line: line.startswith("{"))
+    return let(
+        F.transform(objects, line_usage),
+        lambda stated: _usage(
+            total(stated, "cost_usd", "double"), total(stated, "tokens_in", "bigint"), total(stated, "tokens_out", "bigint")
+        ),
+    )
 
 
 def _first_group(text: Column, pattern: str) -> Column:

@@ -39,11 +39,15 @@ def scrub_with_registry(df: DataFrame, column: str, secrets: DataFrame, band_row
         known = known.withColumn("band", F.floor((F.col("__row") - 1) / band_rows))
     else:
         known = known.withColumn("band", F.lit(0))
-    text = F.col(column)
+    scrubbed = df
     for band in range(bands):
         rows = known.filter(F.col("band") == band)
         registry = rows.agg(
             F.array_sort(F.collect_list(F.struct("rank", "value", "placeholder"))).alias("registry")
         )
-        text = replace_registered(text, registry.scalar())
-    return df.withColumn(column, redact_patterns(text))
+        scrubbed = (
+            scrubbed.withColumn("__registry", registry.scalar())
+            .withColumn(column, replace_registered(F.col(column), F.col("__registry")))
+            .drop("__registry")
+        )
+    return scrubbed.withColumn(column, redact_patterns(F.col(column)))
