@@ -1 +1,308 @@
-"""Queries of this group."""
+"""Stored runs and reports: scans, sinks, latest-wins tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from assayer.operators import latest, planning
+from assayer.operators.ordered import running
+from assayer.plans import inputs
+from assayer.plans.registry import derive, plain, query
+from assayer.plans.scoring import AGGREGATES_SQL, aggregates
+from assayer.sources import reports
+from assayer.session import shared_dir
+
+_RUN_ID = "20240101T000000Z-00000000"
+_FULL = f"""
+SELECT '1.0.0' AS schema_version, '{_RUN_ID}' AS run_id, task_id, '0.1.0' AS task_version, agent, event_id AS seed,
+       passed, CAST(score AS DOUBLE) AS score, error_kind, cost_usd, duration_s, event_id, finished_at
+FROM ({inputs.RUNS})"""
+_REPEAT = "CAST(row_number() OVER (PARTITION BY task_id, agent ORDER BY event_id) - 1 AS INT)"
+_RUNS_SQL = f"(SELECT *, {_REPEAT} AS repeat FROM {plain(_FULL)})"
+
+
+def full_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Derived runs in the shape of a stored run, with one check each."""
+    rows = running(derive(spark, sf_dir, _FULL), ["task_id", "agent"], ["event_id"], number="repeat")
+    null = F.lit(None)
+    result = F.struct(
+        F.col("agent"), null.cast("string").alias("agent_version"), F.lit(0).alias("exit_code"),
+        (F.col("error_kind") == "timeout").alias("timed_out"), F.col("duration_s"), F.col("cost_usd"),
+        null.cast("bigint").alias("tokens_in"), null.cast("bigint").alias("tokens_out"),
+        F.lit("").alias("stdout_tail"), F.lit("").alias("stderr_tail"), F.col("error_kind"),
+        null.cast("string").alias("error_detail"),
+    )
+    check = F.struct(
+        F.lit("pytest_behavior").alias("name"), F.lit("pytest").alias("type"), F.lit(True).alias("required"),
+        F.lit(1.0).alias("weight"), F.col("passed"), F.col("score"), F.lit("{}").alias("detail"),
+        F.lit(0.5).alias("duration_s"), F.lit("none").alias("error_kind"), null.cast("string").alias("error_detail"),
+    )
+    stamp = F.date_format("finished_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return rows.withColumns(
+        {
+            "repeat": (F.col("repeat") - 1).cast("int"), "agent_result": result, "checks": F.array(check),
+            "started_at": stamp, "finished_at": stamp, "task_version_hash": F.sha2("task_id", 256),
+            "env_manifest_hash": F.lit("env"),
+        }
+    )
+
+
+_LIST_COLUMNS = "task_id, agent, repeat, seed, passed, round(score, 10) AS score"
+
+
+def _brief(rows: DataFrame) -> DataFrame:
+    return rows.select("task_id", "agent", "repeat", "seed", "passed", F.round("score", 10).alias("score"))
+
+
+_DOC_ROWS = 50
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One report document per block of 50 events, each a single JSON line."""
+    runs = full_runs(spark, sf_dir)
+    block = F.floor(F.col("event_id") / _DOC_ROWS)
+    record = reports.run_record(runs.columns)
+    documents = runs.groupBy(block.alias("block")).agg(F.collect_list(record).alias("runs"))
+    suite = F.struct(
+        F.lit("derived").alias("name"), F.lit("0.1.0").alias("version"), F.lit("0" * 40).alias("corpus_git_sha"),
+        F.lit("git").alias("corpus_ref_kind"), F.lit(False).alias("corpus_dirty"),
+        F.lit(None).cast("string").alias("calibration_date"), F.array().cast("array<string>").alias("calibration_agents"),
+    )
+    document = F.struct(
+        F.lit("1.0.0").alias("schema_version"), F.col("block").cast("string").alias("run_id"),
+        F.lit("2024-02-01T00:00:00Z").alias("generated_at"), suite.alias("suite"),
+        F.create_map(F.lit("block"), F.col("block").cast("string")).alias("metadata"), F.col("runs"),
+        F.array().cast("array<string>").alias("aggregates"),
+    )
+    return documents.select(F.to_json(document, reports.KEEP_NULLS).alias("value"))
+
+
+@query(
+    "S01_load_reports",
+    f"SELECT CAST(seed // {_DOC_ROWS} AS VARCHAR) AS report_run_id, {_LIST_COLUMNS}, round(cost_usd, 10) AS cost_usd FROM {_RUNS_SQL}",
+)
+def load_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "reports")
+    _documents(spark, sf_dir).write.text(path)
+    loaded = reports.load_reports(spark, path, multi_line=False).withColumnRenamed("run_id", "report_run_id")
+    rows = reports.report_runs(loaded, "report_run_id")
+    return rows.select(
+        "report_run_id", "task_id", "agent", "repeat", "seed", "passed", F.round("score", 10).alias("score"),
+        F.round("agent_result.cost_usd", 10).alias("cost_usd"),
+    )
+
+
+@query("S02_list_runs", f"SELECT {_LIST_COLUMNS} FROM {_RUNS_SQL} ORDER BY task_id, agent, repeat")
+def list_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.list_runs(_brief(full_runs(spark, sf_dir)))
+
+
+@query("O03_runs_order", f"SELECT task_id, agent, repeat FROM {_RUNS_SQL} ORDER BY task_id, agent, repeat")
+def runs_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.list_runs(full_runs(spark, sf_dir).select("task_id", "agent", "repeat"))
+
+
+@query("S03_list_aggregates", f"SELECT agent, task_id, repeats, successes, round(pass_at_1, 10) AS pass_at_1 FROM ({AGGREGATES_SQL}) ORDER BY agent, task_id")
+def list_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = aggregates(spark, sf_dir).select("agent", "task_id", "repeats", "successes", F.round("pass_at_1", 10).alias("pass_at_1"))
+    return reports.list_aggregates(table)
+
+
+_KV = """
+SELECT c_custkey AS suite, 'suite_name' AS key, c_name AS value, c_custkey % 2 AS version FROM {customer}
+UNION ALL SELECT c_custkey, 'corpus_ref_kind', CASE WHEN c_nationkey % 2 = 0 THEN 'git' ELSE 'unknown' END, 0 FROM {customer}
+UNION ALL SELECT c_custkey, 'skipped_adapters_json', c_mktsegment, 0 FROM {customer} WHERE c_custkey % 3 = 0"""
+_KV_NEW = """
+SELECT c_custkey AS suite, 'suite_name' AS key, c_name || ' renamed' AS value, 1 + c_custkey % 2 AS version FROM {customer} WHERE c_custkey % 4 = 0
+UNION ALL SELECT c_custkey, 'shutdown_reason', 'budget_exceeded', 1 FROM {customer} WHERE c_custkey % 5 = 0"""
+
+
+@query("S04_get_metadata", f"SELECT suite, value FROM {plain(_KV)} WHERE key = 'corpus_ref_kind'")
+def get_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive(spark, sf_dir, _KV).filter("key = 'corpus_ref_kind'").select("suite", "value")
+
+
+_MAP_SQL = "'{' || string_agg('\"' || key || '\":\"' || value || '\"', ',' ORDER BY key) || '}'"
+
+
+@query("S04_metadata_map", f"SELECT suite, {_MAP_SQL} AS metadata FROM {plain(_KV)} GROUP BY suite")
+def metadata_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = latest.metadata_map(derive(spark, sf_dir, _KV), ["suite"])
+    return table.select("suite", F.to_json("metadata").alias("metadata"))
+
+
+@query("P09_public_metadata", f"SELECT suite, {_MAP_SQL} AS metadata FROM {plain(_KV)} WHERE key <> 'skipped_adapters_json' GROUP BY suite")
+def public_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = latest.metadata_map(derive(spark, sf_dir, _KV), ["suite"])
+    return table.select("suite", F.to_json(reports.public_metadata(F.col("metadata"))).alias("metadata"))
+
+
+@query(
+    "K04_set_metadata",
+    f"""SELECT suite, key, arg_max(value, version) AS value FROM (SELECT * FROM {plain(_KV)} UNION ALL SELECT * FROM {plain(_KV_NEW)})
+        GROUP BY suite, key""",
+)
+def set_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    merged = latest.set_metadata(derive(spark, sf_dir, _KV), derive(spark, sf_dir, _KV_NEW), ["suite", "key"])
+    return merged.select("suite", "key", "value")
+
+
+@query(
+    "K04_suite_metadata",
+    """SELECT c_custkey, key, CASE key WHEN 'repeats' THEN CAST(c_nationkey AS VARCHAR) WHEN 'run_id' THEN c_name
+       WHEN 'schema_version' THEN '1.0.0' ELSE c_mktsegment END AS value
+       FROM customer, (SELECT unnest(['repeats', 'run_id', 'schema_version', 'suite_name']) AS key)""",
+)
+def suite_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    suites = derive(spark, sf_dir, "SELECT c_custkey, c_name, c_nationkey, c_mktsegment FROM {customer}")
+    values = {
+        "repeats": F.col("c_nationkey"), "run_id": F.col("c_name"), "schema_version": F.lit("1.0.0"),
+        "suite_name": F.col("c_mktsegment"),
+    }
+    return planning.suite_metadata(suites, ["c_custkey"], values)
+
+
+# Saved versions of cells: an order line is a save of its (order, line) cell on its ship date.
+_SAVES = """
+SELECT 'o' || CAST(l_orderkey AS STRING) AS task_id, 'a' || CAST(l_linenumber AS STRING) AS agent, 0 AS repeat, 7 AS seed, 'v' AS task_version_hash,
+       'e' AS env_manifest_hash, l_partkey * 10000000 + l_suppkey * 1000 + l_quantity * 10 + l_tax * 100 AS created_at, l_extendedprice AS score, l_linestatus = 'O' AS passed
+FROM {lineitem}"""
+_NEWEST = "row_number() OVER (PARTITION BY task_id, agent, repeat ORDER BY created_at DESC, score DESC) = 1"
+
+
+def _saves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latest.with_run_key(derive(spark, sf_dir, _SAVES))
+
+
+@query("K01_save_run", f"SELECT task_id, agent, created_at, score FROM {plain(_SAVES)} QUALIFY {_NEWEST}")
+def save_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    saves = _saves(spark, sf_dir)
+    stored, incoming = saves.filter("created_at % 20 < 10"), saves.filter("created_at % 20 >= 10")
+    merged = latest.merge_runs(stored, incoming)
+    return merged.select("task_id", "agent", "created_at", "score")
+
+
+@query("W01_latest_cell", f"SELECT task_id, agent, repeat, created_at, score FROM {plain(_SAVES)} QUALIFY {_NEWEST}")
+def latest_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latest.latest_cell(_saves(spark, sf_dir)).select("task_id", "agent", "repeat", "created_at", "score")
+
+
+@query(
+    "K02_child_checks",
+    f"""SELECT task_id, agent, unnest([0, 1]) AS position, unnest(['tests', 'scope']) AS name, unnest([passed, score > 1000]) AS passed
+        FROM (SELECT * FROM {plain(_SAVES)} QUALIFY {_NEWEST})""",
+)
+def child_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checks = F.array(
+        F.struct(F.lit("tests").alias("name"), F.col("passed").alias("passed")),
+        F.struct(F.lit("scope").alias("name"), (F.col("score") > 1000).alias("passed")),
+    )
+    newest = latest.latest_cell(_saves(spark, sf_dir)).withColumn("checks", checks)
+    children = latest.child_checks(newest)
+    return children.join(newest.select("run_key", "task_id", "agent"), "run_key").select(
+        "task_id", "agent", "position", "name", "passed"
+    )
+
+
+@query(
+    "O04_inspect_cell",
+    f"""SELECT task_id, agent, repeat, created_at, score, 'tests' AS check_name, passed AS check_passed
+        FROM (SELECT * FROM {plain(_SAVES)} QUALIFY {_NEWEST}) WHERE task_id = 'o7' AND agent IN ('a1', 'a2', 'a3', 'a4')""",
+)
+def inspect_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checks = F.array(F.struct(F.lit("tests").alias("name"), F.col("passed").alias("passed")))
+    wanted = _saves(spark, sf_dir).filter((F.col("task_id") == "o7") & F.col("agent").isin("a1", "a2", "a3", "a4"))
+    cell = latest.latest_cell(wanted.withColumn("checks", checks))
+    return cell.select("task_id", "agent", "repeat", "created_at", "score", F.explode("checks").alias("c")).select(
+        "task_id", "agent", "repeat", "created_at", "score", F.col("c.name").alias("check_name"), F.col("c.passed").alias("check_passed")
+    )
+
+
+@query("K03_replace_aggregates", f"SELECT agent, task_id, repeats, successes, round(mean_score, 10) AS mean_score FROM ({AGGREGATES_SQL})")
+def replace_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "aggregates")
+    table = aggregates(spark, sf_dir)
+    reports.replace_aggregates(table.limit(0), path)
+    reports.replace_aggregates(table, path)
+    stored = spark.read.parquet(path)
+    return stored.select("agent", "task_id", "repeats", "successes", F.round("mean_score", 10).alias("mean_score"))
+
+
+@query(
+    "K05_report_document",
+    f"""SELECT 'run' AS kind, task_id, agent, CAST(repeat AS BIGINT) AS n, round(score, 10) AS value FROM {_RUNS_SQL}
+        UNION ALL SELECT 'aggregate', task_id, agent, repeats, round(pass_at_1, 10) FROM ({AGGREGATES_SQL})""",
+)
+def report_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    suite = F.struct(
+        F.lit("derived").alias("name"), F.lit("0.1.0").alias("version"), F.lit("0" * 40).alias("corpus_git_sha"),
+        F.lit("git").alias("corpus_ref_kind"), F.lit(False).alias("corpus_dirty"),
+        F.lit(None).cast("string").alias("calibration_date"), F.array(F.lit("oracle")).alias("calibration_agents"),
+    )
+    metadata = F.create_map(F.lit("repeats"), F.lit("3"), F.lit("skipped_adapters_json"), F.lit("{}"))
+    lines = reports.report_document_lines(
+        full_runs(spark, sf_dir), aggregates(spark, sf_dir), _RUN_ID, "2024-02-01T00:00:00Z", suite, metadata
+    )
+    path = shared_dir(spark, "document")
+    reports.write_report_document(lines, path)
+    members = spark.read.text(path).filter(~F.col("value").startswith("{\"schema_version\":\"1.0.0\",\"run_id\":\"%s\",\"generated_at\"" % _RUN_ID))
+    body = F.ltrim(F.col("value"), F.lit(","))
+    parsed = members.filter(body.startswith("{")).select(
+        F.from_json(body, "task_id string, agent string, repeat bigint, score double, repeats bigint, pass_at_1 double").alias("m")
+    ).select("m.*")
+    is_run = F.col("repeat").isNotNull()
+    return parsed.select(
+        F.when(is_run, "run").otherwise("aggregate").alias("kind"), "task_id", "agent",
+        F.coalesce("repeat", "repeats").alias("n"), F.round(F.coalesce("score", "pass_at_1"), 10).alias("value"),
+    )
+
+
+@query(
+    "K06_runs_jsonl",
+    f"""SELECT task_id, agent, repeat, seed, error_kind, true AS keeps_null_fields FROM {_RUNS_SQL} ORDER BY task_id, agent, repeat""",
+)
+def runs_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = reports.runs_jsonl(full_runs(spark, sf_dir))
+    fields = F.from_json("value", "task_id string, agent string, repeat int, seed bigint, error_kind string")
+    return lines.select(fields.alias("r"), F.col("value").contains('"artifacts_dir":null').alias("keeps_null_fields")).select(
+        "r.*", "keeps_null_fields"
+    )
+
+
+@query("K07_append_jsonl", f"SELECT task_id, agent, repeat, round(cost_usd, 10) AS cost_usd FROM {_RUNS_SQL}")
+def append_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "runs-jsonl")
+    runs = full_runs(spark, sf_dir)
+    for part in ("passed", "NOT passed"):
+        reports.append_runs_jsonl(runs.filter(part), path)
+    stored = spark.read.schema(reports.RUN).json(path)
+    return stored.select("task_id", "agent", "repeat", F.round("agent_result.cost_usd", 10).alias("cost_usd"))
+
+
+@query(
+    "K08_runs_csv",
+    f"""SELECT run_id, task_id, agent, CAST(repeat AS VARCHAR) AS repeat, CASE WHEN passed THEN 'True' ELSE 'False' END AS passed,
+        printf('%.6f', score) AS score, printf('%.6f', duration_s) AS duration_s, CASE WHEN cost_usd IS NOT NULL THEN printf('%.6f', cost_usd) END AS cost_usd,
+        error_kind FROM {_RUNS_SQL} ORDER BY task_id, agent, repeat""",
+)
+def runs_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "runs-csv")
+    runs = full_runs(spark, sf_dir)
+    reports.write_csv(reports.runs_csv(runs), path)
+    schema = ", ".join(f"{c} string" for c in reports.RUN_COLUMNS)
+    return spark.read.schema(schema).option("header", True).csv(path)
+
+
+@query(
+    "K09_aggregates_csv",
+    f"""SELECT task_id, agent, CAST(repeats AS VARCHAR) AS repeats, CAST(successes AS VARCHAR) AS successes, printf('%.6f', pass_at_1) AS pass_at_1,
+        printf('%.6f', mean_score) AS mean_score, printf('%.6f', mean_duration_s) AS mean_duration_s,
+        CASE WHEN mean_cost_usd IS NOT NULL THEN printf('%.6f', mean_cost_usd) END AS mean_cost_usd
+        FROM ({AGGREGATES_SQL})""",
+)
+def aggregates_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "aggregates-csv")
+    reports.write_csv(reports.aggregates_csv(aggregates(spark, sf_dir)), path)
+    schema = ", ".join(f"{c} string" for c in reports.AGGREGATE_COLUMNS)
+    return spark.read.schema(schema).option("header", True).csv(path)
