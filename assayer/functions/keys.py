@@ -29,18 +29,13 @@ def canonical_json_map(entries: Column) -> Column:
 
 def ascii_json(text: Column) -> Column:
     """Escapes the non-ASCII characters of a JSON text as ``\\uXXXX`` (UTF-16 units)."""
-    units = F.hex(F.encode(text, "UTF-16BE"))
-    quads = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.length(units).cast("int") / 4 - 1, F.lit(0)).cast("int")),
-        lambda i: F.substring(units, i * 4 + 1, F.lit(4)),
-    )
-    escaped = F.transform(
-        quads,
-        lambda q: F.when(
-            q <= F.lit("007F"), F.decode(F.unhex(F.substring(q, 3, 2)), "UTF-8")
-        ).otherwise(F.concat(F.lit("\\u"), F.lower(q))),
-    )
-    return F.when(text.rlike(r"[^\x00-\x7f]"), F.array_join(escaped, "")).otherwise(text)
+    def escape(char: Column) -> Column:
+        units = F.lower(F.hex(F.encode(char, "UTF-16BE")))
+        return F.when(char.rlike(r"^[\x00-\x7f]"), char).otherwise(F.regexp_replace(units, "(.{4})", r"\\u$1"))
+
+    return F.when(
+        text.rlike(r"[^\x00-\x7f]"), F.array_join(F.transform(F.split(text, ""), escape), "")
+    ).otherwise(text)
 
 
 def seed_from(payload: Column, base_seed: Column) -> Column:

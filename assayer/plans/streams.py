@@ -1 +1,101 @@
-"""Queries of this group."""
+"""Streaming forms, run over the given tables arriving as files."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from assayer.functions.text import registry_literal
+from assayer.operators.latest import with_run_key
+from assayer.operators.scoring import derive_metrics
+from assayer.plans import inputs
+from assayer.plans.logs import _TURNS as TURNS
+from assayer.plans.planning import _CAP as CAP
+from assayer.plans.registry import derive, plain, query
+from assayer.plans.scoring import AGGREGATES_SQL, flat
+from assayer.plans.stores import _NEWEST as NEWEST
+from assayer.plans.stores import _SAVES as SAVES
+from assayer.plans.trees import redact_sql
+from assayer.session import shared_dir
+from assayer.streaming import runs as streams
+
+_ARRIVALS = 4
+
+
+def _arrive(rows: DataFrame, place: str, purpose: str) -> tuple[str, DataFrame]:
+    """Writes a table as JSON lines in a few arrivals, in the order of ``place``; returns the stream."""
+    spark = rows.sparkSession
+    folder = shared_dir(spark, purpose)
+    for arrival in range(_ARRIVALS):
+        rows.filter(F.expr(place) == arrival).write.mode("append").json(folder)
+    return shared_dir(spark, f"{purpose}-out"), streams.stream_runs(spark, folder, rows.schema, files_per_batch=1)
+
+
+def _finish(writer) -> None:
+    writer.trigger(availableNow=True).start().awaitTermination()
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive(spark, sf_dir, inputs.RUNS).withColumn("finished_at", F.col("finished_at").cast("string"))
+
+
+_BY_DAY = "CAST(least(3, floor((CAST(substring(finished_at, 9, 2) AS INT) - 1) / 8)) AS INT)"
+
+
+@query("T01_stream_runs", f"SELECT event_id, task_id, agent, passed, round(score, 10) AS score FROM {plain(inputs.RUNS)}")
+def stream_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, arriving = _arrive(_runs(spark, sf_dir), "event_id % 4", "stream-runs")
+    _finish(arriving.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state"))
+    return spark.read.parquet(out).select("event_id", "task_id", "agent", "passed", F.round("score", 10).alias("score"))
+
+
+@query("T02_last_wins", f"SELECT task_id, agent, created_at, score FROM {plain(SAVES)} QUALIFY {NEWEST}")
+def last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    saves = with_run_key(derive(spark, sf_dir, SAVES))
+    out, arriving = _arrive(saves, "CAST(score AS BIGINT) % 4", "stream-saves")
+    _finish(streams.upsert(arriving, out, f"{out}-state", ["run_key"], ["created_at", "score"]))
+    return streams.read_upserted(spark, out, ["run_key"], ["created_at", "score"]).select("task_id", "agent", "created_at", "score")
+
+
+@query("T02_first_wins", f"SELECT DISTINCT task_id, agent FROM {plain(SAVES)}")
+def first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    saves = with_run_key(derive(spark, sf_dir, SAVES))
+    out, arriving = _arrive(saves, "CAST(score AS BIGINT) % 4", "stream-first")
+    timed = arriving.withColumn("finished_at", F.timestamp_seconds(F.col("created_at") % 1000000))
+    kept = streams.first_wins(timed, delay="60 days")
+    _finish(kept.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state"))
+    return spark.read.parquet(out).select("task_id", "agent")
+
+
+_LIVE = ("pass_at_1", "pass_at_5", "ci_low", "ci_high", "mean_score", "score_std_dev", "mean_cost_usd")
+
+
+@query("T03_live_aggregates", f"SELECT task_id, agent, repeats, successes, {', '.join(f'round({c}, 8) AS {c}' for c in _LIVE)} FROM ({AGGREGATES_SQL})")
+def live_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, arriving = _arrive(_runs(spark, sf_dir), "event_id % 4", "stream-counts")
+    _finish(streams.write_live_counts(streams.live_counts(arriving), out, f"{out}-state"))
+    counts = streams.read_upserted(spark, out, ["task_id", "agent"], ["repeats"])
+    table = flat(derive_metrics(counts))
+    return table.select("task_id", "agent", "repeats", "successes", *[F.round(c, 8).alias(c) for c in _LIVE])
+
+
+@query(
+    "T04_spend_cap",
+    f"""SELECT event_id, task_id, CAST(spent AS DOUBLE) AS spent_before, spent < {CAP} AS admitted
+        FROM (SELECT *, coalesce(sum(coalesce(CAST(cost_usd AS DECIMAL(18, 6)), 0)) OVER (
+                PARTITION BY task_id ORDER BY finished_at, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent
+              FROM {plain(inputs.RUNS)})""",
+)
+def spend_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, arriving = _arrive(_runs(spark, sf_dir), _BY_DAY, "stream-spend")
+    _finish(streams.spend_cap(arriving, out, f"{out}-state", CAP, "task_id", ["finished_at", "event_id"]))
+    marked = spark.read.parquet(f"{out}/runs")
+    return marked.select("event_id", "task_id", F.col("spent_before").cast("double"), "admitted")
+
+
+@query("T05_scrub_stream", f"SELECT conv_id, turn, role, {redact_sql('replace(text, $$tion$$, $$<WORD>$$)')} AS text FROM {plain(TURNS)}")
+def scrub_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, arriving = _arrive(derive(spark, sf_dir, TURNS), "conv_id % 4", "stream-logs")
+    scrubbed = streams.scrub_stream(arriving, "text", registry_literal({"tion": "WORD"}))
+    _finish(scrubbed.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state"))
+    return spark.read.parquet(out).select("conv_id", "turn", "role", "text")
