@@ -43,7 +43,9 @@ class Evidence:
     ``files(tree_id, path, kind, content)`` current files, ``changes(tree_id,
     path, change)``, ``base_metrics`` / ``metrics(tree_id, path, test_functions,
     asserts)``, ``parsed`` facts of source files, ``outputs(tree_id, name,
-    stdout, exit_code, timed_out, check_timed_out, junit)``.
+    stdout, exit_code, timed_out, check_timed_out, junit)``. When several checks
+    run together, store what they share first (``session.cut_lineage``): source
+    facts cost a Python pass and the changes a full outer join.
     """
 
     files: DataFrame | None = None

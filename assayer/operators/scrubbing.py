@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions.text import redact_patterns, replace_registered
 from assayer.operators.ordered import running
+from assayer.session import cut_lineage
 
 BAND_ROWS = 2_000
 
@@ -28,9 +29,11 @@ def scrub_with_registry(df: DataFrame, column: str, secrets: DataFrame, band_row
     is one bounded row that travels as a scalar subquery. A larger registry only
     adds bands, never a larger row, and the order of replacement stays the same.
     """
-    known = registered_secrets(secrets).select(
-        "value", F.concat(F.lit("<"), F.col("name"), F.lit(">")).alias("placeholder"),
-        (-F.length("value")).alias("rank"),
+    known = cut_lineage(
+        registered_secrets(secrets).select(
+            "value", F.concat(F.lit("<"), F.col("name"), F.lit(">")).alias("placeholder"),
+            (-F.length("value")).alias("rank"),
+        )
     )
     total = known.count()
     bands = max(1, -(-total // band_rows))

@@ -17,7 +17,7 @@ from assayer.operators.scrubbing import scrub_with_registry
 
 TEXT_LIMIT_BYTES = 256 * 1024
 # Prefix lengths of the hashed path at which a tree's entries are folded, widest first.
-FOLD_LEVELS = (4, 2, 0)
+FOLD_LEVELS = (5, 2, 0)
 
 
 def build_snapshot(files: DataFrame, excluded: Sequence[str] = EXCLUDED_DIRS) -> DataFrame:

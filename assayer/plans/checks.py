@@ -57,7 +57,8 @@ def _results(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
     """Results of the named checks of every workspace."""
     types = {check["name"]: check["type"] for check in workspaces.CHECKS}
     chosen = workspaces.specs(spark, sf_dir).filter(F.col("name").isin(*names))
-    found = rules.run_checks(chosen, workspaces.evidence(spark, sf_dir), tuple({types[n] for n in names}))
+    evidence = workspaces.evidence(spark, sf_dir, store=len(names) > 3)
+    found = rules.run_checks(chosen, evidence, tuple({types[n] for n in names}))
     return found.withColumn("score", F.round("score", 10))
 
 
@@ -101,7 +102,8 @@ _VIOLATIONS = {
 
 @query("U05_check_violations", " UNION ALL ".join(sql.format(p=_PARTS) for sql in _VIOLATIONS.values()))
 def violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = rules.check_violations(workspaces.specs(spark, sf_dir), workspaces.evidence(spark, sf_dir))
+    evidence = workspaces.evidence(spark, sf_dir, store=True)
+    found = rules.check_violations(workspaces.specs(spark, sf_dir), evidence)
     return found.select("tree_id", "name", "violation")
 
 

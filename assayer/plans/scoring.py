@@ -237,6 +237,19 @@ def compare_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(table, *[c for c in table.columns if c.startswith(("left_", "right_"))])
 
 
+@query(
+    "O07_union_of_keys",
+    f"""SELECT task_id, agent, bool_or(side = 'left') AS in_left, bool_or(side = 'right') AS in_right FROM (
+          SELECT task_id, agent, 'left' AS side FROM {plain(inputs.LEFT_RUNS)} UNION ALL
+          SELECT task_id, agent, 'right' FROM {plain(inputs.RIGHT_RUNS)}) GROUP BY task_id, agent""",
+)
+def union_of_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left, right = (aggregates(spark, sf_dir, text) for text in (inputs.LEFT_RUNS, inputs.RIGHT_RUNS))
+    both = compare.compare_tasks(left, right)
+    sides = {f"in_{side}": F.col(f"{side}_pass_at_1").isNotNull() for side in ("left", "right")}
+    return both.select("task_id", "agent", *[flag.alias(name) for name, flag in sides.items()])
+
+
 _SUITES = """
 SELECT c_custkey AS pair, CASE WHEN c_custkey % {k} = 0 THEN '1.0.0' ELSE '1.1.0' END AS schema_version,
        '0.' || CAST(c_custkey % {k} AS STRING) || '.0' AS version, c_mktsegment AS corpus_git_sha,

@@ -17,6 +17,7 @@ from assayer.plans.stores import _NEWEST as NEWEST
 from assayer.plans.stores import _SAVES as SAVES
 from assayer.plans.trees import redact_sql
 from assayer.session import shared_dir
+from assayer.streaming import edits
 from assayer.streaming import runs as streams
 
 _ARRIVALS = 4
@@ -99,3 +100,29 @@ def scrub_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     scrubbed = streams.scrub_stream(arriving, "text", registry_literal({"tion": "WORD"}))
     _finish(scrubbed.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state"))
     return spark.read.parquet(out).select("conv_id", "turn", "role", "text")
+
+
+_EDITS = """
+SELECT o_custkey AS entity, o_orderkey AS position, CASE o_orderkey % 5 WHEN 3 THEN 'undo' WHEN 4 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'redo' ELSE 'undo' END
+       ELSE 'append' END AS kind, CAST(o_orderkey % 10 AS STRING) AS piece
+FROM {orders}"""
+
+
+@query(
+    "X11_replay_edits",
+    f"""SELECT entity, array_to_string(s.tape[1:s.cur], '') AS value, n AS operations FROM (
+          SELECT entity, count(*) AS n, list_reduce(
+            list({{'kind': kind, 'piece': piece, 'tape': CAST([] AS VARCHAR[]), 'cur': 0}} ORDER BY position),
+            lambda a, x: CASE x.kind
+              WHEN 'append' THEN {{'kind': '', 'piece': '', 'tape': list_append(a.tape[1:a.cur], x.piece), 'cur': a.cur + 1}}
+              WHEN 'undo' THEN {{'kind': '', 'piece': '', 'tape': a.tape, 'cur': greatest(0, a.cur - 1)}}
+              ELSE {{'kind': '', 'piece': '', 'tape': a.tape, 'cur': least(len(a.tape)::INT, a.cur + 1)}} END,
+            {{'kind': '', 'piece': '', 'tape': CAST([] AS VARCHAR[]), 'cur': 0}}) AS s
+          FROM {plain(_EDITS)} GROUP BY entity)""",
+)
+def replay_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = derive(spark, sf_dir, _EDITS)
+    share = max(1, -(-log.count() // _ARRIVALS))
+    out, arriving = _arrive(log, f"CAST(least({_ARRIVALS - 1}, floor(position / {share})) AS INT)", "stream-edits")
+    _finish(streams.write_live_counts(edits.replay_edits(arriving), out, f"{out}-state"))
+    return streams.read_upserted(spark, out, ["entity"], ["operations"]).select("entity", "value", "operations")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from assayer.operators import rules, snapshots, source_code
 from assayer.plans.registry import derive
 from assayer.schemas import CHECK_SPEC
+from assayer.session import cut_lineage
 from assayer.sources.trees import with_defaults
 
 _NL = " || chr(10) || "
@@ -93,18 +94,19 @@ def parsed(rows: DataFrame) -> DataFrame:
     return source_code.parse_sources(rows.filter(F.col("path").endswith(".py") & (F.col("kind") == "file")))
 
 
-def evidence(spark: SparkSession, sf_dir: str) -> rules.Evidence:
-    """All evidence tables; a check only plans those it uses."""
+def evidence(spark: SparkSession, sf_dir: str, store: bool = False) -> rules.Evidence:
+    """All evidence tables; ``store`` writes those that several checks share once."""
+    keep = cut_lineage if store else lambda df: df
     base, current = files(spark, sf_dir, BASE), files(spark, sf_dir, CURRENT)
 
     def hashed(rows: DataFrame) -> DataFrame:
         return rows.select("tree_id", "path", F.sha2("content", 256).alias("sha256"), F.lit(False).alias("executable"))
 
-    facts = parsed(current)
-    base_metrics = source_code.test_metrics(parsed(base))
+    facts = keep(parsed(current))
+    base_metrics = keep(source_code.test_metrics(parsed(base)))
     return rules.Evidence(
         files=current,
-        changes=snapshots.snapshot_diff(hashed(base), hashed(current)),
+        changes=keep(snapshots.snapshot_diff(hashed(base), hashed(current))),
         base_metrics=base_metrics,
         metrics=source_code.test_metrics(facts, base_metrics),
         parsed=facts,
