@@ -108,7 +108,7 @@ def ancestors(path: Column) -> Column:
 
 def name_glob_regex(pattern: str) -> str:
     """Java regex of a glob whose ``*`` also crosses ``/`` (shell name matching)."""
-    return re.sub(r"\\Z\Z", r"\\z", fnmatch.translate(pattern))
+    return r"\A" + re.sub(r"\\Z\Z", r"\\z", fnmatch.translate(pattern))
 
 
 def _segment_regex(segment: str) -> str:

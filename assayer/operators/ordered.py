@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from assayer.functions.binding import let
+from assayer.session import cut_lineage
+
 ROWS_PER_SPLIT = 4_000_000
 MAX_SPLITS = 4096
 SAMPLES_PER_SPLIT = 16
@@ -50,9 +53,12 @@ def _split_index(df: DataFrame, order: Sequence[str], cuts: list) -> Column:
 
     heads = F.array(*[tuple_of(group[0]) for group in groups]).cast(f"array<{kind.simpleString()}>")
     fine = F.array(*[F.array(*[tuple_of(cut) for cut in group]) for group in groups])
-    coarse = at_or_below(heads)
-    inside = at_or_below(F.element_at(fine, F.greatest(coarse, F.lit(1))))
-    return F.when(coarse == 0, F.lit(0)).otherwise((coarse - 1) * width + inside)
+
+    def place(coarse: Column) -> Column:
+        inside = at_or_below(F.element_at(fine, F.greatest(coarse, F.lit(1))))
+        return F.when(coarse == 0, F.lit(0)).otherwise((coarse - 1) * width + inside)
+
+    return let(at_or_below(heads), place)
 
 
 def running(
@@ -64,18 +70,25 @@ def running(
     maxima: dict[str, str] | None = None,
     inclusive: bool = True,
     rows_per_split: int = ROWS_PER_SPLIT,
+    rows: int | None = None,
+    store: bool = False,
 ) -> DataFrame:
     """Adds running values per key, in ascending ``order``.
 
     ``number`` names a 1-based row number, ``sums`` and ``maxima`` map new
     column names to the columns they accumulate. ``inclusive=False`` accumulates
     only the rows before the current one (null for the first row's maximum,
-    0 for its sum). ``order`` should be a total order within a key. The input
-    is read several times, so pass a stored table or cut its lineage first.
+    0 for its sum). ``order`` should be a total order within a key.
+
+    A table that is split is read for its count (unless ``rows`` gives it), for a
+    sample of the order columns, for the totals and for the walk; ``store`` cuts
+    its lineage first, which pays when it is more than a scan.
     """
     sums, maxima = sums or {}, maxima or {}
-    rows = df.count()
+    rows = df.count() if rows is None else rows
     splits = min(MAX_SPLITS, ceil(rows / rows_per_split))
+    if store and splits > 1:
+        df = cut_lineage(df)
     cuts = _cut_points(df, order, rows, splits) if splits > 1 else []
     last = Window.currentRow if inclusive else -1
     if not cuts:
@@ -103,8 +116,7 @@ def running(
     shifted |= {name: F.greatest(F.col(f"__o_{name}"), F.col(name)) for name in maxima}
     if number:
         shifted[number] = (F.col(number) + F.col("__o")).cast("bigint")
-    out = walked.withColumns(shifted)
-    return out.drop(*[c for c in out.columns if c.startswith("__")])
+    return walked.withColumns(shifted).select(*df.columns, *([number] if number else []), *sums, *maxima)
 
 
 def _walk(

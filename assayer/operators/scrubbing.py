@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions.text import redact_patterns, replace_registered
 from assayer.operators.ordered import running
-from assayer.session import cut_lineage
+from assayer.session import cut_lineage, spread
 
 BAND_ROWS = 2_000
 
@@ -42,7 +42,7 @@ def scrub_with_registry(df: DataFrame, column: str, secrets: DataFrame, band_row
         known = known.withColumn("band", F.floor((F.col("__row") - 1) / band_rows))
     else:
         known = known.withColumn("band", F.lit(0))
-    scrubbed = df
+    scrubbed = spread(df)
     for band in range(bands):
         rows = known.filter(F.col("band") == band)
         registry = rows.agg(

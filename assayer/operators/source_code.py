@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions.paths import is_visible_test
+from assayer.session import spread
 
 _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 
@@ -88,7 +89,7 @@ def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def parse_sources(files: DataFrame) -> DataFrame:
     """One row of facts per (tree_id, path, text); text that does not parse is kept as such."""
     key = files.schema["tree_id"].dataType.simpleString()
-    return files.select("tree_id", "path", "text").mapInPandas(_parse_batches, f"tree_id {key}, path string, {FACTS}")
+    return spread(files.select("tree_id", "path", "text")).mapInPandas(_parse_batches, f"tree_id {key}, path string, {FACTS}")
 
 
 def symbols(parsed: DataFrame) -> DataFrame:

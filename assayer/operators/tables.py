@@ -20,12 +20,16 @@ def merge_intervals(
     A row opens an island when it starts after every earlier end. The latest
     opening start seen so far names the island, which is then a partial group-by.
     """
-    distinct = df.select(*keys, start, end).distinct()
-    order = [start, end]
-    reach = running(distinct, keys, order, maxima={"__reach": end}, inclusive=False, rows_per_split=rows_per_split)
+    distinct = cut_lineage(df.select(*keys, start, end).distinct())
+    order, rows = [start, end], distinct.count()
+    reach = running(
+        distinct, keys, order, maxima={"__reach": end}, inclusive=False, rows_per_split=rows_per_split, rows=rows
+    )
     opens = F.col("__reach").isNull() | (F.col(start) > F.col("__reach"))
     flagged = reach.withColumn("__open", F.when(opens, F.col(start)))
-    islands = running(flagged, keys, order, maxima={"__island": "__open"}, rows_per_split=rows_per_split)
+    islands = running(
+        flagged, keys, order, maxima={"__island": "__open"}, rows_per_split=rows_per_split, rows=rows, store=True
+    )
     return islands.groupBy(*keys, "__island").agg(F.max(end).alias(end)).select(
         *keys, F.col("__island").alias(start), end
     )

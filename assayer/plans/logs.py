@@ -11,6 +11,7 @@ from assayer.operators import tool_output
 from assayer.operators.scrubbing import registered_secrets, scrub_with_registry
 from assayer.plans.registry import derive, plain, query
 from assayer.plans.trees import redact_sql
+from assayer.session import spread
 
 # Registry: a few word fragments of different length and the keys found in the documents.
 _REGISTRY = """
@@ -138,12 +139,12 @@ _OUT = "CASE WHEN form IN (0, 2, 7) THEN event_id END"
 
 @query("N07_cost_keys", f"SELECT event_id, {_COST} AS cost_usd FROM {plain(_JSON_LINES)}")
 def cost_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive(spark, sf_dir, _JSON_LINES).select("event_id", usage.line_usage(F.col("line"))["cost_usd"].alias("cost_usd"))
+    return spread(derive(spark, sf_dir, _JSON_LINES)).select("event_id", usage.line_usage(F.col("line"))["cost_usd"].alias("cost_usd"))
 
 
 @query("N08_token_keys", f"SELECT event_id, {_IN} AS tokens_in, {_OUT} AS tokens_out FROM {plain(_JSON_LINES)}")
 def token_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stated = derive(spark, sf_dir, _JSON_LINES).select("event_id", usage.line_usage(F.col("line")).alias("u"))
+    stated = spread(derive(spark, sf_dir, _JSON_LINES)).select("event_id", usage.line_usage(F.col("line")).alias("u"))
     return stated.select("event_id", "u.tokens_in", "u.tokens_out")
 
 
@@ -175,7 +176,7 @@ def _plus(first: str, second: str) -> str:
         FROM {plain(_JSON_LINES)}""",
 )
 def json_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    total = derive(spark, sf_dir, _LOGS).select("event_id", usage.json_usage(F.col("log")).alias("u"))
+    total = spread(derive(spark, sf_dir, _LOGS)).select("event_id", usage.json_usage(F.col("log")).alias("u"))
     return total.select("event_id", F.round("u.cost_usd", 6).alias("cost_usd"), "u.tokens_in", "u.tokens_out")
 
 
@@ -193,7 +194,7 @@ _MIXED = f"""SELECT event_id, user_id, value, {_ADAPTERS} AS adapter,
 )
 def usage_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = usage.parse_usage(F.col("adapter"), F.col("stdout"), F.col("stderr"))
-    return derive(spark, sf_dir, _MIXED).select("event_id", parsed.alias("u")).select("event_id", "u.*")
+    return spread(derive(spark, sf_dir, _MIXED)).select("event_id", parsed.alias("u")).select("event_id", "u.*")
 
 
 _TOOLS = """

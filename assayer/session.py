@@ -52,3 +52,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_dir(spark, "checkpoint"))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deals the rows of a few input files out over all cores before costly row work.
+
+    Tables with at least as many files as cores are left as they are, so at
+    scale nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    files = len(df._jdf.inputFiles())  # the names stay in the JVM, only their number is needed
+    return df.repartition(cores) if 0 < files < cores else df

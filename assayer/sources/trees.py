@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.schemas import TASK
+from assayer.session import spread
 
 MANIFEST_NAME = "task.yaml"
 
@@ -93,7 +94,7 @@ def _yaml_to_json(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def load_manifests(manifests: DataFrame) -> DataFrame:
     """Typed manifest rows with their JSON text, or why a manifest cannot be read."""
-    converted = manifests.select("dir", F.col("content").cast("binary").alias("content")).mapInPandas(
+    converted = spread(manifests.select("dir", F.col("content").cast("binary").alias("content"))).mapInPandas(
         _yaml_to_json, "dir string, raw string, problem string"
     )
     return converted.withColumn("task", F.from_json("raw", TASK)).select("dir", "task.*", "raw", "problem")
