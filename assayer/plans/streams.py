@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from assayer.functions.text import registry_literal
 from assayer.operators.latest import with_run_key
@@ -23,17 +26,23 @@ from assayer.streaming import runs as streams
 _ARRIVALS = 4
 
 
-def _arrive(rows: DataFrame, place: str, purpose: str) -> tuple[str, DataFrame]:
-    """Writes a table as JSON lines in a few arrivals, in the order of ``place``; returns the stream."""
+def _play(rows: DataFrame, place: str, purpose: str, sink: Callable[[DataFrame, str, str], DataStreamWriter]) -> str:
+    """Lets a table arrive as JSON lines in the order of ``place`` and streams each arrival.
+
+    The query stops and resumes from its checkpoint between arrivals, so each
+    arrival is one micro-batch however many files it has.
+    """
     spark = rows.sparkSession
-    folder = shared_dir(spark, purpose)
+    folder, out = shared_dir(spark, purpose), shared_dir(spark, f"{purpose}-out")
     for arrival in range(_ARRIVALS):
         rows.filter(F.expr(place) == arrival).write.mode("append").json(folder)
-    return shared_dir(spark, f"{purpose}-out"), streams.stream_runs(spark, folder, rows.schema, files_per_batch=1)
+        arriving = streams.stream_runs(spark, folder, rows.schema)
+        sink(arriving, out, f"{out}-state").trigger(availableNow=True).start().awaitTermination()
+    return out
 
 
-def _finish(writer) -> None:
-    writer.trigger(availableNow=True).start().awaitTermination()
+def _to_parquet(stream: DataFrame, out: str, state: str) -> DataStreamWriter:
+    return stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,26 +54,29 @@ _BY_DAY = "CAST(least(3, floor((CAST(substring(finished_at, 9, 2) AS INT) - 1) /
 
 @query("T01_stream_runs", f"SELECT event_id, task_id, agent, passed, round(score, 10) AS score FROM {plain(inputs.RUNS)}")
 def stream_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, arriving = _arrive(_runs(spark, sf_dir), "event_id % 4", "stream-runs")
-    _finish(arriving.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state"))
+    out = _play(_runs(spark, sf_dir), "event_id % 4", "stream-runs", _to_parquet)
     return spark.read.parquet(out).select("event_id", "task_id", "agent", "passed", F.round("score", 10).alias("score"))
 
 
 @query("T02_last_wins", f"SELECT task_id, agent, created_at, score FROM {plain(SAVES)} QUALIFY {NEWEST}")
 def last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     saves = with_run_key(derive(spark, sf_dir, SAVES))
-    out, arriving = _arrive(saves, "CAST(score AS BIGINT) % 4", "stream-saves")
-    _finish(streams.upsert(arriving, out, f"{out}-state", ["run_key"], ["created_at", "score"]))
+    out = _play(
+        saves, "CAST(score AS BIGINT) % 4", "stream-saves",
+        lambda stream, path, state: streams.upsert(stream, path, state, ["run_key"], ["created_at", "score"]),
+    )
     return streams.read_upserted(spark, out, ["run_key"], ["created_at", "score"]).select("task_id", "agent", "created_at", "score")
 
 
 @query("T02_first_wins", f"SELECT DISTINCT task_id, agent FROM {plain(SAVES)}")
 def first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     saves = with_run_key(derive(spark, sf_dir, SAVES))
-    out, arriving = _arrive(saves, "CAST(score AS BIGINT) % 4", "stream-first")
-    timed = arriving.withColumn("finished_at", F.timestamp_seconds(F.col("created_at") % 1000000))
-    kept = streams.first_wins(timed, delay="60 days")
-    _finish(kept.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state"))
+
+    def sink(stream: DataFrame, path: str, state: str) -> DataStreamWriter:
+        timed = stream.withColumn("finished_at", F.timestamp_seconds(F.col("created_at") % 1000000))
+        return _to_parquet(streams.first_wins(timed, delay="60 days"), path, state)
+
+    out = _play(saves, "CAST(score AS BIGINT) % 4", "stream-first", sink)
     return spark.read.parquet(out).select("task_id", "agent")
 
 
@@ -73,8 +85,10 @@ _LIVE = ("pass_at_1", "pass_at_5", "ci_low", "ci_high", "mean_score", "score_std
 
 @query("T03_live_aggregates", f"SELECT task_id, agent, repeats, successes, {', '.join(f'round({c}, 8) AS {c}' for c in _LIVE)} FROM ({AGGREGATES_SQL})")
 def live_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, arriving = _arrive(_runs(spark, sf_dir), "event_id % 4", "stream-counts")
-    _finish(streams.write_live_counts(streams.live_counts(arriving), out, f"{out}-state"))
+    out = _play(
+        _runs(spark, sf_dir), "event_id % 4", "stream-counts",
+        lambda stream, path, state: streams.write_live_counts(streams.live_counts(stream), path, state),
+    )
     counts = streams.read_upserted(spark, out, ["task_id", "agent"], ["repeats"])
     table = flat(derive_metrics(counts))
     return table.select("task_id", "agent", "repeats", "successes", *[F.round(c, 8).alias(c) for c in _LIVE])
@@ -88,17 +102,21 @@ def live_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
               FROM {plain(inputs.RUNS)})""",
 )
 def spend_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, arriving = _arrive(_runs(spark, sf_dir), _BY_DAY, "stream-spend")
-    _finish(streams.spend_cap(arriving, out, f"{out}-state", CAP, "task_id", ["finished_at", "event_id"]))
+    out = _play(
+        _runs(spark, sf_dir), _BY_DAY, "stream-spend",
+        lambda stream, path, state: streams.spend_cap(stream, path, state, CAP, "task_id", ["finished_at", "event_id"]),
+    )
     marked = spark.read.parquet(f"{out}/runs")
     return marked.select("event_id", "task_id", F.col("spent_before").cast("double"), "admitted")
 
 
 @query("T05_scrub_stream", f"SELECT conv_id, turn, role, {redact_sql('replace(text, $$tion$$, $$<WORD>$$)')} AS text FROM {plain(TURNS)}")
 def scrub_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, arriving = _arrive(derive(spark, sf_dir, TURNS), "conv_id % 4", "stream-logs")
-    scrubbed = streams.scrub_stream(arriving, "text", registry_literal({"tion": "WORD"}))
-    _finish(scrubbed.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-state"))
+    registry = registry_literal({"tion": "WORD"})
+    out = _play(
+        derive(spark, sf_dir, TURNS), "conv_id % 4", "stream-logs",
+        lambda stream, path, state: _to_parquet(streams.scrub_stream(stream, "text", registry), path, state),
+    )
     return spark.read.parquet(out).select("conv_id", "turn", "role", "text")
 
 
@@ -123,6 +141,8 @@ FROM {orders}"""
 def replay_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = derive(spark, sf_dir, _EDITS)
     share = max(1, -(-log.count() // _ARRIVALS))
-    out, arriving = _arrive(log, f"CAST(least({_ARRIVALS - 1}, floor(position / {share})) AS INT)", "stream-edits")
-    _finish(streams.write_live_counts(edits.replay_edits(arriving), out, f"{out}-state"))
+    out = _play(
+        log, f"CAST(least({_ARRIVALS - 1}, floor(position / {share})) AS INT)", "stream-edits",
+        lambda stream, path, state: streams.write_live_counts(edits.replay_edits(stream), path, state),
+    )
     return streams.read_upserted(spark, out, ["entity"], ["operations"]).select("entity", "value", "operations")

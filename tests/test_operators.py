@@ -298,6 +298,6 @@ def test_latest_rows_replace_older_ones(spark):
 
 
 def test_hot_keys_are_reduced_before_the_shuffle(spark):
-    df = spark.range(10).select(F.lit("hot").alias("k"), "id")
+    df = spark.range(10).select((F.col("id") % 2).alias("k"), "id")
     plan = latest.latest(df, ["k"], [F.desc("id")])._jdf.queryExecution().executedPlan().toString()
     assert "row_number(), 1, Partial" in plan
