@@ -87,6 +87,21 @@ def normalize_path(path: Column) -> Column:
     return F.concat(F.lit("/"), F.array_join(F.aggregate(F.split(path, "/"), empty, step), "/"))
 
 
+def inside_path(path: Column) -> Column:
+    """A relative path in normal form; null when it is absolute or climbs out of its root."""
+    empty = F.array().cast("array<string>")
+
+    def step(stack: Column, part: Column) -> Column:
+        return (
+            F.when(stack.isNull() | part.isin("", "."), stack)
+            .when(part != "..", F.concat(stack, F.array(part)))
+            .when(F.size(stack) > 0, F.slice(stack, F.lit(1), F.size(stack) - 1))
+        )
+
+    resolved = F.array_join(F.aggregate(F.split(path, "/"), empty, step), "/")
+    return F.when(~path.startswith("/"), resolved)
+
+
 def stays_inside(root: Column, relative: Column) -> Column:
     """True when ``relative``, resolved below ``root``, does not leave ``root``."""
     base = normalize_path(root)

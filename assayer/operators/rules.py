@@ -21,10 +21,9 @@ from assayer.functions.paths import (
     ancestors,
     basename,
     has_excluded_segment,
+    inside_path,
     is_python_source,
     name_globs_to_regex,
-    normalize_path,
-    stays_inside,
     tree_globs_to_regex,
 )
 from assayer.operators.tool_output import junit_totals, mypy_outcome, pytest_outcome, ruff_outcome
@@ -101,15 +100,10 @@ def _json(**fields: Column) -> Column:
     return F.to_json(F.struct(*[value.alias(name) for name, value in fields.items()]))
 
 
-def _local(path: Column) -> Column:
-    """A manifest path in the form the file tables use; null when it leaves the tree."""
-    inside = stays_inside(F.lit("/t"), path)
-    return F.when(inside, F.regexp_replace(normalize_path(path), "^/", ""))
-
-
-def _path_problem(path: Column) -> Column:
+def _path_problem(path: Column, resolved: Column) -> Column:
+    """Why a manifest path cannot be used; ``resolved`` is its form in the file tables."""
     return F.when(path.isNull(), "check path is required").when(
-        ~stays_inside(F.lit("/t"), path), F.concat(F.lit("path escapes workspace: "), path)
+        resolved.isNull(), F.concat(F.lit("path escapes workspace: "), path)
     )
 
 
@@ -206,7 +200,7 @@ def no_test_tamper_violations(specs: DataFrame, evidence: Evidence) -> DataFrame
 def _parse_state(specs: DataFrame, parsed: DataFrame) -> DataFrame:
     """Specs with ``in_path`` and whether that file parsed."""
     state = parsed.select("tree_id", F.col("path").alias("in_path"), F.col("parsed").alias("in_parsed"))
-    return specs.withColumn("in_path", _local(F.col("in_file"))).join(state, ["tree_id", "in_path"], "left")
+    return specs.withColumn("in_path", inside_path(F.col("in_file"))).join(state, ["tree_id", "in_path"], "left")
 
 
 def _unparsed(path: Column, parsed: Column) -> Column:
@@ -217,7 +211,7 @@ def _glob_candidates(specs: DataFrame, evidence: Evidence) -> DataFrame:
     """Files other than ``in_file`` that a check's forbidden globs reach."""
     rules = specs.filter(F.size("forbid_in_globs") > 0).select(
         "tree_id", "position", "name", "symbol", F.col("kind").alias("symbol_kind"),
-        _local(F.col("in_file")).alias("in_path"), tree_globs_to_regex("forbid_in_globs").alias("__regex"),
+        inside_path(F.col("in_file")).alias("in_path"), tree_globs_to_regex("forbid_in_globs").alias("__regex"),
     )
     plain = evidence.files.filter((F.col("kind") == "file") & ~has_excluded_segment(F.col("path"))).select("tree_id", "path")
     return plain.join(rules, "tree_id").filter(
@@ -255,7 +249,7 @@ def ast_defines(specs: DataFrame, evidence: Evidence) -> DataFrame:
     )
     problem = F.coalesce(
         F.when(F.col("symbol").isNull() | F.col("kind").isNull(), "symbol and kind are required"),
-        _path_problem(F.col("in_file")),
+        _path_problem(F.col("in_file"), F.col("in_path")),
         _unparsed(F.col("in_file"), F.col("in_parsed")),
         F.concat(F.lit("cannot parse Python file: "), F.col("broken_path")),
     )
@@ -273,7 +267,7 @@ def ast_signature(specs: DataFrame, evidence: Evidence) -> DataFrame:
             F.col("symbol").isNull() | F.col("kind").isNull() | F.col("signature").isNull(),
             "symbol, kind and signature are required",
         ),
-        _path_problem(F.col("in_file")),
+        _path_problem(F.col("in_file"), F.col("in_path")),
         _unparsed(F.col("in_file"), F.col("in_parsed")),
     )
     detail = F.when(F.col("actual").isNull(), _json(found=F.lit(False))).otherwise(_json(actual=F.col("actual")))
@@ -311,7 +305,7 @@ def ast_no_import_violations(specs: DataFrame, evidence: Evidence) -> DataFrame:
         F.when(F.col("imported_name").isNotNull(), F.concat(F.lit("."), F.col("imported_name"))).otherwise(""),
     )
     sources = evidence.files.filter(is_python_source(F.col("path"), F.col("kind"))).select("tree_id", "path")
-    in_one = found.join(one.withColumn("path", _local(F.col("in_file"))), ["tree_id", "path"])
+    in_one = found.join(one.withColumn("path", inside_path(F.col("in_file"))), ["tree_id", "path"])
     in_all = found.join(sources, ["tree_id", "path"], "left_semi").join(all_files, "tree_id")
     return in_one.unionByName(in_all, allowMissingColumns=True).filter(rule).select(
         *HEAD[:3], text.alias("violation")
@@ -330,7 +324,7 @@ def ast_no_import(specs: DataFrame, evidence: Evidence) -> DataFrame:
     judged = judged.join(broken, "tree_id", "left")
     problem = F.coalesce(
         F.when(F.col("module").isNull(), "module is required"),
-        F.when(F.col("in_file").isNotNull(), F.coalesce(_path_problem(F.col("in_file")), _unparsed(F.col("in_file"), F.col("in_parsed"))))
+        F.when(F.col("in_file").isNotNull(), F.coalesce(_path_problem(F.col("in_file"), F.col("in_path")), _unparsed(F.col("in_file"), F.col("in_parsed"))))
         .otherwise(F.concat(F.lit("cannot parse Python file: "), F.col("broken_path"))),
     )
     return _flag_result(judged, F.col("found") == 0, _json(violations=F.col("found")), failed=problem)
@@ -338,10 +332,10 @@ def ast_no_import(specs: DataFrame, evidence: Evidence) -> DataFrame:
 
 def _content(specs: DataFrame, evidence: Evidence, wanted: bool) -> DataFrame:
     files = evidence.files.select("tree_id", F.col("path").alias("__path"), F.col("content").alias("__content"))
-    judged = specs.withColumn("__path", _local(F.col("path"))).join(files, ["tree_id", "__path"], "left")
+    judged = specs.withColumn("__path", inside_path(F.col("path"))).join(files, ["tree_id", "__path"], "left")
     text = F.col("__content").cast("string")
     problem = F.coalesce(
-        _path_problem(F.col("path")),
+        _path_problem(F.col("path"), F.col("__path")),
         F.when(F.col("pattern").isNull(), "pattern is required"),
         F.when(~F.is_valid_utf8(text), F.concat(F.lit("cannot decode file as UTF-8: "), F.col("path"))),
     )
@@ -365,12 +359,12 @@ def content_absent(specs: DataFrame, evidence: Evidence) -> DataFrame:
 def _existence(specs: DataFrame, evidence: Evidence, wanted: bool) -> DataFrame:
     """A path exists as a file, or as a directory above one."""
     there = evidence.files.select("tree_id", F.explode(ancestors(F.col("path"))).alias("__path")).distinct()
-    asked = specs.withColumn("__path", _local(F.col("path")))
+    asked = specs.withColumn("__path", inside_path(F.col("path")))
     judged = asked.join(there.withColumn("__there", F.lit(True)), ["tree_id", "__path"], "left")
     exists = F.coalesce("__there", F.lit(False))
     return _flag_result(
         judged, exists if wanted else ~exists, _json(path=F.coalesce("path", F.lit(""))),
-        failed=_path_problem(F.col("path")),
+        failed=_path_problem(F.col("path"), F.col("__path")),
     )
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from assayer.operators import rules, scoring
 from assayer.plans import workspaces
 from assayer.plans.registry import query
+from assayer.session import cut_lineage
 
 _PARTS = "(SELECT p_partkey AS k, p_partkey AS tree_id FROM part)"
 _APP, _TEST = "k % 3 = 0", "(k % 29 = 0 OR k % 4 = 0)"
@@ -57,7 +58,9 @@ def _results(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
     """Results of the named checks of every workspace."""
     types = {check["name"]: check["type"] for check in workspaces.CHECKS}
     chosen = workspaces.specs(spark, sf_dir).filter(F.col("name").isin(*names))
-    evidence = workspaces.evidence(spark, sf_dir, store=len(names) > 3)
+    many = len(names) > 3
+    chosen = cut_lineage(chosen) if many else chosen
+    evidence = workspaces.evidence(spark, sf_dir, store=many)
     found = rules.run_checks(chosen, evidence, tuple({types[n] for n in names}))
     return found.withColumn("score", F.round("score", 10))
 
@@ -103,7 +106,7 @@ _VIOLATIONS = {
 @query("U05_check_violations", " UNION ALL ".join(sql.format(p=_PARTS) for sql in _VIOLATIONS.values()))
 def violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     evidence = workspaces.evidence(spark, sf_dir, store=True)
-    found = rules.check_violations(workspaces.specs(spark, sf_dir), evidence)
+    found = rules.check_violations(cut_lineage(workspaces.specs(spark, sf_dir)), evidence)
     return found.select("tree_id", "name", "violation")
 
 

@@ -97,7 +97,7 @@ def parsed(rows: DataFrame) -> DataFrame:
 def evidence(spark: SparkSession, sf_dir: str, store: bool = False) -> rules.Evidence:
     """All evidence tables; ``store`` writes those that several checks share once."""
     keep = cut_lineage if store else lambda df: df
-    base, current = files(spark, sf_dir, BASE), files(spark, sf_dir, CURRENT)
+    base, current = (keep(files(spark, sf_dir, text)) for text in (BASE, CURRENT))
 
     def hashed(rows: DataFrame) -> DataFrame:
         return rows.select("tree_id", "path", F.sha2("content", 256).alias("sha256"), F.lit(False).alias("executable"))
