@@ -107,6 +107,15 @@ def _path_problem(path: Column, resolved: Column) -> Column:
     )
 
 
+def _look_up(specs: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join of specs to evidence that is first cut down to the keys they ask for.
+
+    The semi join lets a small set of specs be broadcast to the evidence, so file
+    contents and symbols nobody asks about are never shuffled.
+    """
+    return specs.join(table.join(specs.select(*keys), keys, "left_semi"), keys, "left")
+
+
 def _with_counts(specs: DataFrame, violations: DataFrame) -> DataFrame:
     counts = violations.groupBy("tree_id", "position").agg(F.count(F.lit(1)).alias("found"))
     return specs.join(counts, ["tree_id", "position"], "left").withColumn("found", F.coalesce("found", F.lit(0)))
@@ -200,7 +209,7 @@ def no_test_tamper_violations(specs: DataFrame, evidence: Evidence) -> DataFrame
 def _parse_state(specs: DataFrame, parsed: DataFrame) -> DataFrame:
     """Specs with ``in_path`` and whether that file parsed."""
     state = parsed.select("tree_id", F.col("path").alias("in_path"), F.col("parsed").alias("in_parsed"))
-    return specs.withColumn("in_path", inside_path(F.col("in_file"))).join(state, ["tree_id", "in_path"], "left")
+    return _look_up(specs.withColumn("in_path", inside_path(F.col("in_file"))), state, ["tree_id", "in_path"])
 
 
 def _unparsed(path: Column, parsed: Column) -> Column:
@@ -244,7 +253,7 @@ def ast_defines(specs: DataFrame, evidence: Evidence) -> DataFrame:
         .groupBy("tree_id", "position").agg(F.min("path").alias("broken_path"))
     )
     judged = _with_counts(_parse_state(specs, evidence.parsed), ast_defines_violations(specs, evidence))
-    judged = judged.join(here, ["tree_id", "in_path", "kind", "symbol"], "left").join(
+    judged = _look_up(judged, here, ["tree_id", "in_path", "kind", "symbol"]).join(
         broken, ["tree_id", "position"], "left"
     )
     problem = F.coalesce(
@@ -259,8 +268,8 @@ def ast_defines(specs: DataFrame, evidence: Evidence) -> DataFrame:
 
 def ast_signature(specs: DataFrame, evidence: Evidence) -> DataFrame:
     """The first definition of the symbol has exactly the expected signature."""
-    judged = _parse_state(specs, evidence.parsed).join(
-        _definitions(evidence.parsed), ["tree_id", "in_path", "kind", "symbol"], "left"
+    judged = _look_up(
+        _parse_state(specs, evidence.parsed), _definitions(evidence.parsed), ["tree_id", "in_path", "kind", "symbol"]
     )
     problem = F.coalesce(
         F.when(
@@ -332,7 +341,7 @@ def ast_no_import(specs: DataFrame, evidence: Evidence) -> DataFrame:
 
 def _content(specs: DataFrame, evidence: Evidence, wanted: bool) -> DataFrame:
     files = evidence.files.select("tree_id", F.col("path").alias("__path"), F.col("content").alias("__content"))
-    judged = specs.withColumn("__path", inside_path(F.col("path"))).join(files, ["tree_id", "__path"], "left")
+    judged = _look_up(specs.withColumn("__path", inside_path(F.col("path"))), files, ["tree_id", "__path"])
     text = F.col("__content").cast("string")
     problem = F.coalesce(
         _path_problem(F.col("path"), F.col("__path")),
@@ -358,9 +367,10 @@ def content_absent(specs: DataFrame, evidence: Evidence) -> DataFrame:
 
 def _existence(specs: DataFrame, evidence: Evidence, wanted: bool) -> DataFrame:
     """A path exists as a file, or as a directory above one."""
-    there = evidence.files.select("tree_id", F.explode(ancestors(F.col("path"))).alias("__path")).distinct()
     asked = specs.withColumn("__path", inside_path(F.col("path")))
-    judged = asked.join(there.withColumn("__there", F.lit(True)), ["tree_id", "__path"], "left")
+    there = evidence.files.select("tree_id", F.explode(ancestors(F.col("path"))).alias("__path"))
+    found = there.join(asked.select("tree_id", "__path"), ["tree_id", "__path"], "left_semi").distinct()
+    judged = asked.join(found.withColumn("__there", F.lit(True)), ["tree_id", "__path"], "left")
     exists = F.coalesce("__there", F.lit(False))
     return _flag_result(
         judged, exists if wanted else ~exists, _json(path=F.coalesce("path", F.lit(""))),
@@ -400,7 +410,7 @@ def no_test_tamper(specs: DataFrame, evidence: Evidence) -> DataFrame:
 
 
 def _outputs(specs: DataFrame, evidence: Evidence) -> DataFrame:
-    return specs.join(evidence.outputs, ["tree_id", "name"], "left")
+    return _look_up(specs, evidence.outputs, ["tree_id", "name"])
 
 
 def ruff(specs: DataFrame, evidence: Evidence) -> DataFrame:

@@ -76,12 +76,13 @@ def changed_count(changes: DataFrame) -> DataFrame:
 
 
 def overlay(base: DataFrame, top: DataFrame, keys: Sequence[str] = ("tree_id", "path")) -> DataFrame:
-    """Rows of ``base`` with those of ``top`` laid over them; nothing is deleted."""
-    values = [c for c in base.columns if c not in keys]
-    over = top.select(*keys, F.lit(True).alias("__top"), *[F.col(c).alias(f"__{c}") for c in values])
-    merged = base.join(over, list(keys), "full_outer")
-    picked = [F.when(F.col("__top"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) for c in values]
-    return merged.select(*keys, *picked)
+    """Rows of ``base`` with those of ``top`` laid over them; nothing is deleted.
+
+    An anti join on the keys alone: the contents of ``base`` are only shuffled
+    when the keys of ``top`` are too many to broadcast.
+    """
+    kept = base.join(top.select(*keys), list(keys), "left_anti")
+    return kept.unionByName(top.select(*base.columns))
 
 
 def changed_files_parts(changes: DataFrame, registry: Column | None = None, part_rows: int = 10_000) -> DataFrame:
@@ -112,16 +113,12 @@ def readable_text(content: Column, kind: Column, limit: int = TEXT_LIMIT_BYTES)
 def _unified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         diffs = []
-        for path, change, before, after in zip(batch["path"], batch["change"], batch["before"], batch["after"]):
+        for path, before, after in zip(batch["path"], batch["before"], batch["after"]):
             if before is None or after is None:
-                head = {"added": "Added", "removed": "Removed"}.get(change, "Changed binary-or-large")
-                diffs.append(f"{head} {path}\n")
+                diffs.append(f"Changed binary-or-large {path}\n")
                 continue
-            text = "".join(
-                difflib.unified_diff(
-                    before.splitlines(keepends=True), after.splitlines(keepends=True), f"a/{path}", f"b/{path}"
-                )
-            )
+            names = f"a/{path}", f"b/{path}"
+            text = "".join(difflib.unified_diff(before.splitlines(True), after.splitlines(True), *names))
             diffs.append(text if not text or text.endswith("\n") else text + "\n")
         yield batch[["tree_id", "path", "change"]].assign(diff=diffs)
 
@@ -135,18 +132,22 @@ def text_diffs(
 ) -> DataFrame:
     """Unified diff per changed file; a marker line where either side has no text.
 
-    Only changed files reach the Python workers, each with two bounded texts.
+    Only modified files need texts. They come by inner joins, so a small set of
+    changes is broadcast to the files instead of shuffling the files, and only
+    pairs of bounded texts reach the Python workers.
     """
     def texts(files: DataFrame, name: str) -> DataFrame:
         return files.select("tree_id", "path", readable_text(F.col("content"), F.col("kind"), limit).alias(name))
 
-    paired = changes.join(texts(base, "before"), ["tree_id", "path"], "left").join(
-        texts(current, "after"), ["tree_id", "path"], "left"
-    )
+    modified = changes.filter(F.col("change") == "modified")
+    paired = modified.join(texts(base, "before"), ["tree_id", "path"]).join(texts(current, "after"), ["tree_id", "path"])
     tree_type = changes.schema["tree_id"].dataType.simpleString()
-    diffs = paired.select("tree_id", "path", "change", "before", "after").mapInPandas(
+    compared = paired.select("tree_id", "path", "change", "before", "after").mapInPandas(
         _unified, f"tree_id {tree_type}, path string, change string, diff string"
     )
+    line = F.concat(F.initcap("change"), F.lit(" "), "path", F.lit("\n"))
+    one_sided = changes.filter(F.col("change") != "modified").select("tree_id", "path", "change", line.alias("diff"))
+    diffs = compared.unionByName(one_sided)
     if secrets is None:
         return diffs.withColumn("diff", scrub(F.col("diff")))
     return scrub_with_registry(diffs, "diff", secrets)
