@@ -65,6 +65,11 @@ def _results(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
     return found.withColumn("score", F.round("score", 10))
 
 
+def all_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of every check of every workspace."""
+    return _results(spark, sf_dir, *_EXPECTED)
+
+
 def _register(query_name: str, *names: str) -> None:
     sql = " UNION ALL ".join(f"SELECT {', '.join(_OUT)} FROM ({_expected(name)})" for name in names)
 
