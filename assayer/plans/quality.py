@@ -100,7 +100,7 @@ def check_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "V_first_error",
+    "V01_V11_first_error",
     f"SELECT {_K}, min(rule_id) AS rule_id FROM ("
     + " UNION ALL ".join(f"SELECT {_K}, '{rule}' AS rule_id FROM part WHERE {condition}" for rule, condition in _DEFECTS.items())
     + f") GROUP BY {_K}",

@@ -60,6 +60,8 @@ def spread(df: DataFrame) -> DataFrame:
     Tables with at least as many files as cores are left as they are, so at
     scale nothing is shuffled.
     """
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     files = len(df._jdf.inputFiles())  # the names stay in the JVM, only their number is needed
     return df.repartition(cores) if 0 < files < cores else df
