@@ -106,7 +106,9 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         F.transform("windows", lambda p, k: F.least(F.lit(3), F.coalesce(F.get("windows", k + 1) - p, F.lit(3)))),
         F.lit(0).cast("long"), lambda total, x: total + x,
     )
-    return places.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("long"))).select("row", *MEASURES)
+    measured = F.struct(*[F.coalesce(covered, F.lit(0).cast("long")).alias(m) if m == "n_repeat_words" else F.col(m) for m in MEASURES])
+    # as output of a generator the measurements are plain columns: a later filter is not rewritten into their definitions
+    return places.select("row", F.inline(F.array(measured)))
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
