@@ -217,7 +217,12 @@ def links(table: DataFrame, cells: Cells, max_bits: int, chunk: int = CHUNK) ->
             moved = np.flatnonzero(label != np.arange(e - s))
             a.append(fid[s + moved])
             b.append(fid[s + label[moved]])
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+        # one spanning forest for all units of the group: cells that overlap find the same links again
+        ends = np.concatenate([*a, *b])
+        nodes, place = np.unique(ends, return_inverse=True)
+        root = _forest(len(nodes), place[: len(ends) // 2], place[len(ends) // 2 :])
+        moved = np.flatnonzero(root != np.arange(len(nodes)))
+        return pd.DataFrame({"a": nodes[moved], "b": nodes[root[moved]]})
 
     dense = units.join(table, "fid").groupBy("bin").applyInPandas(within, "a long, b long")
     return pairs.union(dense).distinct()
