@@ -23,9 +23,12 @@ empty manifest. Very long texts are one record. Other input columns are not read
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -38,8 +41,9 @@ from assayer.llm.common import store
 from assayer.session import shared_dir
 
 MASK_DELTA = 0xA282EAD8
-CACHE = 400_000  # encoded pieces a worker remembers
-_BATCH = 128
+CACHE = 300_000  # encoded pieces in a generation of a worker's memory
+_BATCH = 256
+_MARKS = ".,;:!?"
 
 MANIFEST = "file_no int, data string, records long, tokens long"
 
@@ -81,8 +85,11 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.first, self.rest = Tokenizer.from_file(path), {}, {}
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
+        self.tokenizer = Tokenizer.from_file(path)
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.marks = dict(zip(_MARKS, self.library(list(_MARKS))))
+        self.memory: dict[str, tuple[dict, dict]] = {"first": ({}, {}), "rest": ({}, {})}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -92,29 +99,45 @@ class Encoder:
         return cls._loaded[path]
 
     def library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        code = "H" if self.kind == "<u2" else "I"
+        return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.rest) + len(self.first) > CACHE:
-            self.first, self.rest = {}, {}
         cut = [t.split(" ") for t in texts]
-        self._learn(self.first, {p[0] for p in cut}, "")
-        self._learn(self.rest, {x for p in cut for x in p[1:]}, " ")
-        out, whole = [], []
+        first = self._known("first", [p[0] for p in cut], "")
+        rest = self._known("rest", list(chain.from_iterable(p[1:] for p in cut)), " ")
+        out, whole, at = [], [], 0
         for k, parts in enumerate(cut):
-            ids = [self.first[parts[0]], *map(self.rest.__getitem__, parts[1:])]
-            if None in ids:
+            ids = rest[at : at + len(parts) - 1]
+            at += len(parts) - 1
+            try:
+                out.append(b"".join([first[k], *ids]))
+            except TypeError:  # a piece the library has to see in its text
                 whole.append(k)
-            out.append(None if None in ids else b"".join(ids))
+                out.append(b"")
         for k, ids in zip(whole, self.library([texts[k] for k in whole])):
             out[k] = ids
         return out
 
-    def _learn(self, known: dict[str, bytes | None], pieces: set[str], lead: str) -> None:
-        new = [p for p in pieces if p not in known]
+    def _known(self, name: str, pieces: list[str], lead: str) -> list[bytes | None]:
+        """Ids of each piece, None where it borders on white space; two generations are remembered."""
+        young, old = self.memory[name]
+        new = set(pieces).difference(young)
+        for p in new.intersection(old):
+            young[p] = old[p]
+        new = list(new.difference(old))
         plain = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
-        known.update(dict.fromkeys(new))
-        known.update(zip(plain, self.library([lead + p for p in plain])))
+        young.update(dict.fromkeys(new))
+        # letters and one mark after them are cut apart as well, so the letters are looked up alone
+        marked = [p for p in plain if p[-1] in _MARKS and p[:-1].isalpha()]
+        bare = set(plain).difference(marked).union(p[:-1] for p in marked if p[:-1] not in young)
+        young.update(zip(bare, self.library([lead + p for p in bare])))
+        for p in marked:
+            young[p] = young[p[:-1]] + self.marks[p[-1]]
+        found = list(map(young.__getitem__, pieces))
+        if len(young) > CACHE:
+            self.memory[name] = ({}, young)
+        return found
 
 
 def write(docs: DataFrame, vocabulary: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
