@@ -131,15 +131,17 @@ def matches(
     doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
     """(doc_id, item_id, score): items whose alignment with a document reaches ``threshold``."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    # ids pass through pandas as text, which keeps nulls and large numbers as they are
+    rows = docs.select(F.col(doc_id).cast("string").alias("doc_id"), F.col(text).alias("text"))
     ids, result = rows.select("doc_id").schema, None
+    id_kind = docs.select(F.col(doc_id).alias("doc_id")).schema["doc_id"].dataType
     kind = benchmark.select(F.col(item_id).alias("item_id")).schema["item_id"].dataType
     for block in _blocks(benchmark, item_id, item_text):
         found = _match_block(rows, ids, Seeds(block, n), rare_share, least_seeds, threshold, kind)
         result = found if result is None else result.union(found)
     if result is None:
         result = rows.select("doc_id", F.lit(None).cast(kind).alias("item_id"), F.lit(0.0).alias("score")).limit(0)
-    return result.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
+    return result.groupBy(F.col("doc_id").cast(id_kind).alias("doc_id"), "item_id").agg(F.max("score").alias("score"))
 
 
 def _match_block(rows: DataFrame, ids: T.StructType, seeds: Seeds, rare_share: float, least: int, threshold: float, kind: T.DataType) -> DataFrame:
@@ -150,7 +152,8 @@ def _match_block(rows: DataFrame, ids: T.StructType, seeds: Seeds, rare_share: f
         for frame in frames:
             hits = [block.find(t)[1:] for t in frame["text"]]
             some = [k for k, h in enumerate(hits) if len(h[0])]
-            yield pd.DataFrame({"doc_id": frame["doc_id"].iloc[some], "at": [hits[k][0].tolist() for k in some], "seed": [hits[k][1].tolist() for k in some]})
+            if some:
+                yield pd.DataFrame({"doc_id": frame["doc_id"].iloc[some], "at": [hits[k][0].tolist() for k in some], "seed": [hits[k][1].tolist() for k in some]})
 
     hits = store(rows.mapInPandas(find, T.StructType([*ids, T.StructField("at", _PLACES), T.StructField("seed", _PLACES)])), "seed-hits")
     counts = dict(hits.select(F.explode(F.array_distinct("seed")).alias("s")).groupBy("s").count().collect())  # one row a seed of the block
@@ -187,7 +190,8 @@ def _match_block(rows: DataFrame, ids: T.StructType, seeds: Seeds, rare_share: f
                         out["doc_id"].append(frame["doc_id"].iloc[row])
                         out["item_id"].append(names[item])
                         out["score"].append(value)
-            yield pd.DataFrame(out)
+            if out["score"]:
+                yield pd.DataFrame(out)
 
     again = rows.join(chosen.select(F.col("doc_id").alias("id")), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
     return again.mapInPandas(score, rows.select("doc_id").schema.add("item_id", kind).add("score", "double"))

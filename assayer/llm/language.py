@@ -156,7 +156,7 @@ def _ratios(table: np.ndarray, codes: np.ndarray) -> np.ndarray:
 def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = (), text: str = "text") -> DataFrame:
     """The kept columns with ``lang_pred``, ``score`` and ``ambiguous``, from the text alone."""
     letters: Column = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.when(letters, F.col(text)).alias("text"))
+    rows = docs.select(*[F.col(c).cast("string").alias(f"k{i}") for i, c in enumerate(keep)], F.when(letters, F.col(text)).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed width times the bits of the codewords
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -171,4 +171,6 @@ def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = (), te
             yield out
 
     schema = rows.drop("text").schema.add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
-    return rows.mapInPandas(run, schema).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score", "ambiguous")
+    # kept columns pass through pandas as text, which keeps nulls and large numbers as they are
+    kinds = docs.select(*keep).schema
+    return rows.mapInPandas(run, schema).select(*[F.col(f"k{i}").cast(kinds[i].dataType).alias(c) for i, c in enumerate(keep)], "lang_pred", "score", "ambiguous")
