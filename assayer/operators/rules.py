@@ -26,6 +26,7 @@ from assayer.functions.paths import (
     name_globs_to_regex,
     tree_globs_to_regex,
 )
+from assayer.operators.source_code import symbols
 from assayer.operators.tool_output import junit_totals, mypy_outcome, pytest_outcome, ruff_outcome
 
 # Text that weakens a test configuration, and its size limit.
@@ -230,7 +231,7 @@ def _glob_candidates(specs: DataFrame, evidence: Evidence) -> DataFrame:
 
 def ast_defines_violations(specs: DataFrame, evidence: Evidence) -> DataFrame:
     """Files in forbidden places that define the symbol too."""
-    defined = evidence.parsed.select("tree_id", "path", F.inline("symbols").alias("ord", "symbol_kind", "symbol", "signature"))
+    defined = symbols(evidence.parsed).withColumnsRenamed({"kind": "symbol_kind", "name": "symbol"})
     hits = _glob_candidates(specs, evidence).join(
         defined, ["tree_id", "path", "symbol", "symbol_kind"], "left_semi"
     )
@@ -238,8 +239,8 @@ def ast_defines_violations(specs: DataFrame, evidence: Evidence) -> DataFrame:
 
 
 def _definitions(parsed: DataFrame) -> DataFrame:
-    return parsed.select("tree_id", F.col("path").alias("in_path"), F.inline("symbols")).select(
-        "tree_id", "in_path", F.col("kind"), F.col("name").alias("symbol"), F.col("signature").alias("actual")
+    return symbols(parsed).select(
+        "tree_id", F.col("path").alias("in_path"), "kind", F.col("name").alias("symbol"), F.col("signature").alias("actual")
     )
 
 

@@ -10,7 +10,7 @@ import ast
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions.paths import is_visible_test
@@ -20,30 +20,38 @@ _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 
 FACTS = (
     "parsed boolean, test_functions int, asserts int, "
-    "symbols array<struct<ord:int,kind:string,name:string,signature:string>>, "
+    "symbols array<struct<ord:int,kind:string,name:string,"
+    "parameters:array<struct<mark:string,name:string,annotation:string,value:string>>,returns:string>>, "
     "imports array<struct<ord:int,module:string,name:string>>"
 )
 
 
-def _parameter(arg: ast.arg, default: ast.expr | None = None, stars: str = "") -> str:
-    annotation = f": {ast.unparse(arg.annotation)}" if arg.annotation else ""
-    value = f" = {ast.unparse(default)}" if default else ""
-    return f"{stars}{arg.arg}{annotation}{value}"
+def _text(node: ast.expr | None) -> str | None:
+    return None if node is None else ast.unparse(node)
 
 
-def signature_text(node: ast.FunctionDef | ast.AsyncFunctionDef) -> str:
-    """Parameters in declaration order without the ``/`` and ``*`` markers, then the return type."""
+def _header(node: ast.FunctionDef | ast.AsyncFunctionDef) -> tuple[list[dict], str | None]:
+    """A function's parameters in order, one row each, and its return annotation."""
     spec = node.args
-    plain = spec.posonlyargs + spec.args
-    missing = len(plain) - len(spec.defaults)
-    shown = [_parameter(a, spec.defaults[i - missing] if i >= missing else None) for i, a in enumerate(plain)]
-    if spec.vararg:
-        shown.append(_parameter(spec.vararg, stars="*"))
-    shown += [_parameter(a, d) for a, d in zip(spec.kwonlyargs, spec.kw_defaults)]
-    if spec.kwarg:
-        shown.append(_parameter(spec.kwarg, stars="**"))
-    arrow = f" -> {ast.unparse(node.returns)}" if node.returns else ""
-    return "(" + ", ".join(shown) + ")" + arrow
+    listed = [*spec.posonlyargs, *spec.args]
+    values = {a.arg: d for a, d in [*zip(reversed(listed), reversed(spec.defaults)), *zip(spec.kwonlyargs, spec.kw_defaults)]}
+    marked = [("", a) for a in listed] + [("*", spec.vararg)] + [("", a) for a in spec.kwonlyargs] + [("**", spec.kwarg)]
+    rows = [
+        {"mark": mark, "name": a.arg, "annotation": _text(a.annotation), "value": _text(values.get(a.arg))}
+        for mark, a in marked if a is not None
+    ]
+    return rows, _text(node.returns)
+
+
+def signature(parameters: Column, returns: Column) -> Column:
+    """``(a: int, *rest, key = 1) -> int`` from parameter rows and a return annotation; null without rows."""
+    shown = F.transform(
+        parameters,
+        lambda p: F.concat(
+            p["mark"], p["name"], F.coalesce(F.concat(F.lit(": "), p["annotation"]), F.lit("")), F.coalesce(F.concat(F.lit(" = "), p["value"]), F.lit(""))
+        ),
+    )
+    return F.concat(F.lit("("), F.array_join(shown, ", "), F.lit(")"), F.coalesce(F.concat(F.lit(" -> "), returns), F.lit("")))
 
 
 def _facts(text: str | None) -> tuple:
@@ -54,19 +62,19 @@ def _facts(text: str | None) -> tuple:
         return False, 0, 0, [], []
     found: dict[tuple[str, str], tuple] = {}
 
-    def note(kind: str, node: ast.AST, signature: str | None) -> None:
-        found.setdefault((kind, node.name), (len(found), kind, node.name, signature))
+    def note(kind: str, node: ast.AST, header: tuple = (None, None)) -> None:
+        found.setdefault((kind, node.name), (len(found), kind, node.name, *header))
 
     imports, tests, asserts = [], 0, 0
     for node in nodes:
         if isinstance(node, _FUNCTIONS):
-            note("function", node, signature_text(node))
+            note("function", node, _header(node))
             tests += node.name.startswith("test_")
         elif isinstance(node, ast.ClassDef):
-            note("class", node, None)
+            note("class", node)
             for member in node.body:
                 if isinstance(member, _FUNCTIONS):
-                    note("method", member, signature_text(member))
+                    note("method", member, _header(member))
         elif isinstance(node, ast.Assert):
             asserts += 1
         elif isinstance(node, ast.Import):
@@ -78,7 +86,7 @@ def _facts(text: str | None) -> tuple:
 
 def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = ["parsed", "test_functions", "asserts", "symbols", "imports"]
-    names = {"symbols": ("ord", "kind", "name", "signature"), "imports": ("ord", "module", "name")}
+    names = {"symbols": ("ord", "kind", "name", "parameters", "returns"), "imports": ("ord", "module", "name")}
     for batch in batches:
         facts = pd.DataFrame([_facts(text) for text in batch["text"]], columns=columns, index=batch.index)
         for column, keys in names.items():
@@ -94,7 +102,8 @@ def parse_sources(files: DataFrame) -> DataFrame:
 
 def symbols(parsed: DataFrame) -> DataFrame:
     """First definition of each (kind, name) per file, numbered in walk order."""
-    return parsed.select("tree_id", "path", F.inline("symbols"))
+    found = parsed.select("tree_id", "path", F.inline("symbols"))
+    return found.select("tree_id", "path", "ord", "kind", "name", signature(F.col("parameters"), F.col("returns")).alias("signature"))
 
 
 def imports(parsed: DataFrame) -> DataFrame:

@@ -80,7 +80,7 @@ def parse_query_string(query: Column) -> Column:
     return F.map_from_entries(last_entries(pairs))
 
 
-def dependency_levels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def dependency_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Level of each node: 0 without dependencies, else one above its deepest one.
 
     ``nodes(node)`` and ``edges(node, dependency)``. Every round releases the
@@ -96,7 +96,7 @@ def dependency_levels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_0
     waiting = cut_lineage(everyone)
     done = waiting.withColumn("level", F.lit(0)).limit(0)
     level = 0
-    while level < max_rounds:
+    while True:
         blocked = links.select("node").distinct()
         marked = cut_lineage(waiting.join(blocked.withColumn("__blocked", F.lit(True)), "node", "left"))
         free = marked.filter("__blocked is null").select("node")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,14 +33,12 @@ def build_session(app_name: str = "assayer", master: str | None = None, **conf:
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder below the storage every executor can reach.
 
-    The cluster names that storage in ``spark.checkpoint.dir``. Only a local
-    master may fall back to a temporary folder of the machine.
+    The cluster names that storage in ``spark.checkpoint.dir``; where it is unset,
+    the warehouse, which is shared as well, takes its place.
     """
     base = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="assayer-")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/assayer-{purpose}-{uuid.uuid4().hex}"
 
