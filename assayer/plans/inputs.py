@@ -9,7 +9,7 @@ SELECT event_type AS task_id, CAST(user_id AS STRING) AS agent, event_id, ts AS
 FROM {events}"""
 
 LEFT_RUNS = RUNS + " WHERE ts < TIMESTAMP '2024-01-16 00:00:00'"
-RIGHT_RUNS = RUNS + " WHERE ts >= TIMESTAMP '2024-01-16 00:00:00' AND user_id % 7 <> 0"
+RIGHT_RUNS = RUNS + " WHERE ts >= TIMESTAMP '2024-01-16 00:00:00'"
 
 CHECKS = """
 SELECT l_orderkey AS run, l_returnflag = 'R' AS required, l_quantity AS weight,
@@ -35,4 +35,4 @@ SELECT doc_id, source AS tree_id, {_PATH} AS path,
        CASE WHEN doc_id % 5 = 0 THEN text || ' and one more line' ELSE text END AS text, lang,
        CASE WHEN doc_id % 23 = 0 THEN 'symlink' ELSE 'file' END AS kind,
        CASE WHEN doc_id % 13 = 0 THEN doc_id % 3 <> 0 ELSE doc_id % 3 = 0 END AS executable
-FROM {{documents}} WHERE doc_id % 11 <> 0"""
+FROM {{documents}} WHERE doc_id % 11 <> 0 OR doc_id % 7 = 0"""

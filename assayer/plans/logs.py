@@ -152,10 +152,10 @@ def token_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     "N09_usage_container",
     f"""SELECT event_id, CASE form WHEN 0 THEN 'input_tokens|output_tokens' WHEN 1 THEN 'completion_tokens|output_tokens|tokens_in'
         WHEN 2 THEN 'completion_tokens|cost|prompt_tokens' WHEN 5 THEN 'cost|cost_usd|prompt_tokens|tokens_in|total_cost_usd'
-        WHEN 7 THEN 'cost_usd|input_tokens|output_tokens' END AS members FROM {plain(_JSON_LINES)} WHERE form NOT IN (3, 4)""",
+        WHEN 7 THEN 'cost_usd|input_tokens|output_tokens' END AS members FROM {plain(_JSON_LINES)}""",
 )
 def usage_container(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = derive(spark, sf_dir, _JSON_LINES).filter("form NOT IN (3, 4)")
+    lines = derive(spark, sf_dir, _JSON_LINES)
     container = usage.usage_container(F.try_parse_json("line")).cast("string")
     members = F.array_join(F.array_sort(F.json_object_keys(container)), "|")
     return lines.select("event_id", members.alias("members"))
@@ -225,10 +225,10 @@ def _falling(found: str) -> str:
     f"""SELECT o_orderkey, exit_code IN (0, 1) AND NOT timed_out AND {_RUFF} <= 2 AS ruff_passed,
         round(CASE WHEN exit_code IN (0, 1) AND NOT timed_out THEN {_falling(_RUFF)} ELSE 0.0 END, 10) AS ruff_score,
         exit_code = 0 AND NOT timed_out AS mypy_passed, round({_falling(_MYPY)}, 10) AS mypy_score
-        FROM {plain(_TOOLS)} WHERE form NOT IN (2, 3)""",
+        FROM {plain(_TOOLS)}""",
 )
 def tool_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tools = derive(spark, sf_dir, _TOOLS).filter("form NOT IN (2, 3)")
+    tools = derive(spark, sf_dir, _TOOLS)
     code, late, ten = F.col("exit_code"), F.col("timed_out"), F.lit(10)
     ruff = tool_output.ruff_outcome(F.col("ruff"), code, late, F.lit(2), ten)
     mypy = tool_output.mypy_outcome(F.col("mypy"), code, late, ten)
@@ -271,10 +271,10 @@ def junit_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
         total > 0 AND failures = 0 AND errors = 0 AND skipped = 0 AND clean AS passed,
         round(CASE WHEN total = 0 THEN 0.0 ELSE greatest(0, total - failures - errors - skipped) / total END, 10) AS score
         FROM (SELECT o_orderkey, clean, {_TOTALS['tests']} AS total, {_TOTALS['failures']} AS failures, {_TOTALS['errors']} AS errors,
-              {_TOTALS['skipped']} AS skipped FROM {plain(_JUNIT)} WHERE form NOT IN (2, 3))""",
+              {_TOTALS['skipped']} AS skipped FROM {plain(_JUNIT)})""",
 )
 def pytest_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reports = derive(spark, sf_dir, _JUNIT).filter("form NOT IN (2, 3)")
+    reports = derive(spark, sf_dir, _JUNIT)
     code = F.when(F.col("clean"), 0).otherwise(1)
     outcome = tool_output.pytest_outcome(tool_output.junit_totals(F.col("xml")), code, F.lit(False))
     table = reports.select("o_orderkey", outcome.alias("o")).select("o_orderkey", "o.*")
