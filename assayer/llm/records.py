@@ -122,10 +122,12 @@ class Encoder:
     def _known(self, name: str, pieces: list[str], lead: str) -> list[bytes | None]:
         """Ids of each piece, None where it borders on white space; two generations are remembered."""
         young, old = self.memory[name]
-        new = set(pieces).difference(young)
+        found = list(map(young.get, pieces))
+        open_ = [k for k, ids in enumerate(found) if ids is None]
+        new = {pieces[k] for k in open_}.difference(young)
         for p in new.intersection(old):
             young[p] = old[p]
-        new = list(new.difference(old))
+        new.difference_update(old)
         plain = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
         young.update(dict.fromkeys(new))
         # letters and one mark after them are cut apart as well, so the letters are looked up alone
@@ -134,7 +136,8 @@ class Encoder:
         young.update(zip(bare, self.library([lead + p for p in bare])))
         for p in marked:
             young[p] = young[p[:-1]] + self.marks[p[-1]]
-        found = list(map(young.__getitem__, pieces))
+        for k in open_:
+            found[k] = young[pieces[k]]
         if len(young) > CACHE:
             self.memory[name] = ({}, young)
         return found
@@ -196,7 +199,8 @@ def read(manifest: DataFrame, with_ids: bool = False, order_seed: int | None = N
                 yield from _read_file(data, int(first), with_ids, None if order_seed is None else [order_seed, int(number)])
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    return files.repartition(F.col("file_no")).mapInPandas(run, schema)
+    # a file a task; a given number is not merged at run time, however few rows the manifest has
+    return files.repartitionByRange(max(1, manifest.count()), "file_no").mapInPandas(run, schema)
 
 
 def _read_file(data: str, first: int, with_ids: bool, seed: list[int] | None) -> Iterator[pd.DataFrame]:
