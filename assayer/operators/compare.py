@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -32,12 +31,9 @@ def _interval(low: Column, high: Column) -> Column:
     return F.concat(fixed(low, 3), F.lit(".."), fixed(high, 3))
 
 
-def heatmap(aggregates: DataFrame, rows: str, columns: str, values: Sequence[str]) -> DataFrame:
-    """One row per ``rows`` value, one pass-rate column per listed ``columns`` value."""
-    cells = [
-        F.max(F.when(F.col(columns) == value, F.col("pass_at_1"))).alias(str(value)) for value in values
-    ]
-    return aggregates.groupBy(rows).agg(*cells)
+def heatmap(aggregates: DataFrame, rows: str, columns: str) -> DataFrame:
+    """The pass rate of every pair of a ``rows`` and a ``columns`` value in the data, a row each."""
+    return aggregates.groupBy(rows, columns).agg(F.max("pass_at_1").alias("pass_at_1"))
 
 
 def compare_agents(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -31,7 +31,6 @@ from assayer.operators.tool_output import junit_totals, mypy_outcome, pytest_out
 
 # Text that weakens a test configuration, and its size limit.
 SABOTAGE_PATTERNS = ("addopts", "--ignore", "python_files =", "testpaths =", "filterwarnings")
-MAX_TEST_CONFIG_BYTES = 256 * 1024
 
 HEAD = ("tree_id", "position", "name", "type", "required", "weight")
 
@@ -171,17 +170,18 @@ def weakened_tests(base: DataFrame, current: DataFrame) -> DataFrame:
     )
 
 
-def suspicious_configs(files: DataFrame, base_files: DataFrame | None = None) -> DataFrame:
+def suspicious_configs(files: DataFrame, base_files: DataFrame | None = None, limit_bytes: int | None = None) -> DataFrame:
     """Test configuration that is unsafe, unreadable or holds a weakening pattern.
 
     Structural problems end the look at a file. With ``base_files`` only
-    patterns that the base version of the file did not have are reported.
+    patterns that the base version of the file did not have are reported. A
+    file above ``limit_bytes``, if set, is itself a finding and is not searched.
     """
     def findings(table: DataFrame) -> DataFrame:
         size, raw = F.octet_length("content"), F.col("content").cast("string")
         structural = (
             F.when(F.col("kind") != "file", "unsafe test config path")
-            .when(size > MAX_TEST_CONFIG_BYTES, "test config is too large")
+            .when(F.lit(False) if limit_bytes is None else size > limit_bytes, "test config is too large")
             .when(~F.is_valid_utf8(raw), "cannot read test config")
         )
         text = F.lower(F.when(structural.isNull(), raw))

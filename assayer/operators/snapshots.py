@@ -15,7 +15,6 @@ from assayer.functions.text import scrub
 from assayer.operators.ordered import list_parts
 from assayer.operators.scrubbing import scrub_with_registry
 
-TEXT_LIMIT_BYTES = 256 * 1024
 # Prefix lengths of the hashed path at which a tree's entries are folded, widest first.
 FOLD_LEVELS = (5, 2, 0)
 
@@ -103,10 +102,10 @@ def changed_files_documents(changes: DataFrame, registry: Column | None = None,
     return lists.select("tree_id", "part", F.to_json(F.struct("added", "modified", "removed")).alias("document"))
 
 
-def readable_text(content: Column, kind: Column, limit: int = TEXT_LIMIT_BYTES) -> Column:
-    """Text of a regular UTF-8 file up to ``limit`` bytes; null for anything else."""
+def readable_text(content: Column, kind: Column, limit: int | None = None) -> Column:
+    """Text of a regular UTF-8 file, up to ``limit`` bytes if one is set; null for anything else."""
     text = content.cast("string")
-    fits = (kind == "file") & (F.octet_length(content) <= limit)
+    fits = kind == "file" if limit is None else (kind == "file") & (F.octet_length(content) <= limit)
     return F.when(fits & F.is_valid_utf8(text), text)
 
 
@@ -128,13 +127,13 @@ def text_diffs(
     base: DataFrame,
     current: DataFrame,
     secrets: DataFrame | None = None,
-    limit: int = TEXT_LIMIT_BYTES,
+    limit: int | None = None,
 ) -> DataFrame:
     """Unified diff per changed file; a marker line where either side has no text.
 
     Only modified files need texts. They come by inner joins, so a small set of
     changes is broadcast to the files instead of shuffling the files, and only
-    pairs of bounded texts reach the Python workers.
+    pairs of texts, bounded if ``limit`` is set, reach the Python workers.
     """
     def texts(files: DataFrame, name: str) -> DataFrame:
         return files.select("tree_id", "path", readable_text(F.col("content"), F.col("kind"), limit).alias(name))

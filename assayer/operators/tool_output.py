@@ -9,7 +9,6 @@ from assayer.functions.binding import let
 from assayer.functions.metrics import threshold_score
 from assayer.functions.text import lines_of, strip
 
-JUNIT_LIMIT_BYTES = 1024 * 1024
 _SUITE = "_tests:string,_failures:string,_errors:string,_skipped:string"
 _JUNIT = f"{_SUITE.replace(':', ' ')}, testsuite array<struct<{_SUITE}>>, bad string"
 _COUNTS = ("tests", "failures", "errors", "skipped")
@@ -31,13 +30,14 @@ def mypy_count(stdout: Column) -> Column:
     )
 
 
-def junit_totals(xml: Column) -> Column:
+def junit_totals(xml: Column, limit_bytes: int | None = None) -> Column:
     """``struct(tests, failures, errors, skipped, problem)`` over the direct suites.
 
     A missing report counts as one error. ``problem`` says why a report cannot
-    be used; its counts are then null.
+    be used; its counts are then null. Reports of any size are read unless the
+    caller sets ``limit_bytes``.
     """
-    size_ok = F.octet_length(xml) <= JUNIT_LIMIT_BYTES
+    size_ok = F.lit(True) if limit_bytes is None else F.octet_length(xml) <= limit_bytes
     parsed = F.from_xml(F.when(size_ok, xml), _JUNIT, {"columnNameOfCorruptRecord": "bad", "mode": "PERMISSIVE"})
     root = F.regexp_extract(F.regexp_replace(xml, r"(?s)<!--.*?-->", ""), r"<([A-Za-z_][\w:.-]*)", 1)
     missing = [F.lit(1 if name == "errors" else 0).alias(name) for name in _COUNTS]

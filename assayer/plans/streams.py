@@ -68,16 +68,18 @@ def last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.read_upserted(spark, out, ["run_key"], ["created_at", "score"]).select("task_id", "agent", "created_at", "score")
 
 
-@query("T02_first_wins", f"SELECT DISTINCT task_id, agent FROM {plain(SAVES)}")
+@query(
+    "T02_first_wins",
+    f"""SELECT task_id, agent, created_at, score FROM {plain(SAVES)}
+        QUALIFY row_number() OVER (PARTITION BY task_id, agent ORDER BY CAST(floor(score) AS BIGINT) % 4, created_at, score) = 1""",
+)
 def first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     saves = with_run_key(derive(spark, sf_dir, SAVES))
-
-    def sink(stream: DataFrame, path: str, state: str) -> DataStreamWriter:
-        timed = stream.withColumn("finished_at", F.timestamp_seconds(F.col("created_at") % 1000000))
-        return _to_parquet(streams.first_wins(timed, delay="60 days"), path, state)
-
-    out = _play(saves, "CAST(score AS BIGINT) % 4", "stream-first", sink)
-    return spark.read.parquet(out).select("task_id", "agent")
+    out = _play(
+        saves, "CAST(floor(score) AS BIGINT) % 4", "stream-first",
+        lambda stream, path, state: streams.first_wins(stream, path, state, ["run_key"], ["created_at", "score"]),
+    )
+    return streams.read_first(spark, out, ["run_key"], ["created_at", "score"]).select("task_id", "agent", "created_at", "score")
 
 
 _LIVE = ("pass_at_1", "pass_at_5", "ci_low", "ci_high", "mean_score", "score_std_dev", "mean_cost_usd")

@@ -191,18 +191,15 @@ def task_version_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.task_version_hash(parts)
 
 
-_LIMIT = 2000
-
-
 @query(
     "S11_readable_text",
-    f"""SELECT doc_id, CASE WHEN kind = 'file' AND strlen(text) <= {_LIMIT} AND doc_id % 13 <> 0 THEN text END AS text
+    f"""SELECT doc_id, CASE WHEN kind = 'file' AND doc_id % 13 <> 0 THEN text END AS text
         FROM {_FILES}""",
 )
 def readable_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     broken = F.concat(F.unhex(F.lit("FF")), F.col("content"))
     table = files(spark, sf_dir).withColumn("content", F.when(F.col("doc_id") % 13 == 0, broken).otherwise(F.col("content")))
-    text = snapshots.readable_text(F.col("content"), F.col("kind"), _LIMIT)
+    text = snapshots.readable_text(F.col("content"), F.col("kind"))
     return table.select("doc_id", text.alias("text"))
 
 

@@ -29,11 +29,6 @@ def stream_runs(spark: SparkSession, path: str, schema: StructType, files_per_ba
     return reader.json(path)
 
 
-def first_wins(runs: DataFrame, key: str = "run_key", event_time: str = "finished_at", delay: str = "1 day") -> DataFrame:
-    """Keeps the first arrival of each key within the delay."""
-    return runs.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
-
-
 def _write_batch(path: str, prepare: Callable[[DataFrame, int], DataFrame]) -> Callable[[DataFrame, int], None]:
     def write(batch: DataFrame, batch_id: int) -> None:
         prepare(batch, batch_id).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
@@ -55,6 +50,20 @@ def read_upserted(spark: SparkSession, path: str, keys: Sequence[str], newest_fi
     return latest(spark.read.parquet(path), keys, order).drop("batch")
 
 
+def first_wins(runs: DataFrame, path: str, checkpoint: str, keys: Sequence[str], oldest_first: Sequence[str]) -> DataStreamWriter:
+    """First-wins sink: the oldest row per key of each batch is kept; no row is too late to be written."""
+    order = [F.col(c).asc() for c in oldest_first]
+    return runs.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
+        _write_batch(path, lambda batch, _: latest(batch, keys, order))
+    )
+
+
+def read_first(spark: SparkSession, path: str, keys: Sequence[str], oldest_first: Sequence[str]) -> DataFrame:
+    """First arrival of each key: its row in the earliest batch of a first-wins sink."""
+    order = [F.col(c).asc() for c in ("batch", *oldest_first)]
+    return latest(spark.read.parquet(path), keys, order).drop("batch")
+
+
 def compact(spark: SparkSession, path: str, target: str, keys: Sequence[str], newest_first: Sequence[str]) -> None:
     """Writes the current state as the first batch of a new sink folder."""
     read_upserted(spark, path, keys, newest_first).write.mode("overwrite").parquet(f"{target}/batch=-1")

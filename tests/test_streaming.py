@@ -92,3 +92,12 @@ def test_edit_replay_over_two_batches(spark, tmp_path):
 
 def test_replay_rules():
     assert edits.replay([], 0, [("undo", ""), ("redo", ""), ("append", "x"), ("undo", ""), ("undo", ""), ("redo", "")]) == (["x"], 1)
+
+
+def test_first_arrival_wins_however_late_a_row_comes(spark, tmp_path):
+    folder, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    for arrival in ([("a", 5, 0.5), ("a", 4, 0.25)], [("a", 1, 1.0), ("b", 9_000_000, 0.5)], [("c", 0, 0.75), ("b", 2, 1.0)]):
+        _arrive(folder, f"f{len(list(folder.glob('*.json'))) if folder.exists() else 0}", *[{"run_key": k, "at": at, "score": s} for k, at, s in arrival])
+        _run(streams.first_wins(_source(spark, folder), out, state, ["run_key"], ["at"]))
+    rows = streams.read_first(spark, out, ["run_key"], ["at"]).orderBy("run_key").collect()
+    assert [(r.run_key, r.at, r.score) for r in rows] == [("a", 4, 0.25), ("b", 9_000_000, 0.5), ("c", 0, 0.75)]
