@@ -28,12 +28,11 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,7 +42,7 @@ from assayer.session import shared_dir
 
 MASK_DELTA = 0xA282EAD8
 CACHE = 300_000  # encoded pieces in a generation of a worker's memory
-_BATCH = 1024
+_BATCH = 256
 _MARKS = ".,;:!?"
 _LINE = 1000  # pieces the library sees in one text
 _PROBES = ("a", "B7", "\u00e9", "\u4e2d", "'s", "x'", *"0!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
@@ -75,18 +74,11 @@ def read_frame(stream) -> bytes | None:
     return payload
 
 
-def _solid(piece: str) -> bool:
-    """Neither empty nor with white space at an end."""
-    return bool(piece) and not piece[0].isspace() and not piece[-1].isspace()
-
-
 class Encoder:
     """Whole texts to token ids as bytes.
 
     A byte-level tokenizer cuts a text before a single space between two characters that are not
     white space, so the pieces between such spaces are encoded by the library once and remembered.
-    The pieces of many texts are numbered first, so that memory is asked once for each distinct one.
-    A line feed between two such characters stands alone as well, so pieces are cut there again.
     New pieces go to the library as the lines of a text, and the ids are cut at the line feed's, where
     probes show that the vocabulary keeps lines apart. Texts with any other use of spaces go to the
     library whole.
@@ -137,36 +129,20 @@ class Encoder:
         return [out[p] for p in pieces]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if not texts:
-            return []
-        cut = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
-        starts = cut.offsets.to_numpy()[:-1].astype(np.int64)
-        pieces = cut.flatten()
-        later = np.ones(len(pieces), bool)
-        later[starts] = False
-        distinct = pieces.filter(pa.array(later)).dictionary_encode()
-        known = self._known("first", pieces.take(pa.array(starts)).to_pylist(), "") + self._known("rest", distinct.dictionary.to_pylist(), " ")
-
-        # each piece's place among the known ids, then all ids in the order of the texts
-        code = np.empty(len(pieces), np.int64)
-        code[starts] = np.arange(len(starts))
-        code[later] = distinct.indices.to_numpy() + len(starts)
-        width = int(self.kind[2])
-        lengths = np.fromiter((len(ids or b"") for ids in known), np.int64, len(known)) // width
-        origin = (np.cumsum(lengths) - lengths)[code]
-        counts = lengths[code]
-        ends = np.cumsum(counts)
-        place = np.arange(ends[-1])
-        place += np.repeat(origin - (ends - counts), counts)
-        ids = np.frombuffer(b"".join(filter(None, known)), self.kind)[place].tobytes()
-
-        bounds = [0, *(ends[np.append(starts[1:], len(pieces)) - 1] * width).tolist()]
-        out = [ids[x:y] for x, y in zip(bounds, bounds[1:])]
-        # texts with a piece that the library has to see in its text
-        open_ = np.fromiter((ids is None for ids in known), bool, len(known))[code]
-        whole = np.flatnonzero(np.logical_or.reduceat(open_, starts)).tolist()
-        for k, encoded in zip(whole, self.library([texts[k] for k in whole])):
-            out[k] = encoded
+        cut = [t.split(" ") for t in texts]
+        first = self._known("first", [p[0] for p in cut], "")
+        rest = self._known("rest", list(chain.from_iterable(p[1:] for p in cut)), " ")
+        out, whole, at = [], [], 0
+        for k, parts in enumerate(cut):
+            ids = rest[at : at + len(parts) - 1]
+            at += len(parts) - 1
+            try:
+                out.append(b"".join([first[k], *ids]))
+            except TypeError:  # a piece the library has to see in its text
+                whole.append(k)
+                out.append(b"")
+        for k, ids in zip(whole, self.library([texts[k] for k in whole])):
+            out[k] = ids
         return out
 
     def _known(self, name: str, pieces: list[str], lead: str) -> list[bytes | None]:
@@ -178,15 +154,7 @@ class Encoder:
         for p in new.intersection(old):
             young[p] = old[p]
         new.difference_update(old)
-        if lead in self.apart and "" in self.apart:
-            lined = {p: p.split("\n") for p in new if "\n" in p}
-            lined = {p: parts for p, parts in lined.items() if all(map(_solid, parts))}
-            heads = self._known(name, [parts[0] for parts in lined.values()], lead) if lined else []
-            tails = iter(self._known("first", list(chain.from_iterable(parts[1:] for parts in lined.values())), "") if lined else [])
-            for (p, parts), head in zip(lined.items(), heads):
-                young[p] = self.feed.join([head, *islice(tails, len(parts) - 1)])
-            new.difference_update(young)
-        plain = list(filter(_solid, new))
+        plain = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
         young.update(dict.fromkeys(new))
         # letters and one mark after them are cut apart as well, so the letters are looked up alone
         marked = [p for p in plain if p[-1] in _MARKS and p[:-1].isalpha()]
