@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from assayer.functions.keys import run_key, run_seed
 from assayer.functions.text import strip
 from assayer.operators.ordered import ROWS_PER_SPLIT, running
+from assayer.operators.quality import check_settings
 from assayer.session import spread
 
 # Adapter names and which of them accept a model, metadata keys that
@@ -26,11 +27,10 @@ def build_matrix(tasks: DataFrame, agents: Sequence[str], repeats: int, base_see
     """One cell per (task, agent, repeat) with its seed.
 
     Agents and repeats are parameters, so each task row is expanded in place and
-    nothing is joined. Extra task columns are kept. A small task table is dealt
+    nothing is joined. Extra task columns are kept. ``repeats`` has the bounds of rule V21. A small task table is dealt
     out first, because the expansion and its hashing stay in the row's partition.
     """
-    if repeats < 1:
-        raise ValueError("repeats must be at least 1")
+    check_settings(repeats=repeats)
     cells = spread(tasks).withColumn("agent", F.explode(F.array(*[F.lit(a) for a in sorted(agents)]))).withColumn(
         "repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))
     )

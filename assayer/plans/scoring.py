@@ -194,6 +194,28 @@ def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(board.select("agent", "task_id", "repeats", "successes", *rounded), *rounded)
 
 
+def _text_sql(*parts: str) -> str:
+    """Parts joined to a text line; a part ``name:format`` is a number with three decimals."""
+    return " || ".join(f"format('{{:{p.split(':')[1]}}}', {p.split(':')[0]})" if ":" in p else p for p in parts)
+
+
+_THREE = ".3f"
+
+
+def _interval_sql(low: str, high: str) -> tuple[str, ...]:
+    return f"{low}:{_THREE}", "'..'", f"{high}:{_THREE}"
+
+
+@query(
+    "O01_leaderboard_lines",
+    f"""SELECT {_text_sql("agent", "chr(9)", "task_id", "chr(9)", "'pass@1='", f"pass_at_1:{_THREE}", "chr(9)", "'ci95='",
+                          *_interval_sql("ci_low", "ci_high"), "chr(9)", "'score='", f"mean_score:{_THREE}")} AS line
+        FROM ({AGGREGATES_SQL}) ORDER BY pass_at_1 DESC, agent, task_id""",
+)
+def leaderboard_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.leaderboard_lines(aggregates(spark, sf_dir))
+
+
 @query(
     "O02_index_order",
     f"SELECT agent, task_id, round(pass_at_1, 10) AS pass_at_1 FROM ({AGGREGATES_SQL}) ORDER BY pass_at_1 DESC, agent, task_id",
@@ -235,6 +257,33 @@ def compare_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(table, *[c for c in table.columns if c.startswith(("left_", "right_"))])
 
 
+@query(
+    "J09_compare_agent_lines",
+    f"""SELECT coalesce(l.agent, r.agent) || ': ' || CASE WHEN l.agent IS NULL OR r.agent IS NULL THEN 'missing on one side' ELSE
+               {_text_sql("'pass_at_1 '", f"l.pass_at_1:{_THREE}", "' ci95='", *_interval_sql("l.ci_mean_low", "l.ci_mean_high"),
+                          "' -> '", f"r.pass_at_1:{_THREE}", "' ci95='", *_interval_sql("r.ci_mean_low", "r.ci_mean_high"),
+                          "' (delta '", f"r.pass_at_1 - l.pass_at_1:+{_THREE}", "')'")} END AS line
+        FROM ({_by_agent_sql(_LEFT)}) l FULL JOIN ({_by_agent_sql(_RIGHT)}) r ON l.agent = r.agent""",
+)
+def compare_agent_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left, right = (aggregates(spark, sf_dir, text) for text in (inputs.LEFT_RUNS, inputs.RIGHT_RUNS))
+    return compare.compare_agent_lines(compare.compare_agents(left, right))
+
+
+@query(
+    "J10_compare_task_lines",
+    f"""SELECT coalesce(l.task_id, r.task_id) || ' ' || coalesce(l.agent, r.agent) || ': ' ||
+               CASE WHEN l.agent IS NULL OR r.agent IS NULL THEN 'missing' ELSE
+               CASE WHEN r.pass_at_1 > l.pass_at_1 THEN 'improved' WHEN r.pass_at_1 < l.pass_at_1 THEN 'regressed' ELSE 'unchanged' END ||
+               {_text_sql("' pass_at_1 '", f"l.pass_at_1:{_THREE}", "' ci95='", *_interval_sql("l.ci_low", "l.ci_high"),
+                          "' -> '", f"r.pass_at_1:{_THREE}", "' ci95='", *_interval_sql("r.ci_low", "r.ci_high"))} END AS line
+        FROM ({_LEFT}) l FULL JOIN ({_RIGHT}) r ON l.agent = r.agent AND l.task_id = r.task_id""",
+)
+def compare_task_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left, right = (aggregates(spark, sf_dir, text) for text in (inputs.LEFT_RUNS, inputs.RIGHT_RUNS))
+    return compare.compare_task_lines(compare.compare_tasks(left, right))
+
+
 @query(
     "O07_union_of_keys",
     f"""SELECT task_id, agent, bool_or(side = 'left') AS in_left, bool_or(side = 'right') AS in_right FROM (
