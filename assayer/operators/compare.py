@@ -69,13 +69,16 @@ def compare_tasks(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def compare_agent_lines(compared: DataFrame) -> DataFrame:
-    """Text form of :func:`compare_agents`, ordered by agent."""
+    """Text form of :func:`compare_agents`, ordered by agent.
+
+    The last bits of a mean depend on the order of its sum, so a difference below 1e-10 has no sign.
+    """
     detail = F.concat(
         F.lit("pass_at_1 "), fixed(F.col("left_pass_at_1"), 3), F.lit(" ci95="),
         _interval(F.col("left_ci_mean_low"), F.col("left_ci_mean_high")), F.lit(" -> "),
         fixed(F.col("right_pass_at_1"), 3), F.lit(" ci95="),
         _interval(F.col("right_ci_mean_low"), F.col("right_ci_mean_high")),
-        F.lit(" (delta "), fixed(F.col("delta"), 3, signed=True), F.lit(")"),
+        F.lit(" (delta "), fixed(F.round("delta", 10) + 0.0, 3, signed=True), F.lit(")"),
     )
     text = F.when(F.col("missing_on_one_side"), "missing on one side").otherwise(detail)
     return compared.orderBy("agent").select(F.concat_ws(": ", F.col("agent"), text).alias("line"))

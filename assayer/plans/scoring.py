@@ -262,7 +262,7 @@ def compare_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""SELECT coalesce(l.agent, r.agent) || ': ' || CASE WHEN l.agent IS NULL OR r.agent IS NULL THEN 'missing on one side' ELSE
                {_text_sql("'pass_at_1 '", f"l.pass_at_1:{_THREE}", "' ci95='", *_interval_sql("l.ci_mean_low", "l.ci_mean_high"),
                           "' -> '", f"r.pass_at_1:{_THREE}", "' ci95='", *_interval_sql("r.ci_mean_low", "r.ci_mean_high"),
-                          "' (delta '", f"r.pass_at_1 - l.pass_at_1:+{_THREE}", "')'")} END AS line
+                          "' (delta '", f"(round(r.pass_at_1 - l.pass_at_1, 10) + 0.0):+{_THREE}", "')'")} END AS line
         FROM ({_by_agent_sql(_LEFT)}) l FULL JOIN ({_by_agent_sql(_RIGHT)}) r ON l.agent = r.agent""",
 )
 def compare_agent_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
