@@ -5,12 +5,13 @@ held against all documents. Per block:
 
 1. one pass over all whole texts finds the items' word n-grams ("seeds") in the documents and stores
    their places; nothing is shuffled but the seeds' document counts;
-2. of each item's seeds the rarer ones are kept: those no more frequent than the item's quantile
-   ``rare_share``. The measure is relative to the item, so an item copied into half the corpus
-   keeps its seeds too;
-3. documents with enough different rare seeds of an item near each other are read again and
-   aligned with it: local alignment of words, one point a match, one off a mismatch or gap, over the
-   item's number of words. Copies that were cut, edited or paraphrased in part keep most of the score.
+2. of each item's seeds the rarer ones are marked: those no more frequent than the quantile
+   ``rare_share`` of the item's seeds that occur at all. The measure is relative to the item, so an
+   item copied into half the corpus keeps its seeds too;
+3. documents with enough different rare seeds of an item near each other, or with as many seeds of any
+   kind as replaced and dropped words must leave at ``threshold``, are read again and aligned with
+   it: local alignment of words, one point a match, one off a mismatch or gap, over the item's number
+   of words. Copies that were cut, edited or paraphrased in part keep most of the score.
 
 Words are runs of letters, digits and underscores in lower case. Defined cases: null or empty texts
 and items match nothing, nor does an item of fewer words than a seed; repeated rows are reported once
@@ -21,7 +22,6 @@ rows. Other columns of the input are not read.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,11 +56,13 @@ class Seeds:
         for _, found in self.items:
             coded.append(self.code(found))
         self.codes = np.unique(np.concatenate(coded)) if coded else np.empty(0, np.int64)
-        owners = defaultdict(list)
-        for k, grams in enumerate(coded):
-            for g in np.unique(np.searchsorted(self.codes, grams)).tolist():
-                owners[g].append(k)
-        self.owners = dict(owners)
+        own = [np.unique(np.searchsorted(self.codes, grams)) for grams in coded]
+        seed, item = np.concatenate([[], *own]).astype(np.int64), np.repeat(np.arange(len(own)), [len(g) for g in own])
+        order = np.argsort(seed, kind="stable")
+        # the items of seed s are owners[first[s] : first[s + 1]]
+        self.owners, self.first = item[order], np.searchsorted(seed[order], np.arange(len(self.codes) + 1))
+        self.lengths = np.array([len(found) for _, found in self.items], np.int64)
+        self.kinds = np.array([len(g) for g in own], np.int64)
 
     def code(self, found: np.ndarray) -> np.ndarray:
         """A number for each n-gram; negative if it holds a word no item has. Exact while base**n fits in 63 bits."""
@@ -82,23 +84,56 @@ class Seeds:
         hit = self.codes[seed] == codes[at]
         return own, at[hit], seed[hit]
 
-    def passages(self, at: np.ndarray, seed: np.ndarray, rare: dict[int, list[int]], least: int) -> Iterator[tuple[int, int, int]]:
-        """(item, from, to) word spans in which an item's different rare seeds lie near each other."""
-        places = defaultdict(list)
-        for p, s in zip(at.tolist(), seed.tolist()):
-            for item in rare.get(s, ()):
-                places[item].append((p, s))
-        for item, found in places.items():
-            reach = 2 * len(self.items[item][1])
-            need = min(least, len(self.items[item][1]) - self.n + 1)
-            run = [found[0]]
-            for place in [*found[1:], None]:
-                if place is not None and place[0] - run[-1][0] <= reach:
-                    run.append(place)
-                    continue
-                if len({s for _, s in run}) >= need:
-                    yield item, max(0, run[0][0] - reach), run[-1][0] + self.n + reach
-                run = [place]
+    def rare(self, counts: dict[int, int], share: float) -> np.ndarray:
+        """Which owners hold their seed as a rare one, by the number of documents of each seed."""
+        held = np.array([counts.get(s, 0) for s in range(len(self.codes))], np.int64)
+        held = np.repeat(held, np.diff(self.first))
+        out = np.zeros(len(held), bool)
+        order = np.argsort(self.owners, kind="stable")
+        for places in np.split(order, np.cumsum(self.kinds)[:-1]) if len(order) else ():
+            some = places[held[places] > 0]  # a seed in no document finds nothing and says nothing on the others
+            if len(some):
+                out[some] = held[some] <= np.quantile(held[some], share, method="higher")
+        return out
+
+    def _places(self, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each owner of each of the seeds: which of them, and the place in ``owners``."""
+        number = self.first[seed + 1] - self.first[seed]
+        which = np.repeat(np.arange(len(seed)), number)
+        return which, np.arange(len(which)) - np.repeat(np.cumsum(number) - number, number) + self.first[seed][which]
+
+    def passages(self, at: np.ndarray, seed: np.ndarray, rare: np.ndarray, least: int, threshold: float) -> Iterator[tuple[int, int, int]]:
+        """(item, from, to) word spans in which an item's different seeds lie near each other: enough rare ones, or many.
+
+        An edit of one word changes n seeds and takes two points, so a copy at ``threshold`` has ``many`` left.
+        """
+        need = np.minimum(least, self.lengths - self.n + 1)
+        many = np.maximum(need, self.kinds - self.n * np.floor((1 - threshold) * self.lengths / 2 + 1e-9).astype(np.int64))
+        _, place = self._places(np.unique(seed))
+        items, which = np.unique(self.owners[place], return_inverse=True)
+        enough = np.bincount(which, rare[place], len(items)) >= need[items]
+        chosen = items[enough | (np.bincount(which, minlength=len(items)) >= many[items])]
+        if not len(chosen):
+            return
+        which, place = self._places(seed)
+        mine = np.isin(self.owners[place], chosen)
+        which, place = which[mine], place[mine]
+        for item in chosen.tolist():
+            own = self.owners[place] == item
+            found = list(zip(at[which[own]].tolist(), seed[which[own]].tolist(), rare[place[own]].tolist()))
+            reach = 2 * int(self.lengths[item])
+            for some, wanted in (([f for f in found if f[2]], need[item]), (found, many[item])):
+                yield from ((item, a, b) for a, b in self._runs(some, wanted, reach))
+
+    def _runs(self, found: list[tuple[int, int, bool]], wanted: int, reach: int) -> Iterator[tuple[int, int]]:
+        run = found[:1]
+        for place in [*found[1:], None] if found else ():
+            if place is not None and place[0] - run[-1][0] <= reach:
+                run.append(place)
+                continue
+            if len({s for _, s, _ in run}) >= wanted:
+                yield max(0, run[0][0] - reach), run[-1][0] + self.n + reach
+            run = [place]
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
@@ -157,20 +192,11 @@ def _match_block(rows: DataFrame, ids: T.StructType, seeds: Seeds, rare_share: f
 
     hits = store(rows.mapInPandas(find, T.StructType([*ids, T.StructField("at", _PLACES), T.StructField("seed", _PLACES)])), "seed-hits")
     counts = dict(hits.select(F.explode(F.array_distinct("seed")).alias("s")).groupBy("s").count().collect())  # one row a seed of the block
-    kept, by_item = defaultdict(list), defaultdict(list)
-    for seed, owners in seeds.owners.items():
-        for item in owners:
-            by_item[item].append(seed)
-    for item, own in by_item.items():
-        limit = np.quantile([counts.get(s, 0) for s in own], rare_share, method="higher")
-        for s in own:
-            if counts.get(s, 0) <= limit:
-                kept[s].append(item)
-    rare = rows.sparkSession.sparkContext.broadcast(dict(kept))
+    rare = rows.sparkSession.sparkContext.broadcast(seeds.rare(counts, rare_share))
 
     def choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            some = [any(True for _ in shared.value.passages(np.array(a), np.array(s), rare.value, least)) for a, s in zip(frame["at"], frame["seed"])]
+            some = [any(True for _ in shared.value.passages(np.array(a), np.array(s), rare.value, least, threshold)) for a, s in zip(frame["at"], frame["seed"])]
             yield frame.loc[np.array(some, bool), ["doc_id"]]
 
     chosen = store(hits.mapInPandas(choose, hits.select("doc_id").schema).distinct(), "candidates")
@@ -183,7 +209,7 @@ def _match_block(rows: DataFrame, ids: T.StructType, seeds: Seeds, rare_share: f
             for row, text in enumerate(frame["text"]):
                 own, at, seed = block.find(text)
                 coded = np.fromiter((block.vocabulary.get(w, 0) for w in own), np.int64, len(own))
-                for item, a, b in block.passages(at, seed, rare.value, least):
+                for item, a, b in block.passages(at, seed, rare.value, least, threshold):
                     target = block.items[item][1]
                     value = align(target, coded[a:b])[0] / len(target)
                     if value >= threshold:

@@ -123,6 +123,28 @@ def test_leaks_are_found_exact_cut_and_edited(spark):
     assert decontamination.matches(docs, bench.limit(0)).count() == decontamination.matches(docs.limit(0), bench).count() == 0
 
 
+def every(step, words):
+    """The words with each step-th one replaced."""
+    return " ".join("changed" if i % step == step - 1 else w for i, w in enumerate(words.split()))
+
+
+def test_leaks_are_found_without_other_traces_of_the_item(spark):
+    items = {1: passage(0, 15, 1), 2: passage(100, 20, 1), 3: passage(200, 30, 1), 4: passage(300, 40, 1)}
+    inserted = " ".join(w + " more" if i % 3 == 2 else w for i, w in enumerate(items[3].split()))
+    texts = {1: every(4, items[1]), 2: every(5, items[2]), 3: inserted, 4: every(5, items[4])}
+    docs = spark.createDataFrame([(k, f"before it {t} after it") for k, t in texts.items()], "doc_id long, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontamination.matches(docs, bench).collect()}
+    assert set(got) == {(k, k) for k in items} and got[1, 1] == pytest.approx(0.6) and got[3, 3] == pytest.approx(0.7)
+
+
+def test_a_whole_copy_does_not_hide_an_edited_one(spark):
+    item = passage(0, 15, 1)
+    docs = spark.createDataFrame([(1, item), (2, every(4, item))], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {r.doc_id for r in decontamination.matches(docs, bench).collect()} == {1, 2}
+
+
 def test_items_in_blocks_give_the_same(spark, monkeypatch):
     docs = spark.createDataFrame([(k, passage(k, 60, 9) + " " + passage(11 * k, 30, 3)) for k in range(8)], "doc_id long, text string")
     bench = spark.createDataFrame([(k, passage(11 * k, 30, 3)) for k in range(8)], "item_id long, text string")
