@@ -7,12 +7,14 @@
 3. *Cells.* The table alone would have to be held against itself, so pairs meet in cells first: a
    cell is a set of bit positions, and fingerprints meet if they agree on all of them. With
    :func:`block_cells` two fingerprints within ``max_bits`` always share a cell, so nothing is lost.
-   Cells of two rows are read off an aggregate with partial minima and maxima; only larger cells
-   are looked up again, cut into chunks and held chunk against chunk, so no group is unbounded.
+   Every row of a cell is first held against the cell's smallest. Cells whose rows are all in one
+   component then are done. In the others rows of different components are compared: a cell's
+   largest component against the rest and the rest against each other, cut into chunks, so no group
+   is unbounded and a cell of near-copies takes no pass over its pairs.
 4. *Pivots, then verification.* By the triangle inequality no coordinate of two linked rows differs
    by more than ``max_bits``: pairs with a larger difference are discarded, survivors are verified
-   on the fingerprints. A chunk pair emits a spanning forest of its links, at most one link a row,
-   never all pairs.
+   on the fingerprints. With a ``similarity`` the bits only propose a pair, and the exact share of
+   common shingles (by 64-bit hash) decides.
 5. *Components* of the links.
 
 Defined cases: a text without words (null, empty, spaces) has fingerprint zero and is linked like any
@@ -23,7 +25,7 @@ of the same class; an empty table gives no rows. Other input columns are not rea
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -37,6 +39,7 @@ from assayer.llm.common import components, store
 SEED = 42
 CHUNK = 1024  # rows of a cell held against each other at once
 BIN_ROWS = 20_000  # rows handed to Python at once
+BIN_BYTES = 32 << 20  # bytes of shingles handed to Python at once
 _SLAB = 1 << 16  # shingles whose bits are counted at once
 
 Cells = Sequence[Sequence[int]]
@@ -59,17 +62,9 @@ def fingerprint(text: str | None, shingle: int, words64: int = 1) -> bytes:
 
     The first 64 bits use XXH64 of the shingle; further ones are mixed from it.
     """
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
+    hashes = shingle_hashes(text, shingle)
+    if not len(hashes):
         return bytes(8 * words64)
-    line, n = b" ".join(words), len(words)
-    if n <= shingle:
-        digests = [xxhash.xxh64_digest(line, SEED)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        digests = [xxhash.xxh64_digest(line[a:b], SEED) for a, b in zip(starts[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist())]
-    hashes = np.frombuffer(b"".join(digests), ">u8").astype(np.uint64)
     out = []
     for k in range(words64):
         mixed = hashes
@@ -83,6 +78,21 @@ def fingerprint(text: str | None, shingle: int, words64: int = 1) -> bytes:
     return b"".join(out)
 
 
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of every word shingle of one whole text, of all its words if they are fewer; none without words."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    line, n = b" ".join(words), len(words)
+    if n <= shingle:
+        digests = [xxhash.xxh64_digest(line, SEED)]
+    else:
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        digests = [xxhash.xxh64_digest(line[a:b], SEED) for a, b in zip(starts[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist())]
+    return np.frombuffer(b"".join(digests), ">u8").astype(np.uint64)
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4, words64: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text_hash, fp) of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,6 +153,8 @@ def linked(fps: np.ndarray, coords: np.ndarray, i: np.ndarray, j: np.ndarray, ma
     """Which pairs (i, j) survive the pivot table and the verification."""
     alive = np.arange(len(i))
     for column in coords.T.astype(np.int32):
+        if not len(alive):
+            break
         alive = alive[np.abs(column[i[alive]] - column[j[alive]]) <= max_bits]
     ok = np.zeros(len(i), bool)
     ok[alive] = np.bitwise_count(fps[i[alive]] ^ fps[j[alive]]).sum(1) <= max_bits
@@ -163,24 +175,53 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
-def link_rows(fps: np.ndarray, coords: np.ndarray, max_bits: int) -> np.ndarray:
-    """For rows of one cell, the smallest row each is linked with, directly or over others of them."""
-    n, pairs = len(fps), []
-    column = coords[:, 0].astype(np.int32)
-    for at in range(0, n, 256):  # a bounded block of the distance matrix at a time
-        near = np.abs(column[at : at + 256, None] - column[None, :]) <= max_bits
-        i, j = np.nonzero(near)
-        i += at
-        i, j = i[i < j], j[i < j]
-        ok = linked(fps, coords, i, j, max_bits)
-        pairs.append((i[ok], j[ok]))
-    return _forest(n, np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]))
+def alike(one: np.ndarray, others: list[np.ndarray], mark: np.ndarray, similarity: float) -> np.ndarray:
+    """Which of the others share at least ``similarity`` of all shingles with one; sets of places in ``mark``, all false."""
+    mark[one] = True
+    sizes = np.array([len(o) for o in others], np.int64)
+    both = np.bincount(np.repeat(np.arange(len(others)), sizes), mark[np.concatenate(others)], len(others))
+    mark[one] = False
+    return both >= similarity * (len(one) + sizes - both) - 1e-9
+
 
+def link_rows(
+    fps: np.ndarray, coords: np.ndarray, max_bits: int, group: np.ndarray, sets: list[np.ndarray] | None = None, similarity: float = 0.0,
+) -> np.ndarray:
+    """For rows of one cell, the smallest row each is linked with, directly or over others of them.
 
-def links(table: DataFrame, cells: Cells, max_bits: int, chunk: int = CHUNK) -> DataFrame:
-    """(a, b) links between fids whose closure is that of all pairs within ``max_bits`` that share a cell."""
+    Rows of a group are linked from the start.
+    """
+    first, label = np.unique(group, return_index=True, return_inverse=True)[1:]
+    label = first[label]
+    if sets is not None:
+        values, codes = np.unique(np.concatenate(sets), return_inverse=True)
+        codes, mark = np.split(codes, np.cumsum([len(x) for x in sets])[:-1]), np.zeros(len(values), bool)
+    for row in range(len(fps)):
+        for at in range(row + 1, len(fps), 256):  # a bounded number of sets at a time
+            others = np.arange(at, min(at + 256, len(fps)))
+            others = others[label[others] != label[row]]
+            if not len(others):
+                continue
+            others = others[linked(fps, coords, np.full(len(others), row), others, max_bits)]
+            if len(others) and sets is not None:
+                others = others[alike(codes[row], [codes[k] for k in others], mark, similarity)]
+            if len(others):
+                joined = np.append(label[others], label[row])
+                label[np.isin(label, joined)] = joined.min()
+    return label
+
+
+def links(
+    table: DataFrame, cells: Cells, max_bits: int, chunk: int = CHUNK, shingles: Callable[[DataFrame], DataFrame] | None = None, similarity: float = 0.0,
+) -> DataFrame:
+    """(a, b) links between fids whose closure is that of all pairs within ``max_bits`` that share a cell.
+
+    With ``shingles``, which gives (fid, shingles) for a table of fids, only pairs of at least ``similarity`` are links.
+    """
     keys = cell_keys(table, cells)
     shared = store(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("fid").alias("a"), F.max("fid").alias("b")).filter("n > 1"), "cells")
+    large = store(shared.filter("n > 2").select("key", F.col("a").alias("low")), "large-cells")
+    members = store(keys.join(large, "key"), "members")
 
     def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -188,49 +229,130 @@ def links(table: DataFrame, cells: Cells, max_bits: int, chunk: int = CHUNK) ->
                 fps = np.concatenate([_matrix(frame["fp_a"], ">u8"), _matrix(frame["fp_b"], ">u8")]).astype(np.uint64)
                 coords = np.concatenate([_matrix(frame["coords_a"], "<u2"), _matrix(frame["coords_b"], "<u2")])
                 i = np.arange(len(frame))
-                yield frame.loc[linked(fps, coords, i, i + len(frame), max_bits), ["a", "b"]]
+                yield frame.loc[linked(fps, coords, i, i + len(frame), max_bits), ["a", "b", "pair"]]
 
     left = table.select(F.col("fid").alias("a"), F.col("fp").alias("fp_a"), F.col("coords").alias("coords_a"))
     right = table.select(F.col("fid").alias("b"), F.col("fp").alias("fp_b"), F.col("coords").alias("coords_b"))
-    pairs = shared.filter("n = 2").select("a", "b").distinct().join(left, "a").join(right, "b").mapInPandas(verify, "a long, b long")
-
-    large = store(shared.filter("n > 2").select("key", "n"), "large-cells")
-    members = store(keys.join(large, "key"), "members")
-    bins = max(1, -(-members.count() // BIN_ROWS))
-    chunks = F.ceil(F.col("n") / F.lit(chunk)).cast("int")
-    own = F.pmod(F.xxhash64("fid"), F.col("chunks")).cast("int")
-    units = (
-        members.withColumn("chunks", chunks).withColumn("own", own)
-        .select("key", "fid", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fid")
-        .withColumn("bin", F.pmod(F.xxhash64("key", "i", "j"), F.lit(bins)))
+    stars = members.filter("fid <> low").select(F.col("low").alias("a"), F.col("fid").alias("b"), F.lit(False).alias("pair"))
+    ends = shared.filter("n = 2").select("a", "b", F.lit(True).alias("pair")).union(stars).groupBy("a", "b").agg(F.max("pair").alias("pair"))
+    first = store(ends.join(left, "a").join(right, "b").mapInPandas(verify, "a long, b long, pair boolean"), "near-pairs")
+    if shingles:
+        # of the smallest rows it meets a row is held against one: what that leaves is seen by the components
+        one = first.filter("NOT pair").groupBy("b").agg(F.min("a").alias("a"))
+        first = store(_verified(first.filter("pair").select("a", "b").union(one.select("a", "b")).distinct(), shingles, similarity), "links")
+    first = first.select("a", "b")
+
+    labels = components(first)
+    placed = members.join(labels, F.col("fid") == F.col("node"), "left").select("key", "fid", F.coalesce("component", "fid").alias("label"))
+    placed = store(placed, "labelled-members")
+    main = F.max(F.struct("rows", "label"))
+    mixed = (
+        placed.groupBy("key", "label").agg(F.count("*").alias("rows")).groupBy("key")
+        .agg(F.sum("rows").alias("n"), main.alias("main"), F.count("*").alias("kinds")).filter("kinds > 1")
+        .select("key", "n", F.col("main.rows").alias("most"), F.col("main.label").alias("main"))
+    )
+    small, inside = F.col("n") <= chunk, F.col("label") == F.col("main")
+    mains = F.ceil(F.col("most") / F.lit(chunk)).cast("int")
+    rest = F.ceil((F.col("n") - F.col("most")) / F.lit(chunk)).cast("int")
+    place = F.when(inside, F.pmod(F.xxhash64("fid"), mains)).otherwise(mains + F.pmod(F.xxhash64("fid"), rest)).cast("int")
+    zero = F.lit(0)
+    units = store(
+        placed.join(store(mixed, "mixed-cells"), "key")
+        .withColumn("own", F.when(small, zero).otherwise(place))
+        .withColumn("other", F.explode(F.sequence(F.when(inside & ~small, mains).otherwise(zero), F.when(small, zero).otherwise(mains + rest - 1))))
+        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fid", "label"),
+        "units",
     )
+    rows = "key long, i int, j int, fid long, label long"
+    bound = F.pmod(F.xxhash64("key", "i", "j"), F.lit(max(1, -(-units.count() // BIN_ROWS)))).alias("bin")
+    binned = units.select("*", bound).join(table, "fid").groupBy("bin")
+    if not shingles:
+        return first.union(binned.applyInPandas(lambda frame: _forest_of(frame, max_bits), "a long, b long")).distinct()
+    near = store(binned.applyInPandas(lambda frame: _near(frame, max_bits), rows), "near-rows")
+    sets = store(shingles(near.select("fid").distinct()), "shingles")
+    full = near.join(table, "fid").join(sets, "fid")
+    size = near.join(sets, "fid").agg(F.sum(F.octet_length("shingles") + 200)).first()[0] or 0
+    bound = F.pmod(F.xxhash64("key", "i", "j"), F.lit(max(1, -(-size // BIN_BYTES)))).alias("bin")
+    dense = full.select("*", bound).groupBy("bin").applyInPandas(lambda frame: _forest_of(frame, max_bits, similarity), "a long, b long")
+    return first.union(dense).distinct()
+
+
+def _verified(pairs: DataFrame, shingles: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """The pairs (a, b) whose shingles are alike."""
+    pairs = store(pairs, "proposed")
+    sets = store(shingles(pairs.select(F.col("a").alias("fid")).union(pairs.select("b")).distinct()), "shingles")
 
-    def within(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["key", "i", "j", "fid"], ignore_index=True)
-        fid, a, b = frame["fid"].to_numpy(), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        fps, coords = _matrix(frame["fp"], ">u8").astype(np.uint64), _matrix(frame["coords"], "<u2")
-        unit = frame[["key", "i", "j"]].to_numpy()
-        starts = np.flatnonzero(np.concatenate([[True], (unit[1:] != unit[:-1]).any(1)]))
-        for s, e in zip(starts, [*starts[1:], len(frame)]):
-            label = link_rows(fps[s:e], coords[s:e], max_bits)
-            moved = np.flatnonzero(label != np.arange(e - s))
-            a.append(fid[s + moved])
-            b.append(fid[s + label[moved]])
-        # one spanning forest for all units of the group: cells that overlap find the same links again
-        ends = np.concatenate([*a, *b])
-        nodes, place = np.unique(ends, return_inverse=True)
-        root = _forest(len(nodes), place[: len(ends) // 2], place[len(ends) // 2 :])
-        moved = np.flatnonzero(root != np.arange(len(nodes)))
-        return pd.DataFrame({"a": nodes[moved], "b": nodes[root[moved]]})
-
-    dense = units.join(table, "fid").groupBy("bin").applyInPandas(within, "a long, b long")
-    return pairs.union(dense).distinct()
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            ok = np.zeros(len(frame), bool)
+            for k, (x, y) in enumerate(zip(frame["x"], frame["y"])):
+                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok[k] = both >= similarity * (len(x) + len(y) - both) - 1e-9
+            yield frame.loc[ok, ["a", "b"]]
+
+    x = sets.select(F.col("fid").alias("a"), F.col("shingles").alias("x"))
+    y = sets.select(F.col("fid").alias("b"), F.col("shingles").alias("y"))
+    return pairs.join(x, "a").join(y, "b").mapInPandas(run, "a long, b long")
+
+
+def _units(frame: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """The rows of a bin in order, their fingerprints and coordinates, and from where to where its units lie."""
+    frame = frame.sort_values(["key", "i", "j", "fid"], ignore_index=True)
+    unit = frame[["key", "i", "j"]].to_numpy()
+    starts = np.flatnonzero(np.concatenate([[True], (unit[1:] != unit[:-1]).any(1)])).tolist()
+    return frame, _matrix(frame["fp"], ">u8").astype(np.uint64), _matrix(frame["coords"], "<u2"), list(zip(starts, [*starts[1:], len(frame)]))
+
+
+def _near(frame: pd.DataFrame, max_bits: int) -> pd.DataFrame:
+    """The rows of a bin whose bits are near those of a row of another component in their unit."""
+    frame, fps, coords, units = _units(frame)
+    near = np.zeros(len(frame), bool)
+    for s, e in units:
+        group = frame["label"].to_numpy()[s:e]
+        for row in range(s, e):
+            others = np.flatnonzero(group[row - s + 1 :] != group[row - s]) + row + 1
+            others = others[linked(fps, coords, np.full(len(others), row), others, max_bits)]
+            near[others] = True
+            near[row] |= len(others) > 0
+    return frame.loc[near, ["key", "i", "j", "fid", "label"]]
+
+
+def _forest_of(frame: pd.DataFrame, max_bits: int, similarity: float | None = None) -> pd.DataFrame:
+    """A spanning forest of the links in all units of a bin: cells that overlap find the same links again."""
+    frame, fps, coords, units = _units(frame)
+    fid, groups = frame["fid"].to_numpy(), frame["label"].to_numpy()
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for s, e in units:
+        sets = None if similarity is None else [np.frombuffer(x, "<u8") for x in frame["shingles"].iloc[s:e]]
+        label = link_rows(fps[s:e], coords[s:e], max_bits, groups[s:e], sets, similarity or 0.0)
+        moved = np.flatnonzero(label != np.arange(e - s))
+        a.append(fid[s + moved])
+        b.append(fid[s + label[moved]])
+    ends = np.concatenate([*a, *b])
+    nodes, place = np.unique(ends, return_inverse=True)
+    root = _forest(len(nodes), place[: len(ends) // 2], place[len(ends) // 2 :])
+    moved = np.flatnonzero(root != np.arange(len(nodes)))
+    return pd.DataFrame({"a": nodes[moved], "b": nodes[root[moved]]})
+
+
+def shingle_sets(docs: DataFrame, table: DataFrame, classes: DataFrame, fids: DataFrame, shingle: int, doc_id: str, text: str) -> DataFrame:
+    """(fid, shingles): the different shingle hashes, in order, of the first text of each of the classes ``fids``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = pa.array([np.unique(shingle_hashes(t.as_py(), shingle)).astype("<u8").tobytes() for t in batch["text"]], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch["fid"], sets], ["fid", "shingles"])
+
+    wanted = classes.join(table.join(fids, "fid").select("fid", "fp"), "fp").select("fid", F.col("first.doc_id").alias("id"), F.col("first.text_hash").alias("hash"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), _text_hash(text).alias("text_hash"), F.col(text).alias("text"))
+    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))).select("fid", "text")
+    # repeated rows have the same text
+    return texts.mapInArrow(run, "fid long, shingles binary").groupBy("fid").agg(F.first("shingles").alias("shingles"))
 
 
 def near_duplicates(
     docs: DataFrame, shingle: int = 4, words64: int = 1, max_bits: int = 4, cells: Cells | None = None, pivots: int = 32,
-    doc_id: str = "doc_id", text: str = "text",
+    similarity: float | None = None, doc_id: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """(doc_id, fp, component_id, first): component_id is the smallest doc_id reachable over links.
 
@@ -240,7 +362,11 @@ def near_duplicates(
     own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     classes = store(prints.groupBy("fp").agg(F.min(own).alias("first")), "classes")
     table = store(pivot_table(classes, words64, pivots), "pivots")
-    found = links(table, cells or block_cells(64 * words64, max_bits + 3, max_bits), max_bits)
+    cells = cells or block_cells(64 * words64, max_bits + 3, max_bits)
+    if similarity is None:
+        found = links(table, cells, max_bits)
+    else:
+        found = links(table, cells, max_bits, CHUNK, lambda fids: shingle_sets(docs, table, classes, fids, shingle, doc_id, text), similarity)
     groups = components(found)
     ids = table.select("fid", "fp").join(groups, F.col("fid") == F.col("node")).select(F.col("fp").alias("of"), "component")
     grouped = classes.join(ids, F.col("fp") == F.col("of"), "left").select("fp", "first", "component")

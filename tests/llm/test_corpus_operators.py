@@ -104,6 +104,40 @@ def test_similar_settings_find_edited_copies(spark):
     assert {2 * k for k in range(40)} <= kept and len(kept) <= 42
 
 
+def similar(rng, pairs, words, edits):
+    """Pairs of texts with that many single words replaced far apart: each changes five shingles."""
+    rows = []
+    for k in range(pairs):
+        own = [f"t{k}x{w}" for w in rng.permutation(words)]
+        edited = list(own)
+        for at in rng.permutation(words // 10)[:edits]:
+            edited[int(at) * 10 + 5] = f"e{at}"
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(edited))]
+    return rows
+
+
+def test_many_copies_of_one_text_are_linked_without_holding_all_pairs(spark, monkeypatch):
+    rng, base = np.random.default_rng(4), [f"b{w}" for w in range(300)]
+    rows = []
+    for k in range(200):
+        own = list(base)
+        own[int(rng.integers(300))] = f"c{k}"
+        rows.append((k, " ".join(own)))
+    rows += similar(rng, 2, 300, 18)  # similarity 0.534: not linked
+    rows = [(k, t) for k, (_, t) in enumerate(rows)]
+    stored, own = {}, simhash.store
+
+    def count(df, purpose):
+        out = own(df, purpose)
+        stored[purpose] = stored.get(purpose, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "store", count)
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {0, 200, 201, 202, 203}
+    assert stored["members"] > 2000 and stored["units"] < stored["members"] / 10
+
+
 ITEM = passage(11, 30, 3)
 
 
