@@ -116,6 +116,13 @@ def similar(rng, pairs, words, edits):
     return rows
 
 
+@pytest.mark.parametrize("edits, least, most", [(8, 40, 42), (10, 80, 80)])
+def test_shingles_decide_on_similar_pairs(spark, edits, least, most):
+    # of 396 shingles 40 or 50 differ on each side: similarities 0.816 and 0.776
+    rows = similar(np.random.default_rng(9), 40, 400, edits)
+    assert least <= simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).count() <= most
+
+
 def test_many_copies_of_one_text_are_linked_without_holding_all_pairs(spark, monkeypatch):
     rng, base = np.random.default_rng(4), [f"b{w}" for w in range(300)]
     rows = []
@@ -123,7 +130,7 @@ def test_many_copies_of_one_text_are_linked_without_holding_all_pairs(spark, mon
         own = list(base)
         own[int(rng.integers(300))] = f"c{k}"
         rows.append((k, " ".join(own)))
-    rows += similar(rng, 2, 300, 18)  # similarity 0.534: not linked
+    rows += similar(rng, 2, 300, 9)  # similarity 0.736: not linked
     rows = [(k, t) for k, (_, t) in enumerate(rows)]
     stored, own = {}, simhash.store
 
