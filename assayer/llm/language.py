@@ -32,6 +32,7 @@ GRAMS = (1, 2, 3, 4)
 SAMPLE_DOCS = 20_000  # bound of the training sample
 MARGIN = 0.1  # ambiguous below this distance between the best two probabilities
 UNDETERMINED = "und"
+COUNT_TASKS = 8  # tasks that count the sample, each with a row a language and fold for the driver
 _SLAB = 1 << 20
 
 
@@ -112,8 +113,9 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, text: str = "text
             yield pd.DataFrame({"lang": [k[0] for k in held], "fold": [k[1] for k in held], "docs": list(docs.values()), "counts": [v.astype(np.float64).tobytes() for v in held.values()]})
 
     folded = sample.withColumn("fold", F.pmod(F.xxhash64("key", F.lit(13)), F.lit(2)).cast("int")).select("text", "lang", "fold")
-    # one row of fixed width per task, language and fold; the tasks are few because the sample is bounded
-    parts = folded.mapInPandas(count, "lang string, fold int, docs long, counts binary").collect()
+    # one row of fixed width per task, language and fold; the tasks are few whatever the table's number of partitions
+    few = folded.repartition(COUNT_TASKS, F.xxhash64("text")).sortWithinPartitions("lang", "fold", F.xxhash64("text"))
+    parts = few.mapInPandas(count, "lang string, fold int, docs long, counts binary").collect()
     languages = [name for name in sizes if any(p["lang"] == name for p in parts)]
     if not languages:
         return None

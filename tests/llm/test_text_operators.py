@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 
 from assayer.llm import language, mixing, quality, tokens
+from tests.llm.conftest import passage
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -114,6 +115,18 @@ def test_language_is_learnt_from_text(spark):
     assert all(r.lang == r.lang_pred and 0 <= r.score <= 1 for r in found) and len(found) == 48
 
 
+def test_sample_counts_do_not_grow_with_partitions(spark, monkeypatch):
+    rows = [(k, passage(k, 30, 7), "en" if k % 2 else "de") for k in range(160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(40)
+    parts, kind = [], type(docs)
+    own = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda df: parts.append((df.columns, own(df))) or parts[-1][1])
+    assert language.train(docs) is not None
+    counted = [found for columns, found in parts if "counts" in columns]
+    assert 0 < len(counted[0]) <= 4 * language.COUNT_TASKS
+    assert sum(r.docs for r in counted[0]) == 160
+
+
 def test_language_odd_rows(docs, nothing, spark):
     model = language.train(docs)
     got = language.predict(docs, model, keep=("doc_id", "text")).collect()
