@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,3 +53,19 @@ def components(edges: DataFrame) -> DataFrame:
         labels = stepped.select("node", "component")
         if not stepped.filter("component <> old").limit(1).count():
             return labels
+
+
+#: Bytes of a word in lower case, everything else a space. UTF-8 never holds ASCII bytes inside a longer character.
+_WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+_SLAB = 1 << 20
+
+
+def ascii_words(text: str | None) -> Iterator[list[bytes]]:
+    """Runs of ASCII letters, digits and non-ASCII characters, A-Z in lower case, as UTF-8 in lists of bounded size."""
+    data = (text or "").encode("utf-8", "surrogatepass").translate(_WORD_BYTES)
+    at = 0
+    while at < len(data):
+        end = data.find(b" ", at + _SLAB)
+        end = len(data) if end < 0 else end
+        yield data[at:end].split()
+        at = end

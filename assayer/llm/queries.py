@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import decontamination, language, mixing, quality, records, simhash, suffix, tokens, urls, warc
+from assayer.llm import decontamination, language, mixing, quality, records, resampling, search, secrets, simhash, suffix, tokens, urls, warc
 from assayer.plans.registry import query, table
 
 _WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
@@ -132,3 +132,75 @@ def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the 50-byte strings that smaller documents hold."""
     found = suffix.remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+# crc32 bit by bit over a table of 256 entries; sums are whole numbers, so their order does not matter
+_RESAMPLING_SQL = f"""
+WITH z AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+           lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS words FROM documents),
+a AS (SELECT r, unnest(words) AS w FROM d),
+b AS (SELECT unnest({_TERMS}) AS w FROM benchmark),
+v AS (SELECT DISTINCT w FROM (SELECT w FROM a UNION ALL SELECT w FROM b)),
+y AS (SELECT w, list_transform(range(strlen(w)), lambda i: CAST('0x' || substr(hex(encode(w)), 2 * i + 1, 2) AS BIGINT)) AS bytes FROM v),
+h AS (SELECT w, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(c >> 8, t[xor(c & 255, x) + 1])), 4294967295) % 10000 AS bucket FROM y, z),
+s AS (SELECT bucket, count(*) AS n FROM a JOIN h USING (w) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM b JOIN h USING (w) GROUP BY bucket),
+g AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM a) + 10000)
+               / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM b) + 10000)))) AS BIGINT) AS gain
+      FROM s FULL JOIN t USING (bucket)),
+m AS (SELECT r, count(*) AS n_features, CAST(floor(sum(gain)::DOUBLE / count(*)) AS BIGINT) AS weight FROM a JOIN h USING (w) JOIN g USING (bucket) GROUP BY r),
+f AS (SELECT r, doc_id, len(words) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+             CAST('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+      FROM d LEFT JOIN m USING (r)),
+c AS (SELECT *, CAST(weight + floor(-1000 * ln(-ln((h + 0.5)::DOUBLE / 4294967296))) AS BIGINT) AS score FROM f),
+k AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS place FROM c WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * (SELECT count(*) FROM k) // 100 THEN place END AS rank
+FROM c LEFT JOIN k USING (r)"""
+
+
+@query("op11_importance_resampling", _RESAMPLING_SQL)
+def importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents with 20 words, drawn towards the benchmark's words, with their ranks."""
+    drawn = resampling.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("row.doc_id", "n_features", "weight", "score", "rank")
+
+
+_SEARCH_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS words FROM documents),
+a AS (SELECT r, unnest(words) AS w FROM d),
+s AS (SELECT count(DISTINCT r) AS n_docs, count(*) AS n_terms FROM a),
+p AS (SELECT w, r, count(*) AS tf FROM a GROUP BY w, r),
+v AS (SELECT w, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS weight FROM p, s GROUP BY w),
+l AS (SELECT r, doc_id, CAST(len(words) AS BIGINT) AS n FROM d WHERE len(words) > 0),
+q AS (SELECT i, item_id, unnest(list_distinct({_TERMS})) AS w FROM (SELECT row_number() OVER () AS i, item_id, text FROM benchmark)),
+c AS (SELECT i, item_id, r, doc_id, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+      FROM q JOIN p USING (w) JOIN v USING (w) JOIN l USING (r), s GROUP BY ALL)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS place FROM c WHERE score > 0) WHERE place <= 50"""
+
+
+@query("op12_ranked_search", _SEARCH_SQL)
+def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents for each benchmark item."""
+    index = search.build(table(spark, sf_dir, "documents"))
+    return search.search(index, table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_secret_scan")
+def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every whole text."""
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def number(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["kind"] != "literal")
+    return found.select(
+        "row.doc_id", number("assign"), number("access"), number("hex"), F.sha2(secrets.joined(base), 256).alias("base_sha256"),
+        secrets.joined(F.col("spans")).alias("spans"),
+    )
