@@ -4,35 +4,41 @@ Every language has a codeword. For each bit a binary naive Bayes classifier over
 tells the languages with that bit set from the others; its answer is a mean log ratio per n-gram of
 the text. A language's loss is the weighted sum of the logistic losses of the bits against its
 codeword, a bit weighing more the better its classifier did on the training rows. The codeword with
-the smallest loss wins; if the runner-up is close, or the answers fit no codeword well, the result is
-flagged ambiguous.
+the smallest loss wins. The result is flagged ambiguous if the runner-up is close, or if the answers fit
+no codeword well: the smallest loss is above all but ``LOOSE`` of those of the training texts.
 
-Training reads a bounded sample, ``sample_docs`` whole texts in all (a seeded choice, the same share of
-every language above an equal floor), reduced to counts per language and n-gram bucket: a table of
-fixed width. Prediction reads whole texts and nothing but the text.
+Training reads a bounded sample, at most about ``sample_docs`` different whole texts in all (a seeded
+choice, the same share of every language above an equal floor), reduced in Spark to one number per
+language, fold and n-gram bucket: a table of fixed width, whatever the number of tasks. The numbers are
+whole, so their sums do not depend on any order. Prediction reads whole texts and nothing but the text.
 
 Defined cases: a null text or one without letters is ``und`` with score 0 and ambiguous; rows with a
-null language teach nothing; repeated rows count each; with no labelled rows everything is ``und``;
-with one language everything with letters is that language. Very long texts are read in slabs.
+null language teach nothing; equal texts of a language teach once; with no labelled rows everything is
+``und``; with one language everything with letters is that language. Very long texts are read in slabs.
 """
 
 from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assayer.llm.common import store
+
 WIDTH = 1 << 15  # n-gram buckets
 GRAMS = (1, 2, 3, 4)
 SAMPLE_DOCS = 20_000  # bound of the training sample
 MARGIN = 0.1  # ambiguous below this distance between the best two probabilities
 UNDETERMINED = "und"
-COUNT_TASKS = 8  # tasks that count the sample, each with a row a language and fold for the driver
+LETTER = r"\p{L}"
+LOOSE = 0.005  # share of the training texts whose answers would be flagged as fitting no codeword
+_UNIT = 1 << 32  # a text's n-gram shares add up to this whole number, about
 _SLAB = 1 << 20
 
 
@@ -72,6 +78,7 @@ class Model:
     shift: np.ndarray  # bits
     scale: np.ndarray  # bits
     weights: np.ndarray  # bits
+    limit: float = np.inf  # a larger loss fits no codeword
 
     def margins(self, counts: np.ndarray) -> np.ndarray:
         """Answer of each bit's classifier per text: positive for set."""
@@ -79,14 +86,19 @@ class Model:
         weight = np.sqrt(counts[at])  # common n-grams of a long text count less than their number
         return (weight @ self.ratios[at] / weight.sum() - self.shift) * self.scale
 
-    def decode(self, margins: np.ndarray) -> tuple[str, float, bool]:
+    def losses(self, margins: np.ndarray) -> np.ndarray:
+        """Weighted sum of the bits' logistic losses against each codeword."""
         signs = 2 * self.codes.astype(float) - 1
-        losses = (np.logaddexp(0, -signs * margins) * self.weights).sum(1)
+        return (np.logaddexp(0, -signs * margins) * self.weights).sum(1)
+
+    def decode(self, margins: np.ndarray) -> tuple[str, float, bool]:
+        losses = self.losses(margins)
         likely = np.exp(losses.min() - losses)
         likely /= likely.sum()
         order = np.argsort(-likely, kind="stable")
         best = likely[order[0]]
-        return self.languages[order[0]], float(best), bool(len(order) > 1 and best - likely[order[1]] < MARGIN)
+        close = len(order) > 1 and best - likely[order[1]] < MARGIN
+        return self.languages[order[0]], float(best), bool(close or losses.min() > self.limit)
 
 
 def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model | None:
@@ -97,33 +109,33 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, text: str = "text
         return None
     share = max(1, sample_docs // len(sizes))
     wanted = F.create_map(*[F.lit(x) for lang_, n in sizes.items() for x in (lang_, min(1.0, share / n))])
-    draw = F.pmod(F.xxhash64("key", F.lit(11)), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    sample = rows.filter(draw < wanted[F.col("lang")]).select("text", "lang", "key")
+    # rows that share an id are drawn apart; equal texts teach once, however many of them are drawn
+    part = F.pmod(F.xxhash64("text", "key", F.lit(11)), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    drawn = rows.filter(part < wanted[F.col("lang")]).select("text", "lang").dropDuplicates()
+    sample = store(drawn.withColumn("fold", F.pmod(F.xxhash64("text", F.lit(13)), F.lit(2)).cast("int")), "language-sample")
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, int], np.ndarray] = {}
-        docs: dict[tuple[str, int], int] = {}
-        for frame in frames:
-            for body, language, fold in zip(frame["text"], frame["lang"], frame["fold"]):
+        for batch in batches:
+            for body, language, fold in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 own = np.sqrt(gram_counts(body))
-                at = (language, int(fold))
-                held[at] = held.get(at, 0) + own / max(own.sum(), 1)
-                docs[at] = docs.get(at, 0) + 1
-        if held:
-            yield pd.DataFrame({"lang": [k[0] for k in held], "fold": [k[1] for k in held], "docs": list(docs.values()), "counts": [v.astype(np.float64).tobytes() for v in held.values()]})
-
-    folded = sample.withColumn("fold", F.pmod(F.xxhash64("key", F.lit(13)), F.lit(2)).cast("int")).select("text", "lang", "fold")
-    # one row of fixed width per task, language and fold; the tasks are few whatever the table's number of partitions
-    few = folded.repartition(COUNT_TASKS, F.xxhash64("text")).sortWithinPartitions("lang", "fold", F.xxhash64("text"))
-    parts = few.mapInPandas(count, "lang string, fold int, docs long, counts binary").collect()
-    languages = [name for name in sizes if any(p["lang"] == name for p in parts)]
+                at = held.setdefault((language, fold), np.zeros(WIDTH + 1, np.int64))
+                at[:WIDTH] += np.round(own * (_UNIT / max(own.sum(), 1))).astype(np.int64)
+                at[WIDTH] += 1  # the number of texts
+        for (language, fold), numbers in held.items():
+            at = np.flatnonzero(numbers)
+            columns = [pa.array([language] * len(at), pa.string()), pa.array([fold] * len(at), pa.int32()), pa.array(at, pa.int32()), pa.array(numbers[at])]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "fold", "bucket", "n"])
+
+    # at most two folds of WIDTH + 1 rows a language reach the driver
+    summed = sample.mapInArrow(count, "lang string, fold int, bucket int, n long").groupBy("lang", "fold", "bucket").agg(F.sum("n").alias("n"))
+    found = summed.toArrow().to_pandas()
+    languages = sorted(found["lang"].unique())
     if not languages:
         return None
-    table = np.zeros((2, len(languages), WIDTH))
-    docs = np.zeros((2, len(languages)))
-    for p in sorted(parts, key=lambda p: (p["lang"], p["fold"], bytes(p["counts"]))):
-        table[p["fold"], languages.index(p["lang"])] += np.frombuffer(p["counts"], np.float64)
-        docs[p["fold"], languages.index(p["lang"])] += p["docs"]
+    numbers = np.zeros((2, len(languages), WIDTH + 1))
+    numbers[found["fold"], found["lang"].map(languages.index), found["bucket"]] = found["n"]
+    table, docs = numbers[:, :, :WIDTH] / _UNIT, numbers[:, :, WIDTH]
     codes = codewords(len(languages))
     # weights: how far apart a fold's mean texts lie under the other fold's ratios
     answers = np.zeros((len(languages), codes.shape[1]))
@@ -142,7 +154,20 @@ def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, text: str = "text
     signs = 2 * codes.astype(float) - 1
     held_out = (signs * (answers / 2 - (high + low) / 2) > 0).mean(0) if docs.min() > 0 else np.ones(codes.shape[1])
     weights = np.maximum(held_out, 0.1)
-    return Model(languages, codes, ratios, (high + low) / 2, 4.0 / gap, weights)
+    return _with_limit(Model(languages, codes, ratios, (high + low) / 2, 4.0 / gap, weights), sample)
+
+
+def _with_limit(model: Model, sample: DataFrame) -> Model:
+    """The model with the loss that all but LOOSE of the sample's texts with letters stay below."""
+    shared = sample.sparkSession.sparkContext.broadcast(model)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"loss": [shared.value.losses(shared.value.margins(gram_counts(body))).min() for body in frame["text"]]})
+
+    losses = sample.filter(F.col("text").rlike(LETTER)).select("text").mapInPandas(run, "loss double")
+    limit = losses.agg(F.percentile("loss", F.lit(1.0 - LOOSE))).first()[0]
+    return replace(model, limit=np.inf if limit is None else float(limit))
 
 
 def _ratios(table: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -157,7 +182,7 @@ def _ratios(table: np.ndarray, codes: np.ndarray) -> np.ndarray:
 
 def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = (), text: str = "text") -> DataFrame:
     """The kept columns with ``lang_pred``, ``score`` and ``ambiguous``, from the text alone."""
-    letters: Column = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
+    letters: Column = F.coalesce(F.col(text).rlike(LETTER), F.lit(False))
     rows = docs.select(*[F.col(c).cast("string").alias(f"k{i}") for i, c in enumerate(keep)], F.when(letters, F.col(text)).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed width times the bits of the codewords
 

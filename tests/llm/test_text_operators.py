@@ -2,7 +2,6 @@
 
 import math
 import re
-import zlib
 from collections import Counter
 
 import numpy as np
@@ -115,16 +114,44 @@ def test_language_is_learnt_from_text(spark):
     assert all(r.lang == r.lang_pred and 0 <= r.score <= 1 for r in found) and len(found) == 48
 
 
-def test_sample_counts_do_not_grow_with_partitions(spark, monkeypatch):
-    rows = [(k, passage(k, 30, 7), "en" if k % 2 else "de") for k in range(160)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(40)
-    parts, kind = [], type(docs)
-    own = kind.collect
-    monkeypatch.setattr(kind, "collect", lambda df: parts.append((df.columns, own(df))) or parts[-1][1])
-    assert language.train(docs) is not None
-    counted = [found for columns, found in parts if "counts" in columns]
-    assert 0 < len(counted[0]) <= 4 * language.COUNT_TASKS
-    assert sum(r.docs for r in counted[0]) == 160
+def plain_decode(model, margins):
+    """Loss-weighted decoding, bit by bit."""
+    losses = []
+    for word in model.codes.tolist():
+        losses.append(sum(w * math.log1p(math.exp(-m if bit else m)) for bit, m, w in zip(word, margins.tolist(), model.weights.tolist())))
+    shares = [math.exp(min(losses) - loss) for loss in losses]
+    best, *rest = sorted((s / sum(shares) for s in shares), reverse=True)
+    return model.languages[losses.index(min(losses))], best, bool(rest and best - rest[0] < language.MARGIN) or min(losses) > model.limit
+
+
+def test_decoding_equals_plain_python_and_flags_what_fits_no_word():
+    rng = np.random.default_rng(6)
+    for count in (1, 2, 4, 9):
+        codes = language.codewords(count)
+        nothing = np.zeros(codes.shape[1])
+        model = language.Model([f"l{k}" for k in range(count)], codes, np.zeros((1, codes.shape[1])), nothing, nothing, rng.uniform(0.1, 1, codes.shape[1]), 1.5)
+        for _ in range(50):
+            margins = rng.normal(0, 3, codes.shape[1])
+            name, score, ambiguous = model.decode(margins)
+            assert (name, ambiguous) == plain_decode(model, margins)[::2] and score == pytest.approx(plain_decode(model, margins)[1])
+        own = (2.0 * codes[0] - 1) * 9
+        assert model.decode(own)[::2] == ("l0", False)
+        if count > 2:
+            own[: len(own) // 4 + 1] *= -1  # near no word: some bits are sure of the contrary
+            assert model.decode(own)[2]
+
+
+def test_sample_counts_do_not_grow_with_partitions_or_copies(spark, monkeypatch):
+    rows = [(k, passage(k, 30, 7), "en" if k % 2 else "de") for k in range(160)] + [(None, passage(1, 30, 7), "en")] * 80
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    few, many = language.train(docs.coalesce(1)), language.train(docs.repartition(40))
+    assert (few.ratios == many.ratios).all() and few.limit == many.limit  # sums of whole numbers
+    tables, kind = [], type(docs)
+    own = kind.toArrow
+    monkeypatch.setattr(kind, "toArrow", lambda df: tables.append(own(df)) or tables[-1])
+    assert language.train(docs.repartition(40)).languages == ["de", "en"]
+    assert len(tables) == 1 and tables[0].num_rows <= 4 * (language.WIDTH + 1)
+    assert sum(n for b, n in zip(tables[0]["bucket"].to_pylist(), tables[0]["n"].to_pylist()) if b == language.WIDTH) == 160
 
 
 def test_language_odd_rows(docs, nothing, spark):
@@ -169,7 +196,3 @@ def test_token_counts_of_odd_rows(docs, nothing, texts):
     assert sorted(str(tuple(r)) for r in rows) == want
     assert {tuple(r)[1:] for r in rows if r.doc_id in (4, 5)} == {(0, 0, 0)}
     assert tokens.token_counts(nothing, path, public_tokenizers.PATTERN).count() == 0
-
-
-def test_held_out_fold_is_the_checksum():
-    assert zlib.crc32(b"17") % 5 in range(5)
