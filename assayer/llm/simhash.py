@@ -13,8 +13,7 @@
    is unbounded and a cell of near-copies takes no pass over its pairs.
 4. *Pivots, then verification.* By the triangle inequality no coordinate of two linked rows differs
    by more than ``max_bits``: pairs with a larger difference are discarded, survivors are verified
-   on the fingerprints. With a ``similarity`` the bits only propose a pair, and the exact share of
-   common shingles (by 64-bit hash) decides.
+   on the fingerprints.
 5. *Components* of the links.
 
 Defined cases: a text without words (null, empty, spaces) has fingerprint zero and is linked like any
@@ -25,7 +24,7 @@ of the same class; an empty table gives no rows. Other input columns are not rea
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -39,7 +38,6 @@ from assayer.llm.common import components, store
 SEED = 42
 CHUNK = 1024  # rows of a cell held against each other at once
 BIN_ROWS = 20_000  # rows handed to Python at once
-BIN_BYTES = 32 << 20  # bytes of shingles handed to Python at once
 _SLAB = 1 << 16  # shingles whose bits are counted at once
 
 Cells = Sequence[Sequence[int]]
@@ -51,12 +49,6 @@ def block_cells(bits: int = 64, blocks: int = 7, max_bits: int = 4) -> list[list
     return [sorted(itertools.chain(*chosen)) for chosen in itertools.combinations(parts, blocks - max_bits)]
 
 
-def random_cells(bits: int, width: int, number: int, seed: int = SEED) -> list[list[int]]:
-    """Seeded bit sets for links farther apart than blocks can find; the recall follows from width and number."""
-    rng = np.random.default_rng(seed)
-    return [sorted(map(int, rng.choice(bits, width, replace=False))) for _ in range(number)]
-
-
 def fingerprint(text: str | None, shingle: int, words64: int = 1) -> bytes:
     """Big-endian fingerprint of one whole text; a bit is set if it is set in over half the shingle hashes.
 
@@ -175,49 +167,25 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
-def alike(one: np.ndarray, others: list[np.ndarray], mark: np.ndarray, similarity: float) -> np.ndarray:
-    """Which of the others share at least ``similarity`` of all shingles with one; sets of places in ``mark``, all false."""
-    mark[one] = True
-    sizes = np.array([len(o) for o in others], np.int64)
-    both = np.bincount(np.repeat(np.arange(len(others)), sizes), mark[np.concatenate(others)], len(others))
-    mark[one] = False
-    return both >= similarity * (len(one) + sizes - both) - 1e-9
-
-
-def link_rows(
-    fps: np.ndarray, coords: np.ndarray, max_bits: int, group: np.ndarray, sets: list[np.ndarray] | None = None, similarity: float = 0.0,
-) -> np.ndarray:
+def link_rows(fps: np.ndarray, coords: np.ndarray, max_bits: int, group: np.ndarray) -> np.ndarray:
     """For rows of one cell, the smallest row each is linked with, directly or over others of them.
 
     Rows of a group are linked from the start.
     """
     first, label = np.unique(group, return_index=True, return_inverse=True)[1:]
     label = first[label]
-    if sets is not None:
-        values, codes = np.unique(np.concatenate(sets), return_inverse=True)
-        codes, mark = np.split(codes, np.cumsum([len(x) for x in sets])[:-1]), np.zeros(len(values), bool)
     for row in range(len(fps)):
-        for at in range(row + 1, len(fps), 256):  # a bounded number of sets at a time
-            others = np.arange(at, min(at + 256, len(fps)))
-            others = others[label[others] != label[row]]
-            if not len(others):
-                continue
-            others = others[linked(fps, coords, np.full(len(others), row), others, max_bits)]
-            if len(others) and sets is not None:
-                others = others[alike(codes[row], [codes[k] for k in others], mark, similarity)]
-            if len(others):
-                joined = np.append(label[others], label[row])
-                label[np.isin(label, joined)] = joined.min()
+        others = np.arange(row + 1, len(fps))
+        others = others[label[others] != label[row]]
+        others = others[linked(fps, coords, np.full(len(others), row), others, max_bits)]
+        if len(others):
+            joined = np.append(label[others], label[row])
+            label[np.isin(label, joined)] = joined.min()
     return label
 
 
-def links(
-    table: DataFrame, cells: Cells, max_bits: int, chunk: int = CHUNK, shingles: Callable[[DataFrame], DataFrame] | None = None, similarity: float = 0.0,
-) -> DataFrame:
-    """(a, b) links between fids whose closure is that of all pairs within ``max_bits`` that share a cell.
-
-    With ``shingles``, which gives (fid, shingles) for a table of fids, only pairs of at least ``similarity`` are links.
-    """
+def links(table: DataFrame, cells: Cells, max_bits: int, chunk: int = CHUNK) -> DataFrame:
+    """(a, b) links between fids whose closure is that of all pairs within ``max_bits`` that share a cell."""
     keys = cell_keys(table, cells)
     shared = store(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("fid").alias("a"), F.max("fid").alias("b")).filter("n > 1"), "cells")
     large = store(shared.filter("n > 2").select("key", F.col("a").alias("low")), "large-cells")
@@ -229,19 +197,13 @@ def links(
                 fps = np.concatenate([_matrix(frame["fp_a"], ">u8"), _matrix(frame["fp_b"], ">u8")]).astype(np.uint64)
                 coords = np.concatenate([_matrix(frame["coords_a"], "<u2"), _matrix(frame["coords_b"], "<u2")])
                 i = np.arange(len(frame))
-                yield frame.loc[linked(fps, coords, i, i + len(frame), max_bits), ["a", "b", "pair"]]
+                yield frame.loc[linked(fps, coords, i, i + len(frame), max_bits), ["a", "b"]]
 
     left = table.select(F.col("fid").alias("a"), F.col("fp").alias("fp_a"), F.col("coords").alias("coords_a"))
     right = table.select(F.col("fid").alias("b"), F.col("fp").alias("fp_b"), F.col("coords").alias("coords_b"))
-    stars = members.filter("fid <> low").select(F.col("low").alias("a"), F.col("fid").alias("b"), F.lit(False).alias("pair"))
-    ends = shared.filter("n = 2").select("a", "b", F.lit(True).alias("pair")).union(stars).groupBy("a", "b").agg(F.max("pair").alias("pair"))
-    first = store(ends.join(left, "a").join(right, "b").mapInPandas(verify, "a long, b long, pair boolean"), "near-pairs")
-    if shingles:
-        # of the smallest rows it meets a row is held against one: what that leaves is seen by the components
-        one = first.filter("NOT pair").groupBy("b").agg(F.min("a").alias("a"))
-        first = store(_verified(first.filter("pair").select("a", "b").union(one.select("a", "b")).distinct(), shingles, similarity), "links")
-    first = first.select("a", "b")
-
+    stars = members.filter("fid <> low").select(F.col("low").alias("a"), F.col("fid").alias("b"))
+    ends = shared.filter("n = 2").select("a", "b").union(stars).distinct()
+    first = store(ends.join(left, "a").join(right, "b").mapInPandas(verify, "a long, b long"), "near-pairs")
     labels = components(first)
     placed = members.join(labels, F.col("fid") == F.col("node"), "left").select("key", "fid", F.coalesce("component", "fid").alias("label"))
     placed = store(placed, "labelled-members")
@@ -263,37 +225,9 @@ def links(
         .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fid", "label"),
         "units",
     )
-    rows = "key long, i int, j int, fid long, label long"
     bound = F.pmod(F.xxhash64("key", "i", "j"), F.lit(max(1, -(-units.count() // BIN_ROWS)))).alias("bin")
     binned = units.select("*", bound).join(table, "fid").groupBy("bin")
-    if not shingles:
-        return first.union(binned.applyInPandas(lambda frame: _forest_of(frame, max_bits), "a long, b long")).distinct()
-    near = store(binned.applyInPandas(lambda frame: _near(frame, max_bits), rows), "near-rows")
-    sets = store(shingles(near.select("fid").distinct()), "shingles")
-    full = near.join(table, "fid").join(sets, "fid")
-    size = near.join(sets, "fid").agg(F.sum(F.octet_length("shingles") + 200)).first()[0] or 0
-    bound = F.pmod(F.xxhash64("key", "i", "j"), F.lit(max(1, -(-size // BIN_BYTES)))).alias("bin")
-    dense = full.select("*", bound).groupBy("bin").applyInPandas(lambda frame: _forest_of(frame, max_bits, similarity), "a long, b long")
-    return first.union(dense).distinct()
-
-
-def _verified(pairs: DataFrame, shingles: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingles are alike."""
-    pairs = store(pairs, "proposed")
-    sets = store(shingles(pairs.select(F.col("a").alias("fid")).union(pairs.select("b")).distinct()), "shingles")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            ok = np.zeros(len(frame), bool)
-            for k, (x, y) in enumerate(zip(frame["x"], frame["y"])):
-                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok[k] = both >= similarity * (len(x) + len(y) - both) - 1e-9
-            yield frame.loc[ok, ["a", "b"]]
-
-    x = sets.select(F.col("fid").alias("a"), F.col("shingles").alias("x"))
-    y = sets.select(F.col("fid").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(x, "a").join(y, "b").mapInPandas(run, "a long, b long")
+    return first.union(binned.applyInPandas(lambda frame: _forest_of(frame, max_bits), "a long, b long")).distinct()
 
 
 def _units(frame: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, list[tuple[int, int]]]:
@@ -304,28 +238,13 @@ def _units(frame: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, l
     return frame, _matrix(frame["fp"], ">u8").astype(np.uint64), _matrix(frame["coords"], "<u2"), list(zip(starts, [*starts[1:], len(frame)]))
 
 
-def _near(frame: pd.DataFrame, max_bits: int) -> pd.DataFrame:
-    """The rows of a bin whose bits are near those of a row of another component in their unit."""
-    frame, fps, coords, units = _units(frame)
-    near = np.zeros(len(frame), bool)
-    for s, e in units:
-        group = frame["label"].to_numpy()[s:e]
-        for row in range(s, e):
-            others = np.flatnonzero(group[row - s + 1 :] != group[row - s]) + row + 1
-            others = others[linked(fps, coords, np.full(len(others), row), others, max_bits)]
-            near[others] = True
-            near[row] |= len(others) > 0
-    return frame.loc[near, ["key", "i", "j", "fid", "label"]]
-
-
-def _forest_of(frame: pd.DataFrame, max_bits: int, similarity: float | None = None) -> pd.DataFrame:
+def _forest_of(frame: pd.DataFrame, max_bits: int) -> pd.DataFrame:
     """A spanning forest of the links in all units of a bin: cells that overlap find the same links again."""
     frame, fps, coords, units = _units(frame)
     fid, groups = frame["fid"].to_numpy(), frame["label"].to_numpy()
     a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for s, e in units:
-        sets = None if similarity is None else [np.frombuffer(x, "<u8") for x in frame["shingles"].iloc[s:e]]
-        label = link_rows(fps[s:e], coords[s:e], max_bits, groups[s:e], sets, similarity or 0.0)
+        label = link_rows(fps[s:e], coords[s:e], max_bits, groups[s:e])
         moved = np.flatnonzero(label != np.arange(e - s))
         a.append(fid[s + moved])
         b.append(fid[s + label[moved]])
@@ -336,23 +255,9 @@ def _forest_of(frame: pd.DataFrame, max_bits: int, similarity: float | None = No
     return pd.DataFrame({"a": nodes[moved], "b": nodes[root[moved]]})
 
 
-def shingle_sets(docs: DataFrame, table: DataFrame, classes: DataFrame, fids: DataFrame, shingle: int, doc_id: str, text: str) -> DataFrame:
-    """(fid, shingles): the different shingle hashes, in order, of the first text of each of the classes ``fids``."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = pa.array([np.unique(shingle_hashes(t.as_py(), shingle)).astype("<u8").tobytes() for t in batch["text"]], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch["fid"], sets], ["fid", "shingles"])
-
-    wanted = classes.join(table.join(fids, "fid").select("fid", "fp"), "fp").select("fid", F.col("first.doc_id").alias("id"), F.col("first.text_hash").alias("hash"))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), _text_hash(text).alias("text_hash"), F.col(text).alias("text"))
-    texts = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))).select("fid", "text")
-    # repeated rows have the same text
-    return texts.mapInArrow(run, "fid long, shingles binary").groupBy("fid").agg(F.first("shingles").alias("shingles"))
-
-
 def near_duplicates(
     docs: DataFrame, shingle: int = 4, words64: int = 1, max_bits: int = 4, cells: Cells | None = None, pivots: int = 32,
-    similarity: float | None = None, doc_id: str = "doc_id", text: str = "text",
+    doc_id: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """(doc_id, fp, component_id, first): component_id is the smallest doc_id reachable over links.
 
@@ -363,11 +268,7 @@ def near_duplicates(
     classes = store(prints.groupBy("fp").agg(F.min(own).alias("first")), "classes")
     table = store(pivot_table(classes, words64, pivots), "pivots")
     cells = cells or block_cells(64 * words64, max_bits + 3, max_bits)
-    if similarity is None:
-        found = links(table, cells, max_bits)
-    else:
-        found = links(table, cells, max_bits, CHUNK, lambda fids: shingle_sets(docs, table, classes, fids, shingle, doc_id, text), similarity)
-    groups = components(found)
+    groups = components(links(table, cells, max_bits))
     ids = table.select("fid", "fp").join(groups, F.col("fid") == F.col("node")).select(F.col("fp").alias("of"), "component")
     grouped = classes.join(ids, F.col("fp") == F.col("of"), "left").select("fp", "first", "component")
     smallest = grouped.filter("component IS NOT NULL").groupBy(F.col("component").alias("c")).agg(F.min("first").alias("low"))
@@ -377,18 +278,12 @@ def near_duplicates(
     )
 
 
-#: Settings for five words and a similarity of 0.8: of 512 bits about 78 differ there, give or take 8, so 120 leave no
-#: such pair out, and 320 cells of 24 bits propose 98.4 of 100 of them, at 0.82 99.4 and at 0.85 99.9. The shingles decide.
-#: Distances to a pivot lie too close together to discard a pair at 120 bits, so one is kept.
-SIMILAR = {"shingle": 5, "words64": 8, "max_bits": 120, "cells": random_cells(512, 24, 320), "pivots": 1, "similarity": 0.8}
-
-
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """One document of each group, with its own columns: the one with the smallest id, null last.
 
     Different texts under one id are different documents; of equal rows one stays.
     """
-    groups = near_duplicates(docs, doc_id=doc_id, text=text, **(settings or SIMILAR))
+    groups = near_duplicates(docs, doc_id=doc_id, text=text, **settings)
     firsts = store(groups.select("first.doc_id", "first.text_hash").groupBy("doc_id", "text_hash").count(), "kept")
     rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("doc_id"), _text_hash(text).alias("text_hash"))
     # only ids and hashes that come more than once are brought together to keep one row of them
