@@ -20,7 +20,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies, by five-word shingles and a similarity of 0.8."""
+    """One document of each group of copies, by fingerprints over four-word shingles that differ in at most four bits."""
     return simhash.keep_one(docs)
 
 
