@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from assayer.functions.text import registry_literal
 from assayer.operators.latest import with_run_key
 from assayer.operators.scoring import derive_metrics
+from assayer.operators.scrubbing import index_registry
 from assayer.plans import inputs
 from assayer.plans.logs import _TURNS as TURNS
 from assayer.plans.planning import _CAP as CAP
@@ -112,12 +112,21 @@ def spend_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("event_id", "task_id", F.col("spent_before").cast("double"), "admitted")
 
 
-@query("T05_scrub_stream", f"SELECT conv_id, turn, role, {redact_sql('replace(text, $$tion$$, $$<WORD>$$)')} AS text FROM {plain(TURNS)}")
+# The registry is a table: two fragments and the names of the customers' segments.
+_CHUNK_SECRETS = """
+SELECT 0 AS position, 'tion' AS value, 'WORD' AS name UNION ALL SELECT 1, 'tions and', 'PHRASE'
+UNION ALL SELECT 2 + c_custkey, c_mktsegment || CAST(c_custkey AS STRING), 'SEGMENT' FROM {customer}"""
+
+
+@query(
+    "T05_scrub_stream",
+    f"SELECT conv_id, turn, role, {redact_sql('replace(replace(text, $$tions and$$, $$<PHRASE>$$), $$tion$$, $$<WORD>$$)')} AS text FROM {plain(TURNS)}",
+)
 def scrub_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    registry = registry_literal({"tion": "WORD"})
+    registry = index_registry(derive(spark, sf_dir, _CHUNK_SECRETS))
     out = _play(
         derive(spark, sf_dir, TURNS), "conv_id % 4", "stream-logs",
-        lambda stream, path, state: _to_parquet(streams.scrub_stream(stream, "text", registry), path, state),
+        lambda stream, path, state: streams.scrub_arrivals(stream, "text", registry, path, state),
     )
     return spark.read.parquet(out).select("conv_id", "turn", "role", "text")
 

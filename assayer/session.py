@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+SPREAD_BYTES = 128 << 20  # one split of a file, by Spark's default
 
 
 def build_session(app_name: str = "assayer", master: str | None = None, **conf: str) -> SparkSession:
@@ -51,14 +52,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def store_table(df: DataFrame, purpose: str) -> DataFrame:
+    """Writes ``df`` once to shared storage and reads it from there on; its size is then known to the planner."""
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Deals the rows of a few input files out over all cores before costly row work.
+    """Deals the rows of a small table out over all cores before costly row work.
 
-    Tables with at least as many files as cores are left as they are, so at
-    scale nothing is shuffled.
+    Small is what one task would read whole, at most ``SPREAD_BYTES`` by the planner's estimate. A larger table
+    comes in several splits and is left as it is, so what is shuffled here never grows with the data.
     """
     if df.isStreaming:
         return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    files = len(df._jdf.inputFiles())  # the names stay in the JVM, only their number is needed
-    return df.repartition(cores) if 0 < files < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else df

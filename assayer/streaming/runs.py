@@ -19,6 +19,7 @@ from assayer.operators.latest import latest
 from assayer.operators.ordered import ROWS_PER_SPLIT
 from assayer.operators.planning import admit_within_budget
 from assayer.operators.scoring import count_runs
+from assayer.operators.scrubbing import Registry, scrub_with_registry
 
 
 def stream_runs(spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
@@ -123,5 +124,15 @@ def spend_cap(
 
 
 def scrub_stream(chunks: DataFrame, column: str, registry: Column | None = None) -> DataFrame:
-    """Scrubs log chunks as they arrive; no state, no shuffle."""
+    """Scrubs log chunks as they arrive, with a caller's few secrets; no state, no shuffle."""
     return chunks.withColumn(column, scrub(F.col(column), registry))
+
+
+def scrub_arrivals(chunks: DataFrame, column: str, registry: Registry, path: str, checkpoint: str) -> DataStreamWriter:
+    """Scrubs log chunks as they arrive with an indexed registry of any size.
+
+    Each batch is joined with the stored index, which is built once; a replayed batch overwrites its folder.
+    """
+    return chunks.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
+        _write_batch(path, lambda batch, _: scrub_with_registry(batch, column, registry))
+    )

@@ -2,6 +2,7 @@
 
 import difflib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -257,18 +258,50 @@ def test_settings_bounds():
             quality.check_settings(**wrong)
 
 
-def test_large_registry_is_applied_in_bands(spark):
+def plainly_scrubbed(text, known):
+    """Every secret tried in turn, the longest first."""
+    for secret in sorted(known, key=lambda v: (-len(v), v)) if text is not None else ():
+        text = text.replace(secret, f"<{known[secret]}>")
+    return text
+
+
+def registry_of(spark, known):
+    return spark.createDataFrame([(i, v, n) for i, (v, n) in enumerate(known.items())], "position int, value string, name string")
+
+
+def test_registry_is_found_by_anchors_as_if_every_secret_was_tried(spark):
     secrets = [(i, f"k{i % 40:02d}" + "x" * (i % 3), f"N{i}") for i in range(120)] + [(999, "", "EMPTY")]
     table = spark.createDataFrame(secrets, "position int, value string, name string")
-    docs = spark.createDataFrame([(1, "k01xx k02x k39 token=abcdefghijkl"), (2, "none")], "id int, text string")
+    docs = [(1, "k01xx k02x k39 token=abcdefghijkl"), (2, "none"), (2, "none"), (None, None), (3, ""), (4, "k39" * 50 + "é" * 10 + "k00xx")]
     known = {value: name for _, value, name in secrets if value}
-    expected = []
-    for row in docs.collect():
-        content = row.text
-        for secret in sorted(known, key=lambda v: (-len(v), v)):
-            content = content.replace(secret, f"<{known[secret]}>")
-        expected.append((row.id, content.replace("token=abcdefghijkl", "<REDACTED>")))
-    assert rows(scrubbing.scrub_with_registry(docs, "text", table, band_rows=7), "id", "text") == expected
+    expected = [(i, (plainly_scrubbed(t, known) or t) and plainly_scrubbed(t, known).replace("token=abcdefghijkl", "<REDACTED>")) for i, t in docs]
+    found = scrubbing.scrub_with_registry(spark.createDataFrame(docs, "id int, text string"), "text", table)
+    assert found.columns == ["id", "text"] and sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, expected))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_nested_overlapping_and_completed_secrets(spark, seed):
+    rng = random.Random(seed)
+    letters = "ab<>é" if seed % 2 else "abc"
+    known = {"".join(rng.choice(letters) for _ in range(rng.randrange(1, 7))): "".join(rng.choice("abA") for _ in range(rng.randrange(1, 4))) for _ in range(25)}
+    docs = [(i, "".join(rng.choice(letters + "xyz ") for _ in range(rng.randrange(0, 40)))) for i in range(150)]
+    found = scrubbing.scrub_with_registry(spark.createDataFrame(docs, "id int, text string"), "text", registry_of(spark, known))
+    assert dict(map(tuple, found.collect())) == {i: plainly_scrubbed(t, known) for i, t in docs}
+
+
+def test_a_registry_of_a_hundred_thousand_secrets(spark):
+    rows = spark.range(100_000).select(
+        F.col("id").cast("int").alias("position"), F.concat(F.lit("live-key-"), F.sha2(F.col("id").cast("string"), 256)).alias("value"),
+        F.concat(F.lit("K"), F.col("id")).alias("name"),
+    )
+    index = scrubbing.index_registry(rows)
+    assert index.follows is None and index.widths == (16,)
+    wanted = rows.filter("position % 9973 = 5").collect()
+    docs = [(k, f"start {r.value}{r.value} live-key-0000 {r.value[:-1]} end") for k, r in enumerate(wanted)] + [(99, "live-key- only " * 500)]
+    found = scrubbing.scrub_with_registry(spark.createDataFrame(docs, "id int, text string"), "text", index)
+    assert dict(map(tuple, found.collect())) == {i: plainly_scrubbed(t, {r.value: r.name for r in wanted}) for i, t in docs}
+    # the common beginning is no anchor: what is in no text joins nothing
+    assert scrubbing._present(spark.createDataFrame([(docs[-1][1],)], "text string"), index).count() == 0
 
 
 def test_plans_and_budgets(spark):

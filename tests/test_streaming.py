@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions.text import registry_literal
 from assayer.operators.scoring import derive_metrics
+from assayer.operators.scrubbing import index_registry
 from assayer.streaming import edits, runs as streams
 
 SCHEMA = "run_key string, task_id string, agent string, at int, passed boolean, score double, cost_usd double, duration_s double, text string"
@@ -74,6 +75,16 @@ def test_chunks_are_scrubbed_on_arrival(spark, tmp_path):
     assert spark.read.parquet(out).first().text == "token=<SHORT> and token=<SHORT>defghijklmnop"
 
 
+def test_arrivals_are_scrubbed_with_a_stored_registry(spark, tmp_path):
+    source, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    secrets = [(0, "pear", "FRUIT"), (1, "pears and plums", "MANY"), (2, "never there", "NONE")]
+    registry = index_registry(spark.createDataFrame(secrets, "position int, value string, name string"))
+    for k, text in enumerate(["a pear", "pears and plums, pears"]):
+        _arrive(source, str(k), {"at": k, "text": text})
+        _run(streams.scrub_arrivals(_source(spark, source), "text", registry, out, state))
+    assert [r.text for r in spark.read.parquet(out).orderBy("at").collect()] == ["a <FRUIT>", "<MANY>, <FRUIT>s"]
+
+
 def _values(spark, tmp_path, *slices):
     source, out = tmp_path / "in", str(tmp_path / "out")
     source.mkdir()
