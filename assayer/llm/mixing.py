@@ -77,7 +77,7 @@ def mix(
     plan = filled.withColumn("missing", F.col("target") - F.col("whole") * F.col("source_size"))
     upto = F.sum("size").over(Window.partitionBy("source").orderBy("bucket"))
     before = F.col("upto") - F.col("size")
-    near = (F.col("upto") <= F.col("missing")) | ((before < F.col("missing")) & (F.col("upto") - F.col("missing") <= F.col("missing") - before))
+    near = (F.col("missing") > 0) & (F.col("upto") <= F.col("missing")) | ((before < F.col("missing")) & (F.col("upto") - F.col("missing") <= F.col("missing") - before))
     cuts = (
         histogram.withColumn("upto", upto).join(plan.select(F.col("source").alias("of"), "missing"), F.col("source").eqNullSafe(F.col("of")))
         .groupBy("of").agg(F.max(F.when(near, F.col("bucket"))).alias("last"))

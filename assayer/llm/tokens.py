@@ -36,7 +36,7 @@ REMEMBERED = 400_000
 class Vocabulary:
     """Pieces as a trie in arrays: an edge is parent * 256 + byte, sorted; nodes without a piece cost -1."""
 
-    _loaded: dict[str, Vocabulary] = {}
+    _loaded: dict[tuple[str, str], Vocabulary] = {}
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         last = max(ranks.values(), default=0)
@@ -59,10 +59,10 @@ class Vocabulary:
     @classmethod
     def of(cls, path: str, pattern: str) -> Vocabulary:
         """The worker's own copy of a vocabulary file with lines of base64 piece and rank."""
-        if path not in cls._loaded:
+        if (path, pattern) not in cls._loaded:
             with open(path, "rb") as lines:
-                cls._loaded[path] = cls({base64.b64decode(p): int(r) for p, r in map(bytes.split, lines)}, pattern)
-        return cls._loaded[path]
+                cls._loaded[path, pattern] = cls({base64.b64decode(p): int(r) for p, r in map(bytes.split, lines)}, pattern)
+        return cls._loaded[path, pattern]
 
     def step(self, states: np.ndarray, byte: np.ndarray) -> np.ndarray:
         """Next vocabulary node of each state, 0 where there is none."""

@@ -211,14 +211,12 @@ def reassemble(parts: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.max("total").alias("total"), F.max("page_id").alias("page_id"), F.max("digest").alias("digest"), F.first("block").alias("block")
     )
     whole = distinct.groupBy("record_id").agg(
-        F.sort_array(F.collect_list(F.struct("number", "block"))).alias("pieces"), F.max("total").alias("total"), F.max("page_id").alias("page_id"),
-        F.max("digest").alias("digest"), F.max("n").alias("n"),
+        F.expr("listagg(block) WITHIN GROUP (ORDER BY number)").alias("block"), F.count("*").alias("pieces"), F.min("number").alias("first"), F.max("number").alias("last"),
+        F.max("total").alias("total"), F.max("page_id").alias("page_id"), F.max("digest").alias("digest"), F.max("n").alias("n"),
     )
-    joined = F.aggregate(F.col("pieces.block"), F.lit(b"").cast("binary"), lambda a, b: F.concat(a, b))
-    fits = (F.element_at("pieces", -1)["number"] == F.size("pieces")) & (F.element_at("pieces", 1)["number"] == 1)
-    checked = whole.withColumn("block", joined).withColumn(
-        "block",
-        F.when(fits & (F.octet_length("block") == F.col("total")), F.col("block")).otherwise(F.raise_error(F.concat(F.lit("segments missing: "), F.col("record_id"))).cast("binary")),
+    fits = (F.col("first") == 1) & (F.col("last") == F.col("pieces")) & (F.octet_length("block") == F.col("total"))
+    checked = whole.withColumn(
+        "block", F.when(fits, F.col("block")).otherwise(F.raise_error(F.concat(F.lit("segments missing: "), F.col("record_id"))).cast("binary"))
     )
     return checked.select("page_id", "digest", "block", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("col")
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -249,6 +250,15 @@ def test_entropy(spark):
     assert [round(r[0], 6) for r in frame.select(urls._entropy(frame["t"])).collect()] == [1.0, 2.0, 0.0, 0.0]
 
 
+def test_a_long_page_is_put_together_in_one_pass(spark):
+    html = "<p>" + "0123456789abcdef" * (1 << 19)  # 8 MB in 1024 segments
+    folder = warc.write(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string"), segment_bytes=1 << 13)
+    started = time.monotonic()
+    found = warc.read(spark, folder).select("page_id", "payload_bytes", "digest").collect()
+    assert [tuple(r) for r in found] == [(1, len(html), hashlib.sha1(html.encode()).hexdigest())]
+    assert time.monotonic() - started < 20
+
+
 def test_warc_round_trip(spark):
     big, long = "<p>é漢</p>" * 200, "WARC/1.1\r\n\r\nline\r\n" * 9000
     rows = [

@@ -83,6 +83,14 @@ def test_mix_comes_near_its_targets_and_reruns_agree(spark):
         assert abs(group["taken"].sum() - group["target"].iloc[0]) <= 0.01 * group["target"].iloc[0] + 40
 
 
+def test_empty_documents_at_the_cap_are_taken_no_oftener_than_the_cap(spark):
+    rows = [(i, "w " * 10 if i % 2 else "", "full") for i in range(400)] + [(1000 + i, "w " * 5000, "large") for i in range(4)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = mixing.mix(frame, weights=(1000.0, 1.0)).select("row.source", "size", "copies", "target", "source_size").toPandas()
+    assert (mixed["target"] == 2 * mixed["source_size"])[mixed["source"] == "full"].all()
+    assert mixed["copies"].max() <= 2 and mixing.repeat(mixing.mix(frame)).filter("source = 'full'").count() <= 800
+
+
 def test_mix_handles_odd_rows(docs, nothing, texts):
     mixed = mixing.mix(docs)
     assert mixed.count() == len(texts) and mixing.repeat(mixed).columns == docs.columns
@@ -188,6 +196,12 @@ def test_trie_counts_equal_single_cuttings():
     assert own.count(samples).tolist() == [viterbi(own, s) for s in samples]
 
 
+def test_a_second_pattern_is_its_own_vocabulary():
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    letters = tokens.Vocabulary.of(path, r"[a-z]+")
+    assert letters is not tokens.Vocabulary.of(path, r"[0-9]+") and letters is tokens.Vocabulary.of(path, r"[a-z]+")
+
+
 def test_token_counts_of_odd_rows(docs, nothing, texts):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     rows = tokens.token_counts(docs, path, public_tokenizers.PATTERN).collect()
