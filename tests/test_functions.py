@@ -202,9 +202,11 @@ def test_junit_totals(value, xml, counts, broken):
     assert (found.problem is not None) == broken
 
 
-def test_large_junit_is_refused(value):
+def test_large_junit_is_counted_unless_a_limit_is_set(value):
     xml = F.concat(F.lit("<testsuite tests='1'>"), F.repeat(F.lit("x"), 1024 * 1024), F.lit("</testsuite>"))
-    assert value(tool_output.junit_totals(xml)).problem == "junit.xml exceeds size limit"
+    assert value(tool_output.junit_totals(xml, limit_bytes=1024 * 1024)).problem == "junit.xml exceeds size limit"
+    found = value(tool_output.junit_totals(xml))
+    assert (found.tests, found.problem) == (1, None)
 
 
 def test_query_strings_match_urllib(value):

@@ -1,5 +1,8 @@
 """Every registered query on the smallest data, against its SQL where there is one."""
 
+import subprocess
+import sys
+
 import duckdb
 import pytest
 
@@ -28,6 +31,15 @@ def test_every_check_sql_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
 
 
+def test_other_queries_stay_where_a_dependency_is_missing():
+    code = "import sys; sys.modules['{0}'] = None\nimport __spark_entry__ as e\nprint(len(e.queries()), [n for n in e.queries() if n == 'pipeline' or n[:2] == 'op'])"
+    own = [n for n in QUERIES if n != "pipeline" and not n.startswith("op")]
+    for hidden in ("assayer.llm", "corpus_pipeline", "pyarrow.missing"):
+        out = subprocess.run([sys.executable, "-c", code.format(hidden)], capture_output=True, text=True, check=True).stdout.split(" ", 1)
+        assert int(out[0]) == (len(QUERIES) if hidden == "pyarrow.missing" else len(own))
+        assert (out[1].strip() == "[]") == (hidden != "pyarrow.missing" or len(own) == len(QUERIES))
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, engine, name):
     result = QUERIES[name](spark, FOLDER)
