@@ -33,11 +33,9 @@ def merge_runs(stored: DataFrame, incoming: DataFrame, version: str = "created_a
     return latest(both, ["run_key"], newest).drop("__source")
 
 
-def child_checks(runs: DataFrame) -> DataFrame:
-    """Check rows of a deduplicated run table; children follow their parent."""
-    return runs.select("run_key", F.posexplode("checks").alias("position", "check")).select(
-        "run_key", "position", "check.*"
-    )
+def child_checks(runs: DataFrame, *parent: str) -> DataFrame:
+    """Check rows of a deduplicated run table; children lie in their parent's row and bring its columns along."""
+    return runs.select("run_key", *parent, F.posexplode("checks").alias("position", "check")).select("run_key", *parent, "position", "check.*")
 
 
 def latest_cell(runs: DataFrame, version: str = "created_at") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.operators import latest, planning
+from assayer.operators import latest, planning, saved
 from assayer.operators.ordered import running
 from assayer.plans import inputs
 from assayer.plans.registry import derive, plain, query
@@ -177,10 +177,12 @@ def _saves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("K01_save_run", f"SELECT task_id, agent, created_at, score FROM {plain(_SAVES)} QUALIFY {_NEWEST}")
 def save_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    saves = _saves(spark, sf_dir)
-    stored, incoming = saves.filter("created_at % 20 < 10"), saves.filter("created_at % 20 >= 10")
-    merged = latest.merge_runs(stored, incoming)
-    return merged.select("task_id", "agent", "created_at", "score")
+    path, runs = shared_dir(spark, "saved-runs"), _saves(spark, sf_dir)
+    second = runs.filter("created_at % 20 >= 10")
+    saved.save_runs(runs.filter("created_at % 20 < 10"), path, ties=["score"])
+    for _ in range(2):  # a save that is repeated replaces its runs by themselves
+        saved.save_runs(second, path, ties=["score"], step=1)
+    return saved.read_runs(spark, path, ties=["score"]).select("task_id", "agent", "created_at", "score")
 
 
 @query("W01_latest_cell", f"SELECT task_id, agent, repeat, created_at, score FROM {plain(_SAVES)} QUALIFY {_NEWEST}")
@@ -199,10 +201,7 @@ def child_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit("scope").alias("name"), (F.col("score") > 1000).alias("passed")),
     )
     newest = latest.latest_cell(_saves(spark, sf_dir)).withColumn("checks", checks)
-    children = latest.child_checks(newest)
-    return children.join(newest.select("run_key", "task_id", "agent"), "run_key").select(
-        "task_id", "agent", "position", "name", "passed"
-    )
+    return latest.child_checks(newest, "task_id", "agent").select("task_id", "agent", "position", "name", "passed")
 
 
 @query(
@@ -246,16 +245,9 @@ def report_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     path = shared_dir(spark, "document")
     reports.write_report_document(lines, path)
-    members = spark.read.text(path).filter(~F.col("value").startswith("{\"schema_version\":\"1.0.0\",\"run_id\":\"%s\",\"generated_at\"" % _RUN_ID))
-    body = F.ltrim(F.col("value"), F.lit(","))
-    parsed = members.filter(body.startswith("{")).select(
-        F.from_json(body, "task_id string, agent string, repeat bigint, score double, repeats bigint, pass_at_1 double").alias("m")
-    ).select("m.*")
-    is_run = F.col("repeat").isNotNull()
-    return parsed.select(
-        F.when(is_run, "run").otherwise("aggregate").alias("kind"), "task_id", "agent",
-        F.coalesce("repeat", "repeats").alias("n"), F.round(F.coalesce("score", "pass_at_1"), 10).alias("value"),
-    )
+    loaded = reports.load_report_parts(spark, path)
+    runs = loaded.runs.select(F.lit("run").alias("kind"), "task_id", "agent", F.col("repeat").cast("bigint").alias("n"), F.round("score", 10).alias("value"))
+    return runs.union(loaded.aggregates.select(F.lit("aggregate").alias("kind"), "task_id", "agent", "repeats", F.round("pass_at_1", 10)))
 
 
 @query(

@@ -63,7 +63,7 @@ def last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     saves = with_run_key(derive(spark, sf_dir, SAVES))
     out = _play(
         saves, "CAST(score AS BIGINT) % 4", "stream-saves",
-        lambda stream, path, state: streams.upsert(stream, path, state, ["run_key"], ["created_at", "score"]),
+        lambda stream, path, state: streams.upsert(stream, path, state, ["run_key"], ["created_at", "score"], merge_every=3),
     )
     return streams.read_upserted(spark, out, ["run_key"], ["created_at", "score"]).select("task_id", "agent", "created_at", "score")
 
@@ -91,7 +91,7 @@ def live_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
         _runs(spark, sf_dir), "event_id % 4", "stream-counts",
         lambda stream, path, state: streams.write_live_counts(streams.live_counts(stream), path, state),
     )
-    counts = streams.read_upserted(spark, out, ["task_id", "agent"], ["repeats"])
+    counts = streams.read_live_counts(spark, out)
     table = flat(derive_metrics(counts))
     return table.select("task_id", "agent", "repeats", "successes", *[F.round(c, 8).alias(c) for c in _LIVE])
 
@@ -154,6 +154,6 @@ def replay_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     share = max(1, -(-log.count() // _ARRIVALS))
     out = _play(
         log, f"CAST(least({_ARRIVALS - 1}, floor(position / {share})) AS INT)", "stream-edits",
-        lambda stream, path, state: streams.write_live_counts(edits.replay_edits(stream), path, state),
+        lambda stream, path, state: streams.write_live_counts(edits.replay_edits(stream), path, state, ["entity"]),
     )
-    return streams.read_upserted(spark, out, ["entity"], ["operations"]).select("entity", "value", "operations")
+    return streams.read_live_counts(spark, out, ["entity"]).select("entity", "value", "operations")

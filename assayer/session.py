@@ -59,6 +59,16 @@ def store_table(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def committed_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders below ``path`` that a job has completely written."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(place):
+        return []
+    found = (status.getPath() for status in system.listStatus(place) if status.isDirectory())
+    return [folder.getName() for folder in found if system.exists(spark._jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS"))]
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deals the rows of a small table out over all cores before costly row work.
 

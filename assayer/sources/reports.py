@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from assayer.functions.text import fixed
 from assayer.schemas import AGGREGATE, REPORT, RUN
@@ -19,6 +21,9 @@ PRIVATE_METADATA = ("task_version_hashes_json", "skipped_adapters_json")
 
 KEEP_NULLS = {"ignoreNullFields": "false"}
 
+# Sections of a document's lines in order; 2 and 4 close the lists.
+_HEAD, _RUNS, _AGGREGATES = 0, 1, 3
+
 
 def load_reports(spark: SparkSession, paths: str | Sequence[str], multi_line: bool = True) -> DataFrame:
     """Report documents with a strict schema, one row each, and the file they came from.
@@ -37,7 +42,10 @@ def report_runs(reports: DataFrame, *keys: str) -> DataFrame:
 def report_aggregates(reports: DataFrame, *keys: str) -> DataFrame:
     """Aggregates of the loaded reports; the interval as ``struct(low, high)``."""
     names = keys or ("report",)
-    rows = reports.select(*names, F.explode("aggregates").alias("a")).select(*names, "a.*")
+    return _with_bounds(reports.select(*names, F.explode("aggregates").alias("a")).select(*names, "a.*"))
+
+
+def _with_bounds(rows: DataFrame) -> DataFrame:
     bounds = F.struct(F.col("pass_at_1_ci95")[0].alias("low"), F.col("pass_at_1_ci95")[1].alias("high"))
     return rows.withColumn("pass_at_1_ci95", bounds)
 
@@ -97,10 +105,10 @@ def report_document_lines(
     empty = [F.lit("").alias(c) for c in ("k1", "k2")] + [F.lit(0).alias("k3")]
     one = spark.range(1)
     opening = F.concat(F.expr("''"), F.substr(head, F.lit(1), F.length(head) - 1), F.lit(',"runs":['))
-    frames = [one.select(F.lit(0).alias("section"), *empty, opening.alias("line"))]
-    frames.append(_member_lines(runs, 1, ("task_id", "agent", "repeat"), run_record(runs.columns)))
+    frames = [one.select(F.lit(_HEAD).alias("section"), *empty, opening.alias("line"))]
+    frames.append(_member_lines(runs, _RUNS, ("task_id", "agent", "repeat"), run_record(runs.columns)))
     frames.append(one.select(F.lit(2).alias("section"), *empty, F.lit('],"aggregates":[').alias("line")))
-    frames.append(_member_lines(aggregates, 3, ("agent", "task_id", None), aggregate_record(aggregates.columns)))
+    frames.append(_member_lines(aggregates, _AGGREGATES, ("agent", "task_id", None), aggregate_record(aggregates.columns)))
     frames.append(one.select(F.lit(4).alias("section"), *empty, F.lit("]}").alias("line")))
     lines = frames[0]
     for frame in frames[1:]:
@@ -121,8 +129,42 @@ def _member_lines(df: DataFrame, section: int, order: Sequence[str | None], reco
 
 
 def write_report_document(lines: DataFrame, path: str) -> None:
-    """Writes the lines of a document in order; commit is atomic per write."""
-    lines.select("line").write.mode("overwrite").text(path)
+    """Writes the lines of a document in order, a folder a section; commit is atomic per write.
+
+    The part files in order of their paths are one JSON document, and :func:`load_report_parts` reads them in parallel.
+    """
+    lines.select("section", "line").write.mode("overwrite").partitionBy("section").text(path)
+
+
+@dataclass(frozen=True)
+class ReportParts:
+    """Report documents of many part files: rows of ``head``, ``runs`` and ``aggregates`` name their ``report`` folder."""
+
+    head: DataFrame
+    runs: DataFrame
+    aggregates: DataFrame
+
+
+def load_report_parts(spark: SparkSession, paths: str | Sequence[str]) -> ReportParts:
+    """Loads documents that :func:`write_report_document` wrote, with the strict schema of :func:`load_reports`.
+
+    A section is read from its own files, a member a line, so a document of any size is split like any table.
+    """
+    folder = F.regexp_extract(F.col("_metadata.file_path"), "^(.*)/section=", 1)
+
+    def section(number: int) -> DataFrame:
+        where = [paths] if isinstance(paths, str) else list(paths)
+        return spark.read.text([f"{path.rstrip('/')}/section={number}" for path in where]).select(folder.alias("report"), F.col("value").alias("line"))
+
+    def parsed(rows: DataFrame, json: Column, schema: StructType) -> DataFrame:
+        return rows.select("report", F.from_json(json, schema, {"mode": "FAILFAST"}).alias("row")).select("report", "row.*")
+
+    member = F.regexp_replace("line", "^,", "")
+    head = StructType([f for f in REPORT if f.name not in ("runs", "aggregates")])
+    closed = F.concat(F.regexp_replace("line", r',"runs":\[$', ""), F.lit("}"))
+    return ReportParts(
+        parsed(section(_HEAD), closed, head), parsed(section(_RUNS), member, RUN), _with_bounds(parsed(section(_AGGREGATES), member, AGGREGATE)),
+    )
 
 
 def runs_jsonl(runs: DataFrame) -> DataFrame:
@@ -165,7 +207,3 @@ def replace_aggregates(aggregates: DataFrame, path: str) -> None:
     """Replaces the stored aggregates by a new set."""
     aggregates.write.mode("overwrite").parquet(path)
 
-
-def save_runs(runs: DataFrame, path: str) -> None:
-    """Appends runs; readers see the newest per key (``operators.latest``)."""
-    runs.write.mode("append").parquet(path)

@@ -1,8 +1,9 @@
 """Structured Streaming forms of the run pipeline.
 
-Sinks write one folder per micro-batch (``batch=<id>``) and overwrite it when a
-batch is replayed, so every result is exactly once after a lost executor or a
-restarted query. Readers resolve what is newest.
+Sinks write one folder per micro-batch and overwrite it when a batch is replayed,
+so every result is exactly once after a lost executor or a restarted query. Keyed
+state is a table saved in steps (``operators.saved``), whose readers open a bounded
+number of folders.
 """
 
 from __future__ import annotations
@@ -15,11 +16,12 @@ from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.types import StructType
 
 from assayer.functions.text import scrub
-from assayer.operators.latest import latest
+from assayer.operators import saved
 from assayer.operators.ordered import ROWS_PER_SPLIT
 from assayer.operators.planning import admit_within_budget
 from assayer.operators.scoring import count_runs
 from assayer.operators.scrubbing import Registry, scrub_with_registry
+from assayer.session import committed_folders
 
 
 def stream_runs(spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
@@ -37,37 +39,34 @@ def _write_batch(path: str, prepare: Callable[[DataFrame, int], DataFrame]) -> C
     return write
 
 
-def upsert(runs: DataFrame, path: str, checkpoint: str, keys: Sequence[str], newest_first: Sequence[str]) -> DataStreamWriter:
-    """Last-wins sink: the newest row per key of each batch is kept, older batches stay as they are."""
-    order = [F.col(c).desc() for c in newest_first]
-    return runs.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-        _write_batch(path, lambda batch, _: latest(batch, keys, order))
+def _keep(stream: DataStreamWriter, path: str, checkpoint: str, keys: Sequence[str], order: list[Column], merge_every: int) -> DataStreamWriter:
+    return stream.option("checkpointLocation", checkpoint).foreachBatch(
+        lambda batch, batch_id: saved.save(batch, path, keys, order, batch_id, merge_every) and None
     )
 
 
-def read_upserted(spark: SparkSession, path: str, keys: Sequence[str], newest_first: Sequence[str]) -> DataFrame:
-    """Current state of an upsert sink: newest row per key over all batches."""
-    order = [F.col(c).desc() for c in (*newest_first, "batch")]
-    return latest(spark.read.parquet(path), keys, order).drop("batch")
+def upsert(
+    runs: DataFrame, path: str, checkpoint: str, keys: Sequence[str], newest_first: Sequence[str], merge_every: int = saved.MERGE_EVERY
+) -> DataStreamWriter:
+    """Last-wins sink: the newest row per key, over all batches."""
+    return _keep(runs.writeStream, path, checkpoint, keys, saved.newest_first(*newest_first), merge_every)
 
 
-def first_wins(runs: DataFrame, path: str, checkpoint: str, keys: Sequence[str], oldest_first: Sequence[str]) -> DataStreamWriter:
-    """First-wins sink: the oldest row per key of each batch is kept; no row is too late to be written."""
-    order = [F.col(c).asc() for c in oldest_first]
-    return runs.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
-        _write_batch(path, lambda batch, _: latest(batch, keys, order))
-    )
+def read_upserted(spark: SparkSession, path: str, keys: Sequence[str], newest_first: Sequence[str]) -> DataFrame:
+    """Current state of an upsert sink."""
+    return saved.read(spark, path, keys, saved.newest_first(*newest_first))
 
 
-def read_first(spark: SparkSession, path: str, keys: Sequence[str], oldest_first: Sequence[str]) -> DataFrame:
-    """First arrival of each key: its row in the earliest batch of a first-wins sink."""
-    order = [F.col(c).asc() for c in ("batch", *oldest_first)]
-    return latest(spark.read.parquet(path), keys, order).drop("batch")
+def first_wins(
+    runs: DataFrame, path: str, checkpoint: str, keys: Sequence[str], oldest_first: Sequence[str], merge_every: int = saved.MERGE_EVERY
+) -> DataStreamWriter:
+    """First-wins sink: the oldest row per key of its earliest batch; no row is too late to be written."""
+    return _keep(runs.writeStream, path, checkpoint, keys, saved.oldest_first(*oldest_first), merge_every)
 
 
-def compact(spark: SparkSession, path: str, target: str, keys: Sequence[str], newest_first: Sequence[str]) -> None:
-    """Writes the current state as the first batch of a new sink folder."""
-    read_upserted(spark, path, keys, newest_first).write.mode("overwrite").parquet(f"{target}/batch=-1")
+def read_first(spark: SparkSession, path: str, keys: Sequence[str], oldest_first: Sequence[str]) -> DataFrame:
+    """First arrival of each key of a first-wins sink."""
+    return saved.read(spark, path, keys, saved.oldest_first(*oldest_first))
 
 
 def live_counts(runs: DataFrame, keys: Sequence[str] = ("task_id", "agent")) -> DataFrame:
@@ -75,11 +74,16 @@ def live_counts(runs: DataFrame, keys: Sequence[str] = ("task_id", "agent")) ->
     return count_runs(runs, keys)
 
 
-def write_live_counts(counts: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """Sink for :func:`live_counts`: each batch holds only the groups that changed."""
-    return counts.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(
-        _write_batch(path, lambda batch, _: batch)
-    )
+def write_live_counts(
+    counts: DataFrame, path: str, checkpoint: str, keys: Sequence[str] = ("task_id", "agent"), merge_every: int = saved.MERGE_EVERY
+) -> DataStreamWriter:
+    """Sink for :func:`live_counts`: a batch brings the groups that changed, the last one of each counts."""
+    return _keep(counts.writeStream.outputMode("update"), path, checkpoint, keys, saved.newest_first(), merge_every)
+
+
+def read_live_counts(spark: SparkSession, path: str, keys: Sequence[str] = ("task_id", "agent")) -> DataFrame:
+    """Current counts of all groups."""
+    return saved.read(spark, path, keys, saved.newest_first())
 
 
 def spend_cap(
@@ -88,35 +92,33 @@ def spend_cap(
 ) -> DataStreamWriter:
     """Marks each run as admitted while the suite's known spend is below ``cap``.
 
-    What earlier batches spent is read back as one small row per suite and batch;
-    inside a batch the spend runs in ``order``.
+    What each suite has spent before a batch is one row in the totals of the batch before it, the only ones
+    that are read; a batch writes the totals of all suites after it. Inside a batch the spend runs in ``order``.
     """
     money = "decimal(18,6)"
+    zero = F.lit(0).cast(money)
 
     def mark(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        cost = F.coalesce(F.col("cost_usd").cast(money), F.lit(0).cast(money))
-        spend = batch.groupBy(suite).agg(F.sum(cost).cast(money).alias("spend"))
-        if batch_id == 0:
-            before = spend.select(suite, F.lit(0).cast(money).alias("carried")).limit(0)
-        else:
-            before = (
-                spark.read.parquet(f"{path}/spend").filter(F.col("batch") < batch_id)
-                .groupBy(suite).agg(F.sum("spend").cast(money).alias("carried"))
-            )
+        done = [int(name.removeprefix("totals-")) for name in committed_folders(spark, path) if name.startswith("totals-")]
+        last = max((n for n in done if n < batch_id), default=None)
+        fresh = batch.groupBy(suite).agg(F.sum(F.coalesce(F.col("cost_usd").cast(money), zero)).cast(money).alias("spend"))
+        before = fresh.limit(0) if last is None else spark.read.parquet(f"{path}/totals-{last}")
+        carried = before.select(suite, F.col("spend").alias("carried"))
         batch.persist()
         try:
             inside = admit_within_budget(batch, cap, [suite], order, rows_per_split)
-            total = F.col("spent_before") + F.coalesce("carried", F.lit(0).cast(money))
+            total = F.col("spent_before") + F.coalesce("carried", zero)
             admitted = total < F.lit(str(cap)).cast(money)
-            inside.join(before, suite, "left").withColumns(
+            inside.join(carried, suite, "left").withColumns(
                 {
                     "spent_before": total.cast(money),
                     "admitted": admitted,
                     "shutdown_reason": F.when(~admitted, "budget_exceeded"),
                 }
             ).drop("carried").write.mode("overwrite").parquet(f"{path}/runs/batch={batch_id}")
-            spend.write.mode("overwrite").parquet(f"{path}/spend/batch={batch_id}")
+            totals = before.union(fresh).groupBy(suite).agg(F.sum("spend").cast(money).alias("spend"))
+            totals.write.mode("overwrite").parquet(f"{path}/totals-{batch_id}")
         finally:
             batch.unpersist()
 

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from assayer.operators import compare, latest, planning, quality, rules, scoring, scrubbing, snapshots, source_code
+from assayer.operators import compare, latest, planning, quality, rules, saved, scoring, scrubbing, snapshots, source_code
 from assayer.schemas import CHECK_SPEC, TASK
 from assayer.sources import trees
 
@@ -330,6 +330,35 @@ def test_latest_rows_replace_older_ones(spark):
     assert rows(latest.latest_cell(merged), "agent", "score") == [("a", 0.5), ("b", 0.2)]
 
 
+def test_saved_runs_replace_and_are_read_back(spark, tmp_path):
+    path, kind = str(tmp_path / "runs"), "run_key string, created_at int, score double, checks array<struct<name:string, passed:boolean>>"
+
+    def some(*data):
+        return spark.createDataFrame([(k, at, s, [(f"{k}{i}", True) for i in range(n)]) for k, at, s, n in data], kind)
+
+    state = {}
+    for step in range(7):
+        batch = [("a", step, step / 8, step), ("b", -step, step / 8, 1), (f"k{step}", step, 0.5, 2), ("a", step - 1, 9.0, 9)]
+        number = saved.save(some(*batch), path, ["run_key"], saved.newest_first("created_at"), merge_every=3)
+        assert number == step
+        for k, at, s, n in sorted(batch, key=lambda r: r[1]):
+            if k not in state or at >= state[k][0]:
+                state[k] = (at, s, n)
+        found = saved.read(spark, path, ["run_key"], saved.newest_first("created_at"))
+        assert {r.run_key: (r.created_at, r.score, len(r.checks)) for r in found.collect()} == state
+    # a step saved again changes nothing, neither does one that was lost half-way
+    saved.save(some(*batch), path, ["run_key"], saved.newest_first("created_at"), step=6, merge_every=3)
+    (tmp_path / "runs" / "part-7").mkdir()
+    found = saved.read(spark, path, ["run_key"], saved.newest_first("created_at"))
+    assert found.columns == ["run_key", "created_at", "score", "checks"]
+    assert {r.run_key: (r.created_at, r.score, len(r.checks)) for r in found.collect()} == state
+    opened = {f.split("/")[-2] for f in found.inputFiles()}
+    assert opened == {"base-5", "part-6"}
+    assert latest.child_checks(found, "score").filter("run_key = 'k6'").count() == 2
+    assert saved.save_runs(some(("b", 50, 1.0, 0)), path) == 7  # the lost step's number is free
+    assert saved.read_runs(spark, path).filter("run_key = 'b'").first().created_at == 50
+
+
 def test_hot_keys_are_reduced_before_the_shuffle(spark):
     df = spark.range(10).select((F.col("id") % 2).alias("k"), "id")
     plan = latest.latest(df, ["k"], [F.desc("id")])._jdf.queryExecution().executedPlan().toString()

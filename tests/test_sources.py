@@ -27,8 +27,8 @@ def runs(spark):
                               "schema_version": F.lit("1.0.0")})
 
 
-def _text(folder):
-    return "".join(p.read_text() for p in sorted(Path(folder).glob("part-*")))
+def _text(folder, parts="part-*"):
+    return "".join(p.read_text() for p in sorted(Path(folder).glob(parts)))
 
 
 def _document(spark, runs, path):
@@ -42,7 +42,7 @@ def _document(spark, runs, path):
 
 def test_report_document_round_trip(spark, runs, tmp_path):
     _document(spark, runs, tmp_path / "lines")
-    document = json.loads(_text(tmp_path / "lines"))
+    document = json.loads(_text(tmp_path / "lines", "section=*/part-*"))
     assert [(r["task_id"], r["agent"], r["repeat"]) for r in document["runs"]] == [(t, a, r) for t in ("t1", "t2") for a in ("a", "bb") for r in range(3)]
     assert [(a["agent"], a["task_id"]) for a in document["aggregates"]] == [("a", "t1"), ("a", "t2"), ("bb", "t1"), ("bb", "t2")]
     assert document["metadata"] == {"repeats": "3"} and document["runs"][0]["agent_result"]["stdout_tail"] == "é\"\n"
@@ -59,6 +59,26 @@ def test_report_document_round_trip(spark, runs, tmp_path):
     assert back.pass_at_1_ci95.low < back.pass_at_1 < back.pass_at_1_ci95.high
 
 
+def test_documents_of_several_part_files_are_loaded(spark, runs, tmp_path):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for name in ("one", "two"):
+            _document(spark, runs, tmp_path / name)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "one").glob("section=1/part-*"))) > 1
+    loaded = reports.load_report_parts(spark, [str(tmp_path / "one"), str(tmp_path / "two")])
+    assert loaded.head.select("run_id", "suite.corpus_dirty", "metadata").collect() == [("r", True, {"repeats": "3"})] * 2
+    assert {r.report.rsplit("/", 1)[1] for r in loaded.runs.collect()} == {"one", "two"}
+    back = loaded.runs.filter("report LIKE '%/two'").select("task_id", "agent", "repeat", "seed", "passed", "score", "agent_result")
+    assert sorted(map(str, back.collect())) == sorted(map(str, runs.select(back.columns).collect()))
+    whole = json.loads(_text(tmp_path / "one", "section=*/part-*"))
+    assert loaded.aggregates.count() == 2 * len(whole["aggregates"])
+    (tmp_path / "one" / "section=1" / "part-99999.txt").write_text('{"run_id": 3, "agent": [')
+    with pytest.raises(Exception):
+        reports.load_report_parts(spark, str(tmp_path / "one")).runs.collect()
+
+
 def test_strict_reading_fails_on_broken_reports(spark, tmp_path):
     (tmp_path / "bad.json").write_text('{"run_id": ["not", "text"], "runs": 3}')
     with pytest.raises(Exception):

@@ -39,8 +39,6 @@ def test_upsert_keeps_the_last_row_over_restarts(spark, tmp_path):
     expected = {("x", 2, 0.2), ("y", 5, 0.5)}
     current = streams.read_upserted(spark, out, keys, order)
     assert {(r.run_key, r.at, r.score) for r in current.collect()} == expected
-    streams.compact(spark, out, str(tmp_path / "compact"), keys, order)
-    assert {(r.run_key, r.at, r.score) for r in streams.read_upserted(spark, str(tmp_path / "compact"), keys, order).collect()} == expected
 
 
 def test_live_metrics_equal_batch_metrics(spark, tmp_path):
@@ -48,7 +46,7 @@ def test_live_metrics_equal_batch_metrics(spark, tmp_path):
     _arrive(source, "1", *[{"run_key": str(i), "at": i, "passed": i == 0, "score": i / 4, "cost_usd": 1.0} for i in range(3)])
     _arrive(source, "2", *[{"run_key": str(i), "at": i, "passed": i == 3, "score": i / 4} for i in range(3, 5)])
     _run(streams.write_live_counts(streams.live_counts(_source(spark, source)), out, str(tmp_path / "state")))
-    row = derive_metrics(streams.read_upserted(spark, out, ["task_id", "agent"], ["repeats"])).first()
+    row = derive_metrics(streams.read_live_counts(spark, out)).first()
     assert (row.repeats, row.successes, row.mean_score) == (5, 2, 0.5)
     assert round(row.pass_at_k["2"], 9) == 0.7 and round(row.pass_all_at_k["2"], 9) == 0.1
 
@@ -67,6 +65,37 @@ def test_spend_cap_carries_over_batches(spark, tmp_path):
     ]
 
 
+def _lose(state, batch):
+    """Forgets that a batch was committed, as if the driver was lost after it wrote."""
+    for name in (f"{batch}", f".{batch}.crc"):
+        (state / "commits" / name).unlink()
+
+
+def test_lost_batches_are_replayed_without_a_trace(spark, tmp_path):
+    source, state = tmp_path / "in", tmp_path / "state"
+    spend, kept = str(tmp_path / "spend"), str(tmp_path / "kept")
+    for k in range(5):
+        _arrive(source, str(k), {"run_key": "x", "at": k, "cost_usd": 0.25}, {"run_key": f"y{k}", "at": 10 * k, "task_id": "u", "cost_usd": 0.5})
+        for again in (False, True):
+            if again and k in (1, 2, 4):
+                _lose(state / "spend", k)
+                _lose(state / "kept", k)
+            _run(streams.spend_cap(_source(spark, source), spend, str(state / "spend"), 0.9, "task_id", ["at"]))
+            _run(streams.upsert(_source(spark, source), kept, str(state / "kept"), ["run_key"], ["at"], merge_every=2))
+    marked = spark.read.parquet(f"{spend}/runs").orderBy("task_id", "at").collect()
+    assert [(r.task_id, float(r.spent_before), r.admitted) for r in marked] == (
+        [("t", k / 4, k < 4) for k in range(5)] + [("u", k / 2, k < 2) for k in range(5)]
+    )
+    assert {(r.run_key, r.at) for r in streams.read_upserted(spark, kept, ["run_key"], ["at"]).collect()} == {("x", 4)} | {(f"y{k}", 10 * k) for k in range(5)}
+    # a batch reads the totals of the batch before it: nothing else is needed for the next one
+    for k in range(4):
+        for f in (tmp_path / "spend" / f"totals-{k}").iterdir():
+            f.unlink()
+    _arrive(source, "5", {"run_key": "z", "at": 99, "task_id": "u"})
+    _run(streams.spend_cap(_source(spark, source), spend, str(state / "spend"), 0.9, "task_id", ["at"]))
+    assert float(spark.read.parquet(f"{spend}/runs").filter("at = 99").first().spent_before) == 2.5
+
+
 def test_chunks_are_scrubbed_on_arrival(spark, tmp_path):
     source, out = tmp_path / "in", str(tmp_path / "out")
     _arrive(source, "1", {"text": "token=abc and token=abcdefghijklmnop"})
@@ -92,8 +121,8 @@ def _values(spark, tmp_path, *slices):
         lines = [json.dumps({"entity": "e", "position": i * 100 + n, "kind": k, "piece": p}) for n, (k, p) in enumerate(operations)]
         (source / f"{i}.json").write_text("\n".join(lines))
         stream = spark.readStream.schema("entity string, position long, kind string, piece string").json(str(source))
-        _run(streams.write_live_counts(edits.replay_edits(stream), out, str(tmp_path / "state")))
-    return streams.read_upserted(spark, out, ["entity"], ["operations"]).first()
+        _run(streams.write_live_counts(edits.replay_edits(stream), out, str(tmp_path / "state"), ["entity"]))
+    return streams.read_live_counts(spark, out, ["entity"]).first()
 
 
 def test_edit_replay_over_two_batches(spark, tmp_path):
