@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import re
 import zipfile
 from collections.abc import Iterator, Sequence
 
@@ -11,28 +12,30 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assayer.functions.paths import EXCLUDED_DIRS, has_excluded_segment
 from assayer.schemas import TASK
 from assayer.session import spread
+from assayer.sources import listing
 
 MANIFEST_NAME = "task.yaml"
 
 
-def scan_tree(spark: SparkSession, root: str, tree_id: str) -> DataFrame:
+def scan_tree(spark: SparkSession, root: str, tree_id: str, excluded: Sequence[str] = EXCLUDED_DIRS) -> DataFrame:
     """Files below ``root`` in the shape of ``schemas.FILE``.
 
-    The scan lists regular files; executability and links are not visible to it
-    and come from the caller's inventory where they matter.
+    On mounted storage the listing brings links, special files and permission bits, and excluded directories
+    are never entered. Object stores have none of these: there the files are scanned and excluded paths dropped.
     """
+    if "://" not in root or root.startswith("file:"):
+        place = re.sub("^file:/*", "/", root)
+        return listing.read_contents(listing.list_trees(spark.createDataFrame([(tree_id, place)], "tree_id string, root string"), excluded))
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = root.split("://")[-1].removeprefix("file:").rstrip("/") + "/"
-    return found.select(
-        F.lit(tree_id).alias("tree_id"),
-        F.expr("substring(path, locate({0}, path) + length({0}))".format("'" + base.replace("'", "\\'") + "'")).alias("path"),
-        F.lit("file").alias("kind"),
-        F.sha2("content", 256).alias("sha256"),
-        F.col("length").alias("size"),
-        F.lit(False).alias("executable"),
-        "content",
+    base = root.split("://")[-1].rstrip("/") + "/"
+    path = F.expr("substring(path, locate({0}, path) + length({0}))".format("'" + base.replace("'", "\\'") + "'"))
+    files = found.select(path.alias("path"), "length", "content").filter(~has_excluded_segment(F.col("path"), excluded))
+    return files.select(
+        F.lit(tree_id).alias("tree_id"), "path", F.lit("file").alias("kind"), F.sha2("content", 256).alias("sha256"),
+        F.col("length").alias("size"), F.lit(False).alias("executable"), "content",
     )
 
 

@@ -1,7 +1,10 @@
 """Reading and writing reports, manifests and archives through real files."""
 
+import hashlib
 import io
 import json
+import os
+import stat
 import zipfile
 from pathlib import Path
 
@@ -9,8 +12,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayer.functions.metrics import pass_at_k
-from assayer.operators import quality, scoring
-from assayer.sources import reports, trees
+from assayer.operators import quality, scoring, snapshots
+from assayer.sources import listing, reports, trees
 
 
 @pytest.fixture()
@@ -123,6 +126,46 @@ def test_tree_scan_and_reports_on_disk(spark, tmp_path):
     assert trees.junit_reports(spark, str(tmp_path)).first().xml == "<testsuite/>"
 
 
+def test_listing_knows_links_modes_and_prunes_before_reading(spark, tmp_path):
+    root = tmp_path / "tree"
+    for folder in ("src/deep/er", ".git/objects", "src/__pycache__", "empty", "wide"):
+        (root / folder).mkdir(parents=True)
+    (root / "run.sh").write_text("#!/bin/sh\n")
+    (root / "run.sh").chmod(0o750)
+    (root / "src/deep/er/é.txt").write_text("ü")
+    (root / "src/big.bin").write_bytes(bytes(range(256)) * 9000)
+    os.mkfifo(root / "pipe")  # reading it would wait for ever
+    os.mkfifo(root / ".git/objects/pack")
+    os.mkfifo(root / "src/__pycache__/x.pyc")
+    (root / "link").symlink_to("src/big.bin")
+    (root / "broken").symlink_to("nowhere")
+    (root / "folder").symlink_to("src")
+    for k in range(30):
+        (root / f"wide/d{k}").mkdir()
+        (root / f"wide/d{k}/f").write_text(str(k))
+
+    def digest(content):
+        return hashlib.sha256(content).hexdigest()
+
+    want = {
+        "run.sh": (digest(b"#!/bin/sh\n"), 10, True), "src/deep/er/é.txt": (digest("ü".encode()), 2, False),
+        "src/big.bin": (digest(bytes(range(256)) * 9000), 256 * 9000, False), "pipe": (digest(b"special:%d" % stat.S_IFIFO), 0, False),
+        "link": (digest(b"src/big.bin"), 11, True), "broken": (digest(b"nowhere"), 7, True),
+        **{f"wide/d{k}/f": (digest(str(k).encode()), len(str(k)), False) for k in range(30)},
+    }
+    trees_of = spark.createDataFrame([(7, str(root)), (8, str(root / "src"))], "tree_id int, root string")
+    for directories in (1, 3, 1000):
+        listed = listing.list_trees(trees_of, directories=directories)
+        hashed = listing.hash_trees(listed).collect()
+        assert {r.path: (r.sha256, r.size, r.executable) for r in hashed if r.tree_id == 7} == want and len(hashed) == len(want) + 2
+    files = trees.scan_tree(spark, f"file://{root}", "t")
+    built = snapshots.build_snapshot(files).collect()
+    assert {r.path: (r.sha256, r.size, r.executable) for r in built} == want
+    assert {r.path: r.sha256 for r in files.collect()} == {p: w[0] for p, w in want.items()}
+    assert {r.kind for r in files.collect()} == {"file", "link", "special"}
+    assert listing.list_trees(trees_of.limit(0)).count() == 0
+
+
 def test_archive_members(spark):
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w") as archive:
