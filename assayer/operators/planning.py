@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions.keys import run_key, run_seed
 from assayer.functions.text import strip
-from assayer.operators.ordered import ROWS_PER_SPLIT, running
+from assayer.operators.ordered import running
 from assayer.operators.quality import check_settings
 from assayer.session import spread
 
@@ -89,20 +89,14 @@ def timeout_ceiling(cells: DataFrame, tasks: DataFrame) -> DataFrame:
     )
 
 
-def admit_within_budget(
-    runs: DataFrame,
-    cap: float,
-    suite: Sequence[str],
-    order: Sequence[str],
-    rows_per_split: int = ROWS_PER_SPLIT,
-) -> DataFrame:
+def admit_within_budget(runs: DataFrame, cap: float, suite: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Marks the runs started while the known spend was still below ``cap``.
 
     Costs are summed as decimals so the cut-off does not depend on the order of
     additions. A run of unknown cost adds nothing.
     """
     known = runs.withColumn("__cost", F.coalesce(F.col("cost_usd").cast("decimal(18,6)"), F.lit(0).cast("decimal(18,6)")))
-    spent = running(known, suite, order, sums={"spent_before": "__cost"}, inclusive=False, rows_per_split=rows_per_split)
+    spent = running(known, suite, order, sums={"spent_before": "__cost"}, inclusive=False)
     admitted = F.col("spent_before") < F.lit(str(cap)).cast("decimal(18,6)")
     return spent.drop("__cost").withColumns(
         {"admitted": admitted, "shutdown_reason": F.when(~admitted, "budget_exceeded")}

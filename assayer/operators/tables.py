@@ -8,31 +8,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions.text import last_entries
-from assayer.operators.ordered import ROWS_PER_SPLIT, running
+from assayer.operators.ordered import place, walk
 from assayer.session import cut_lineage
 
 
-def merge_intervals(
-    df: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end", rows_per_split: int = ROWS_PER_SPLIT
-) -> DataFrame:
+def merge_intervals(df: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end") -> DataFrame:
     """Union of the overlapping or touching intervals of each key.
 
     A row opens an island when it starts after every earlier end. The latest
     opening start seen so far names the island, which is then a partial group-by.
     """
-    distinct = cut_lineage(df.select(*keys, start, end).distinct())
-    order, rows = [start, end], distinct.count()
-    reach = running(
-        distinct, keys, order, maxima={"__reach": end}, inclusive=False, rows_per_split=rows_per_split, rows=rows
-    )
+    placed = place(df.select(*keys, start, end).distinct(), keys, [start, end])
+    reach = walk(placed, maxima={"__reach": end}, inclusive=False)
     opens = F.col("__reach").isNull() | (F.col(start) > F.col("__reach"))
-    flagged = reach.withColumn("__open", F.when(opens, F.col(start)))
-    islands = running(
-        flagged, keys, order, maxima={"__island": "__open"}, rows_per_split=rows_per_split, rows=rows, store=True
-    )
-    return islands.groupBy(*keys, "__island").agg(F.max(end).alias(end)).select(
-        *keys, F.col("__island").alias(start), end
-    )
+    islands = walk(placed, reach.withColumn("__open", F.when(opens, F.col(start))), maxima={"__island": "__open"})
+    return islands.groupBy(*keys, "__island").agg(F.max(end).alias(end)).select(*keys, F.col("__island").alias(start), end)
 
 
 def date_window(start: Column, days: Column) -> Column:

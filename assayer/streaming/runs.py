@@ -17,7 +17,6 @@ from pyspark.sql.types import StructType
 
 from assayer.functions.text import scrub
 from assayer.operators import saved
-from assayer.operators.ordered import ROWS_PER_SPLIT
 from assayer.operators.planning import admit_within_budget
 from assayer.operators.scoring import count_runs
 from assayer.operators.scrubbing import Registry, scrub_with_registry
@@ -86,10 +85,7 @@ def read_live_counts(spark: SparkSession, path: str, keys: Sequence[str] = ("tas
     return saved.read(spark, path, keys, saved.newest_first())
 
 
-def spend_cap(
-    runs: DataFrame, path: str, checkpoint: str, cap: float, suite: str, order: Sequence[str],
-    rows_per_split: int = ROWS_PER_SPLIT,
-) -> DataStreamWriter:
+def spend_cap(runs: DataFrame, path: str, checkpoint: str, cap: float, suite: str, order: Sequence[str]) -> DataStreamWriter:
     """Marks each run as admitted while the suite's known spend is below ``cap``.
 
     What each suite has spent before a batch is one row in the totals of the batch before it, the only ones
@@ -107,7 +103,7 @@ def spend_cap(
         carried = before.select(suite, F.col("spend").alias("carried"))
         batch.persist()
         try:
-            inside = admit_within_budget(batch, cap, [suite], order, rows_per_split)
+            inside = admit_within_budget(batch, cap, [suite], order)
             total = F.col("spent_before") + F.coalesce("carried", zero)
             admitted = total < F.lit(str(cap)).cast(money)
             inside.join(carried, suite, "left").withColumns(

@@ -1,4 +1,4 @@
-"""Running values and merged intervals with splits forced, against plain Python."""
+"""Running values and merged intervals over one and many ranges, against plain Python."""
 
 import random
 
@@ -6,7 +6,19 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayer.operators import tables
-from assayer.operators.ordered import list_parts, running
+from assayer.operators.ordered import list_parts, place, running, walk
+
+
+@pytest.fixture(params=[1, 4, 40])
+def ranges(spark, request):
+    """Number of ranges the rows are sorted into."""
+    settings = {"spark.sql.shuffle.partitions": str(request.param), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    yield request.param
+    for name, value in before.items():
+        spark.conf.set(name, value)
 
 
 @pytest.fixture(scope="module")
@@ -22,12 +34,11 @@ def _order(row):
 
 
 @pytest.mark.parametrize("inclusive", [True, False])
-@pytest.mark.parametrize("rows_per_split", [7, 50, 10_000])
-def test_running_values(skewed, inclusive, rows_per_split):
+def test_running_values(skewed, inclusive, ranges):
     rows, df = skewed
     out = running(
         df, ["key"], ["place", "id"], number="n", sums={"total": "amount"}, maxima={"top": "amount"},
-        inclusive=inclusive, rows_per_split=rows_per_split,
+        inclusive=inclusive,
     )
     found = {r.id: (r.n, r.total, r.top) for r in out.collect()}
     expected = {}
@@ -41,9 +52,22 @@ def test_running_values(skewed, inclusive, rows_per_split):
     assert out.columns == [*df.columns, "n", "total", "top"]
 
 
-def test_running_over_the_whole_table(skewed):
+def test_a_key_that_ties_in_its_order_lies_in_many_ranges(spark, ranges):
+    df = spark.range(400).select(F.lit(1).alias("key"), F.lit(7).alias("place"), "id", F.lit(2).alias("amount"))
+    placed = place(df, ["key"], ["place"])
+    assert placed.rows.select("__range").distinct().count() > ranges / 2
+    out = walk(placed, number="n", sums={"total": "amount"}).collect()
+    assert sorted((r.n, r.total) for r in out) == [(n, 2 * n) for n in range(1, 401)]
+
+
+def test_running_over_nothing(spark, ranges):
+    df = spark.createDataFrame([], "key string, place int, amount int")
+    assert running(df, ["key"], ["place"], number="n", sums={"total": "amount"}).collect() == []
+
+
+def test_running_over_the_whole_table(skewed, ranges):
     rows, df = skewed
-    out = running(df, [], ["id"], sums={"total": "amount"}, rows_per_split=40)
+    out = running(df, [], ["id"], sums={"total": "amount"})
     total, expected = 0, {}
     for row in sorted(rows, key=lambda r: r[2]):
         total += row[3]
@@ -51,9 +75,9 @@ def test_running_over_the_whole_table(skewed):
     assert {r.id: r.total for r in out.collect()} == expected
 
 
-def test_list_parts_are_whole_and_bounded(skewed):
+def test_list_parts_are_whole_and_bounded(skewed, ranges):
     rows, df = skewed
-    parts = list_parts(df, ["key"], "id", part_rows=11, rows_per_split=60).orderBy("key", "part").collect()
+    parts = list_parts(df, ["key"], "id", part_rows=11).orderBy("key", "part").collect()
     assert all(len(p.id) <= 11 for p in parts)
     joined = {}
     for part in parts:
@@ -71,13 +95,12 @@ def _merge(intervals):
     return merged
 
 
-@pytest.mark.parametrize("rows_per_split", [9, 10_000])
-def test_merge_intervals(spark, rows_per_split):
+def test_merge_intervals(spark, ranges):
     rng = random.Random(2)
     rows = [("hot" if rng.random() < 0.7 else "cold", s, s + rng.choice([0, 1, 3, 20])) for s in (rng.randrange(300) for _ in range(150))]
     rows += [("fixture", 1, 2), ("fixture", 2, 3), ("fixture", 10, 11)]
     df = spark.createDataFrame(rows, "owner string, start int, end int")
-    out = tables.merge_intervals(df, ["owner"], rows_per_split=rows_per_split)
+    out = tables.merge_intervals(df, ["owner"])
     found = sorted(tuple(r) for r in out.collect())
     assert found == sorted((k, *i) for k in {r[0] for r in rows} for i in _merge([r[1:] for r in rows if r[0] == k]))
     assert [f[1:] for f in found if f[0] == "fixture"] == [(1, 3), (10, 11)]
