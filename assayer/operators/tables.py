@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions.text import last_entries
 from assayer.operators.ordered import place, walk
-from assayer.session import cut_lineage
+from assayer.session import store_table
 
 
 def merge_intervals(df: DataFrame, keys: Sequence[str], start: str = "start", end: str = "end") -> DataFrame:
@@ -70,32 +70,85 @@ def parse_query_string(query: Column) -> Column:
     return F.map_from_entries(last_entries(pairs))
 
 
+def _weighed(edges: DataFrame) -> DataFrame:
+    """One edge per (node, dependency): the level of the node is at least ``least`` and ``steps`` above the dependency's."""
+    return edges.groupBy("node", "dependency").agg(F.max("least").alias("least"), F.max("steps").alias("steps"))
+
+
+def _contract(singles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Follows nodes of one dependency to the first that is not one of them; also those that end in a circle.
+
+    Pointers double their reach every round: "at least ``least``, and ``steps`` above" is again of that form
+    after another, so a chain of any kind takes the logarithm of its length.
+    """
+    singles = store_table(singles, "chains")
+    most = singles.count()
+    on = F.col("n.dependency") == F.col("d.node")
+    reach, open_ = 1, singles
+    done = singles.limit(0)
+    while True:
+        # pointers that left the chains are done; the others jump over what their dependency has reached
+        inside = open_.alias("n").join(singles.alias("d"), on, "left_semi")
+        ended = open_.alias("n").join(singles.alias("d"), on, "left_anti")
+        inside, done = store_table(inside, "chain-inside"), store_table(done.unionByName(ended), "chain-ends")
+        if reach > most or inside.isEmpty():
+            return done, inside
+        every = done.unionByName(inside)
+        open_ = inside.alias("n").join(every.alias("d"), on).select(
+            "n.node", "d.dependency", F.greatest("n.least", F.col("d.least") + F.col("n.steps")).alias("least"),
+            (F.col("n.steps") + F.col("d.steps")).alias("steps"),
+        )
+        reach *= 2
+
+
 def dependency_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Level of each node: 0 without dependencies, else one above its deepest one.
 
-    ``nodes(node)`` and ``edges(node, dependency)``. Every round releases the
-    nodes whose dependencies are all released and drops the edges that led to
-    them, so the work shrinks round by round; each round is checkpointed.
-    Ordering by (level, node) is a valid dependency order. Nodes on a cycle, or
-    behind one, are never released: their level is null.
+    ``nodes(node)`` and ``edges(node, dependency)``. Every round releases the nodes
+    that wait for nothing and drops the edges to them, and then contracts the
+    chains: a node that waits for one other follows it, by pointers that double
+    their reach, and is left out until the end. What is left are nodes that wait
+    for several others, so the rounds are the longest path among those. Every
+    table is stored, and only counts reach the driver. Ordering by (level, node)
+    is a valid dependency order. Nodes on a cycle, or behind one, are never
+    released: their level is null.
     """
-    links = cut_lineage(edges.select("node", "dependency").distinct())
-    everyone = (
-        nodes.select("node").union(links.select("node")).union(links.select("dependency")).distinct()
-    )
-    waiting = cut_lineage(everyone)
-    done = waiting.withColumn("level", F.lit(0)).limit(0)
-    level = 0
+    own = edges.select("node", "dependency").distinct()
+    everyone = store_table(nodes.select("node").union(own.select("node")).union(own.select("dependency")).distinct(), "nodes")
+    links = store_table(own.withColumns({"least": F.lit(0).cast("long"), "steps": F.lit(1).cast("long")}), "links")
+    waiting = everyone.withColumn("floor", F.lit(0).cast("long"))
+    levels, chains = waiting.select("node", F.col("floor").alias("level")).limit(0), []
     while True:
-        blocked = links.select("node").distinct()
-        marked = cut_lineage(waiting.join(blocked.withColumn("__blocked", F.lit(True)), "node", "left"))
-        free = marked.filter("__blocked is null").select("node")
-        if free.isEmpty():
+        counts = links.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+        marked = store_table(waiting.join(counts, "node", "left"), "waiting")
+        free = store_table(marked.filter("n IS NULL").select("node", F.col("floor").alias("level")), "released")
+        levels = levels.unionByName(free)
+        waiting = marked.filter("n IS NOT NULL").drop("n")
+        met = links.join(free.select(F.col("node").alias("dependency"), "level"), "dependency", "left")
+        risen = met.filter("level IS NOT NULL").groupBy("node").agg(F.max(F.greatest("least", F.col("level") + F.col("steps"))).alias("risen"))
+        waiting = store_table(waiting.join(risen, "node", "left").select("node", F.greatest("floor", "risen").alias("floor")), "waiting")
+        links = store_table(met.filter("level IS NULL").select("node", "dependency", "least", "steps"), "links")
+
+        alone = links.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select("node")
+        singles = links.join(alone, "node", "left_semi").join(waiting, "node").select(
+            "node", "dependency", F.greatest("least", "floor").alias("least"), "steps"
+        )
+        followed, circling = _contract(singles)
+        if free.isEmpty() and followed.isEmpty():
             break
-        done = done.unionByName(free.withColumn("level", F.lit(level)))
-        if level % 50 == 49:
-            done = cut_lineage(done)
-        waiting = marked.filter("__blocked").select("node")
-        links = cut_lineage(links.join(free.withColumnRenamed("node", "dependency"), "dependency", "left_anti"))
-        level += 1
-    return done.unionByName(waiting.withColumn("level", F.lit(None).cast("int")))
+        if not followed.isEmpty() or not circling.isEmpty():
+            chains.append(followed)
+            gone = followed.select("node").union(circling.select("node"))
+            waiting = store_table(waiting.join(gone, "node", "left_anti"), "waiting")
+            over = followed.select(F.col("node").alias("dependency"), F.col("dependency").alias("to"), F.col("least").alias("l"), F.col("steps").alias("s"))
+            kept = links.join(gone, "node", "left_anti").join(over, "dependency", "left").select(
+                "node", F.coalesce("to", "dependency").alias("dependency"),
+                F.greatest("least", F.col("l") + F.col("steps")).alias("least"), (F.col("steps") + F.coalesce("s", F.lit(0))).alias("steps"),
+            )
+            links = store_table(_weighed(kept), "links")
+    for chain in reversed(chains):
+        levels = store_table(levels, "levels")
+        ends = levels.select(F.col("node").alias("dependency"), "level")
+        after = chain.join(ends, "dependency").select("node", F.greatest("least", F.col("level") + F.col("steps")).alias("level"))
+        levels = levels.unionByName(after)
+    return everyone.join(levels, "node", "left").select("node", F.col("level").cast("int").alias("level"))

@@ -113,6 +113,41 @@ def test_dependency_levels(spark):
     assert levels == {"lonely": 0, "a": 0, "b": 1, "c": 2, "x": None, "y": None, "z": None}
 
 
+def _levels(nodes, edges):
+    """Levels by peeling, in plain Python."""
+    waits = {n: set() for n in nodes} | {n: set() for e in edges for n in e}
+    for node, dependency in edges:
+        waits[node].add(dependency)
+    level, out = 0, dict.fromkeys(waits)
+    while free := [n for n, on in waits.items() if not on]:
+        for node in free:
+            out[node] = level
+            del waits[node]
+        for on in waits.values():
+            on.difference_update(free)
+        level += 1
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_levels_of_random_graphs(spark, seed):
+    rng = random.Random(seed)
+    edges = [(f"n{a}", f"n{b}") for a in range(60) for b in rng.sample(range(60), rng.choice([0, 1, 1, 1, 2])) if seed % 2 == 0 or b < a]
+    got = tables.dependency_levels(spark.createDataFrame([("alone",)], "node string"), spark.createDataFrame(edges, "node string, dependency string"))
+    assert {r.node: r.level for r in got.collect()} == _levels(["alone"], edges)
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    stored, own = [], tables.store_table
+    monkeypatch.setattr(tables, "store_table", lambda df, purpose: stored.append(purpose) or own(df, purpose))
+    chain = spark.range(1, 10_000).select(F.col("id").alias("node"), (F.col("id") - 1).alias("dependency"))
+    both = chain.union(spark.createDataFrame([(20_000, 9_999), (20_000, 5_000), (20_001, 20_000), (30_000, 30_001), (30_001, 30_000), (30_002, 30_001)], chain.schema))
+    got = tables.dependency_levels(chain.select("node").limit(0), both)
+    levels = {r.node: r.level for r in got.collect()}
+    assert levels == {k: k for k in range(10_000)} | {20_000: 10_000, 20_001: 10_001, 30_000: None, 30_001: None, 30_002: None}
+    assert stored.count("chain-inside") < 40 and stored.count("released") < 10
+
+
 def test_small_tables(spark):
     empty = spark.createDataFrame([("k", None)], "key string, value int")
     row = tables.stats_summary(empty, ["key"], "value").first()
