@@ -7,9 +7,6 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from assayer.functions.binding import let
-from assayer.functions.text import lines_of, strip
-
 # The field names and phrases the tools print, in order of preference.
 COST_KEYS = ("cost_usd", "total_cost_usd", "cost")
 TOKENS_IN_KEYS = ("tokens_in", "input_tokens", "prompt_tokens")
@@ -22,8 +19,6 @@ USAGE_FORMATS = {
     "oracle": "zero",
 }
 
-USAGE_TYPE = "struct<cost_usd:double,tokens_in:bigint,tokens_out:bigint>"
-
 
 def _usage(cost: Column, tokens_in: Column, tokens_out: Column) -> Column:
     return F.struct(
@@ -33,99 +28,38 @@ def _usage(cost: Column, tokens_in: Column, tokens_out: Column) -> Column:
     )
 
 
-def _kind(scalar: Column) -> Column:
-    return F.substring_index(F.schema_of_variant(scalar), "(", 1)
-
-
-def _is_object(value: Column) -> Column:
-    return F.try_variant_get(value, "$", "map<string,variant>").isNotNull()
-
+def _member(container: Column, key: str, kind: str = "variant") -> Column:
+    return F.try_variant_get(container, f"$.{key}", kind)
 
-def _as(value: Column, kind: str) -> Column:
-    return F.try_variant_get(value, "$", kind)
 
+def _number(container: Column, key: str) -> Column:
+    """A number, or text that reads as one after an optional ``$``; booleans, lists and objects do not read as one."""
+    return F.regexp_replace(_member(container, key, "string"), r"^\$", "").try_cast("double")
 
-def _member(container: Column, key: str) -> Column:
-    return F.try_variant_get(container, f"$.{key}", "variant")
 
-
-def _number(value: Column) -> Column:
-    return (
-        F.when(_as(value, "string").isNull(), F.lit(None).cast("double"))
-        .when(_kind(value) == "STRING", F.regexp_replace(_as(value, "string"), r"^\$", "").try_cast("double"))
-        .when(_kind(value).isin("BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), _as(value, "double"))
-    )
-
-
-def _count(value: Column) -> Column:
-    digits = F.replace(_as(value, "string"), F.lit(","), F.lit(""))
-    return (
-        F.when(digits.isNull(), F.lit(None).cast("bigint"))
-        .when(_kind(value) == "BIGINT", _as(value, "bigint"))
-        .when((_kind(value) == "STRING") & digits.rlike(r"^\s*[+-]?[0-9]+\s*\z"), digits.try_cast("bigint"))
-    )
+def _count(container: Column, key: str) -> Column:
+    """An integer, or text that reads as one without its commas; other numbers are no counts."""
+    digits = F.replace(_member(container, key, "string"), F.lit(","), F.lit(""))
+    counts = F.schema_of_variant(_member(container, key)).isin("BIGINT", "STRING") & digits.rlike(r"^\s*[+-]?[0-9]+\s*\z")
+    return F.when(counts, digits.try_cast("bigint"))
 
 
 def number_member(container: Column, keys: tuple[str, ...] = COST_KEYS) -> Column:
     """First key holding a number, or text that reads as one after an optional ``$``."""
-    return F.coalesce(*[let(_member(container, key), _number) for key in keys])
+    return F.coalesce(*[_number(container, key) for key in keys])
 
 
 def count_member(container: Column, keys: tuple[str, ...]) -> Column:
     """First key holding an integer, or text that reads as one without its commas."""
-    return F.coalesce(*[let(_member(container, key), _count) for key in keys])
+    return F.coalesce(*[_count(container, key) for key in keys])
 
 
 def usage_container(payload: Column) -> Column:
     """Where the counts are: ``message.usage``, else ``usage``, else the payload itself."""
-    message = _member(payload, "message")
-    in_message = F.when(_is_object(message), _member(payload, "message.usage"))
+    in_message = F.when(_member(payload, "message", "map<string,variant>").isNotNull(), _member(payload, "message.usage"))
     return F.coalesce(in_message, _member(payload, "usage"), payload)
 
 
-def line_usage(line: Column) -> Column:
-    """Usage stated by one JSON line; every field null for anything but an object."""
-    def from_payload(payload: Column) -> Column:
-        return let(
-            usage_container(payload),
-            lambda container: _usage(
-                F.coalesce(number_member(payload), number_member(container)),
-                count_member(container, TOKENS_IN_KEYS),
-                count_member(container, TOKENS_OUT_KEYS),
-            ),
-        )
-
-    nothing = _usage(F.lit(None), F.lit(None), F.lit(None))
-    parsed = let(
-        F.try_parse_json(line), lambda payload: F.when(payload.isNotNull(), from_payload(payload)).otherwise(nothing)
-    )
-    return F.when(F.ltrim(line).startswith("{"), parsed).otherwise(nothing)
-
-
-def json_usage(text: Column) -> Column:
-    """Sum of the usage of all JSON lines of a text; a field no line states is null.
-
-    The whole text is one row already, so the lines are folded inside the row
-    and nothing is shuffled.
-    """
-    def total(stated: Column, field: str, kind: str) -> Column:
-        return F.aggregate(
-            stated,
-            F.lit(None).cast(kind),
-            lambda acc, usage: F.when(
-                usage[field].isNotNull(), F.coalesce(acc, F.lit(0).cast(kind)) + usage[field]
-            ).otherwise(acc),
-        )
-
-    objects = F.filter(F.transform(lines_of(text), strip), lambda line: line.startswith("{"))
-    return let(
-        F.transform(objects, line_usage),
-        lambda stated: _usage(
-            total(stated, "cost_usd", "double"), total(stated, "tokens_in", "bigint"), total(stated, "tokens_out", "bigint")
-        ),
-    )
-
-
 def _first_group(text: Column, pattern: str) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
 
@@ -144,18 +78,6 @@ def usage_format(adapter: Column) -> Column:
     return F.coalesce(*branches)
 
 
-def parse_usage(adapter: Column, stdout: Column, stderr: Column) -> Column:
-    """Usage by the way each tool reports it; both captured streams are read."""
-    text = F.concat_ws("\n", F.coalesce(stdout, F.lit("")), F.coalesce(stderr, F.lit("")))
-    form = usage_format(adapter)
-    return (
-        F.when(form == "json", json_usage(text))
-        .when(form == "text", text_usage(text))
-        .when(form == "zero", _usage(F.lit(0.0), F.lit(0), F.lit(0)))
-        .otherwise(_usage(F.lit(None), F.lit(None), F.lit(None)))
-    )
-
-
 def non_negative(usage: Column) -> Column:
     """Usage with negative fields turned to null (they are reported by rule V20)."""
     def keep(field: str) -> Column:

@@ -9,9 +9,10 @@ from assayer.functions import text as texts
 from assayer.functions import usage
 from assayer.operators import tool_output
 from assayer.operators.scrubbing import registered_secrets, scrub_with_registry
+from assayer.operators.usage import json_usage as json_output_usage
+from assayer.operators.usage import session_usage, with_line_usage
 from assayer.plans.registry import derive, plain, query
 from assayer.plans.trees import redact_sql
-from assayer.session import spread
 
 # Registry: a few word fragments of different length and the keys found in the documents.
 _REGISTRY = """
@@ -139,13 +140,12 @@ _OUT = "CASE WHEN form IN (0, 2, 7) THEN event_id END"
 
 @query("N07_cost_keys", f"SELECT event_id, {_COST} AS cost_usd FROM {plain(_JSON_LINES)}")
 def cost_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(derive(spark, sf_dir, _JSON_LINES)).select("event_id", usage.line_usage(F.col("line"))["cost_usd"].alias("cost_usd"))
+    return with_line_usage(derive(spark, sf_dir, _JSON_LINES), "line").select("event_id", "cost_usd")
 
 
 @query("N08_token_keys", f"SELECT event_id, {_IN} AS tokens_in, {_OUT} AS tokens_out FROM {plain(_JSON_LINES)}")
 def token_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stated = spread(derive(spark, sf_dir, _JSON_LINES)).select("event_id", usage.line_usage(F.col("line")).alias("u"))
-    return stated.select("event_id", "u.tokens_in", "u.tokens_out")
+    return with_line_usage(derive(spark, sf_dir, _JSON_LINES), "line").select("event_id", "tokens_in", "tokens_out")
 
 
 @query(
@@ -176,8 +176,8 @@ def _plus(first: str, second: str) -> str:
         FROM {plain(_JSON_LINES)}""",
 )
 def json_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    total = spread(derive(spark, sf_dir, _LOGS)).select("event_id", usage.json_usage(F.col("log")).alias("u"))
-    return total.select("event_id", F.round("u.cost_usd", 6).alias("cost_usd"), "u.tokens_in", "u.tokens_out")
+    total = json_output_usage(derive(spark, sf_dir, _LOGS), ["event_id"], "log")
+    return total.withColumn("cost_usd", F.round("cost_usd", 6))
 
 
 _ADAPTERS = "CASE user_id % 6 WHEN 0 THEN 'aider' WHEN 1 THEN 'codex' WHEN 2 THEN 'claude' WHEN 3 THEN 'oracle' WHEN 4 THEN 'pi' ELSE 'unknown' END"
@@ -193,8 +193,7 @@ _MIXED = f"""SELECT event_id, user_id, value, {_ADAPTERS} AS adapter,
        CASE user_id % 6 WHEN 3 THEN 0 WHEN 0 THEN 7 END AS tokens_out FROM events""",
 )
 def usage_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = usage.parse_usage(F.col("adapter"), F.col("stdout"), F.col("stderr"))
-    return spread(derive(spark, sf_dir, _MIXED)).select("event_id", parsed.alias("u")).select("event_id", "u.*")
+    return session_usage(derive(spark, sf_dir, _MIXED), ["event_id"])
 
 
 _TOOLS = """

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assayer.functions import keys, metrics, paths, text, usage
+from assayer.operators import usage as usage_tables
 from assayer.operators import tables, tool_output
 
 
@@ -159,9 +160,17 @@ def test_version_text(value):
         ("", (None, None, None)),
     ],
 )
-def test_json_usage(value, sample, expected):
-    found = value(usage.json_usage(F.lit(sample)))
-    assert (found.cost_usd, found.tokens_in, found.tokens_out) == expected
+def test_json_usage(spark, sample, expected):
+    found = usage_tables.json_usage(spark.createDataFrame([(1, sample)], "id int, log string"), ["id"], "log").collect()
+    assert [tuple(r) for r in found] == [(1, *expected)]
+
+
+def test_json_usage_is_read_without_lambdas(spark):
+    logs = spark.createDataFrame([(1, '{"cost":1}'), (2, None)], "id int, log string")
+    found = usage_tables.json_usage(logs, ["id"], "log")
+    assert {tuple(r) for r in found.collect()} == {(1, 1.0, None, None), (2, None, None, None)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan.lower() and plan.lower().count("parsejson") == 1, plan
 
 
 def test_text_usage(value):
@@ -169,12 +178,14 @@ def test_text_usage(value):
     assert (found.cost_usd, found.tokens_in, found.tokens_out) == (1.75, 320, 2010)
 
 
-def test_usage_by_tool_and_negative_values(value):
-    zero = value(usage.parse_usage(F.lit("oracle"), F.lit("cost 9"), F.lit(None)))
-    assert (zero.cost_usd, zero.tokens_in) == (0.0, 0)
-    negative = usage.parse_usage(F.lit("pi"), F.lit('{"cost":-1,"tokens_in":2}'), F.lit(""))
-    assert value(usage.any_negative(negative)) is True
-    assert value(usage.non_negative(negative)).cost_usd is None
+def test_usage_by_tool_and_negative_values(spark):
+    sessions = [(1, "oracle", "cost 9", None), (2, "pi", '{"cost":-1,"tokens_in":2}', ""), (3, "aider", "Cost: $1.75", "5 sent"), (4, "other", "cost 9", ""), (5, "codex", None, '{"cost":2}')]
+    found = usage_tables.session_usage(spark.createDataFrame(sessions, "id int, adapter string, stdout string, stderr string"), ["id"])
+    assert {r.id: (r.cost_usd, r.tokens_in, r.tokens_out) for r in found.collect()} == {
+        1: (0.0, 0, 0), 2: (-1.0, 2, None), 3: (1.75, 5, None), 4: (None, None, None), 5: (2.0, None, None)
+    }
+    checked = found.select("id", usage.any_negative(usage_tables.as_struct()).alias("bad"), usage.non_negative(usage_tables.as_struct()).alias("u"))
+    assert {r.id: (r.bad, r.u.cost_usd) for r in checked.collect()}[2] == (True, None)
 
 
 def test_tool_counts(value):
