@@ -14,12 +14,16 @@ from assayer.operators.quality import check_settings
 from assayer.session import spread
 
 # Adapter names and which of them accept a model, metadata keys that
-# must not change between a run and its resumption.
+# must not change between a run and its resumption, the keys of a suite run.
 ADAPTERS = {"oracle": False, "codex": True, "aider": False, "claude": False, "opencode": True, "pi": True}
 RESUME_KEYS = (
     "env_manifest_hash", "task_selection", "task_version_hashes_json", "agent_selection",
     "agent_env", "repeats", "sandbox",
 )
+SUITE_KEYS = (
+    "agent_selection", "agent_env", "corpus_dirty", "corpus_git_sha", "corpus_ref_kind", "created_at", "env_manifest_hash", "repeats", "run_id",
+    "sandbox", "schema_version", "suite_name", "suite_version", "task_selection", "task_version_hashes_json",
+)
 CELL_KEY = ("task_id", "agent", "repeat", "seed", "task_version_hash", "env_manifest_hash")
 
 
@@ -120,6 +124,41 @@ def suite_metadata(suites: DataFrame, suite: Sequence[str], values: Mapping[str,
     return suites.select(*suite, F.inline(pairs))
 
 
+def selection_metadata(tasks: DataFrame, agents: DataFrame, suite: Sequence[str]) -> DataFrame:
+    """What each suite run selects, as the JSON texts that its metadata hold.
+
+    ``tasks(suite, task_id, task_version_hash, position)`` and ``agents(suite,
+    agent, position)`` in the order of the selection. Quoting is done per row, so
+    a suite's lists are only joined.
+    """
+    def quoted(name: str) -> Column:
+        return F.regexp_replace(F.to_json(F.array(name)), r"^\[|\]$", "")
+
+    def listed(pieces: Column) -> Column:
+        return F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list(F.struct("position", pieces.alias("text"))))["text"], ", "), F.lit("]"))
+
+    hashed = F.struct("task_id", F.concat(quoted("task_id"), F.lit(": "), quoted("task_version_hash")).alias("text"))
+    by_task = tasks.groupBy(*suite).agg(
+        listed(quoted("task_id")).alias("task_selection"),
+        F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_set(hashed))["text"], ", "), F.lit("}")).alias("task_version_hashes_json"),
+    )
+    by_agent = agents.groupBy(*suite).agg(listed(quoted("agent")).alias("agent_selection"))
+    return by_task.join(by_agent, list(suite), "full_outer")
+
+
+def build_metadata(suites: DataFrame, tasks: DataFrame, agents: DataFrame, suite: Sequence[str]) -> DataFrame:
+    """The metadata rows of new suite runs: every key of ``SUITE_KEYS``, one row each.
+
+    ``suites`` has the suite columns and those keys that are not selections;
+    flags become ``true`` or ``false``, times are given as text. A suite without
+    tasks or agents selects none.
+    """
+    chosen = suites.join(selection_metadata(tasks, agents, suite), list(suite), "left")
+    none = {"task_selection": "[]", "agent_selection": "[]", "task_version_hashes_json": "{}"}
+    values = {key: F.coalesce(key, F.lit(none[key])) if key in none else F.col(key) for key in SUITE_KEYS}
+    return suite_metadata(chosen, suite, values)
+
+
 def parse_agents(text: Column) -> Column:
     """Names of a comma-separated list, trimmed, without empties; null when none is left."""
     names = F.filter(F.transform(F.split(text, ","), strip), lambda name: name != "")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions.paths import basename, name_globs_to_regex, stem, unsafe_glob_reason, unsafe_reason
-from assayer.schemas import CATEGORIES, CHECK_SPEC, CHECK_TYPES, ERROR_KINDS, LIMITS, SYMBOL_KINDS, TASK
+from assayer.schemas import CATEGORIES, CHECK_SPEC, CHECK_TYPES, ENV_MODES, ERROR_KINDS, LIMITS, SANDBOXES, SYMBOL_KINDS, TASK
 
 # Name patterns, length and number bounds, archive entry kinds.
 ID_PATTERN = r"^[a-z0-9][a-z0-9-]{2,79}\z"
@@ -308,6 +308,32 @@ def suite_rules() -> dict[str, Column]:
     }
 
 
+# The settings' bounds.
+SETTING_BOUNDS = {
+    "base_seed": (0, None), "parallel": (1, 128), "default_repeats": (1, 100), "inline_diff_max_bytes": (0, 1048576),
+}
+PROVIDER_PARALLEL = (1, 100)
+
+
+def settings_rules() -> dict[str, Column]:
+    """V21: settings rows with the columns of ``SETTING_BOUNDS``, ``sandbox``, ``agent_env`` and ``providers(name, max_parallel)``."""
+    def bound(name: str, low: int, high: int | None) -> Column:
+        value = F.col(name)
+        return F.when(value.isNull() | (value < low) | (F.lit(False) if high is None else value > high), F.lit(f"{name} out of range"))
+
+    def provider(item: Column) -> Column:
+        return F.when(~item["max_parallel"].between(*PROVIDER_PARALLEL), F.concat(F.lit("max_parallel out of range: "), item["name"]))
+
+    known = {"sandbox": SANDBOXES, "agent_env": ENV_MODES}
+    return {
+        "V21": F.coalesce(
+            *[bound(name, *bounds) for name, bounds in SETTING_BOUNDS.items()],
+            *[F.when(~F.coalesce(F.col(name).isin(*kinds), F.lit(False)), F.lit(f"unknown {name}")) for name, kinds in known.items()],
+            _each(F.col("providers"), provider),
+        )
+    }
+
+
 def check_settings(parallel: int = 4, repeats: int = 1, inline_diff_max_bytes: int = 65536) -> None:
     """V21: bounds of the parameters callers pass."""
     for name, value, low, high in (

@@ -325,6 +325,26 @@ def suite_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.validate(derive(spark, sf_dir, _SUITES), ["c_custkey"], quality.suite_rules()).select("c_custkey", "message")
 
 
+_SETTINGS = """
+SELECT c_custkey, c_custkey % 13 - 1 AS base_seed, c_custkey % 131 AS parallel, 1 + c_nationkey * 5 AS default_repeats, CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE c_custkey * 5000 END AS inline_diff_max_bytes,
+       CASE WHEN c_custkey % 19 = 0 THEN 'vm' ELSE 'docker' END AS sandbox, CASE WHEN c_custkey % 23 = 0 THEN NULL ELSE 'host' END AS agent_env,
+       array(named_struct('name', c_mktsegment, 'max_parallel', c_nationkey), named_struct('name', 'second', 'max_parallel', CAST(NULL AS INT)),
+             named_struct('name', 'third', 'max_parallel', c_custkey % 113)) AS providers
+FROM {customer}"""
+
+
+@query(
+    "V21_settings_bounds",
+    """SELECT * FROM (SELECT c_custkey, CASE WHEN c_custkey % 13 - 1 < 0 THEN 'base_seed out of range' WHEN c_custkey % 131 NOT BETWEEN 1 AND 128 THEN 'parallel out of range'
+       WHEN 1 + c_nationkey * 5 > 100 THEN 'default_repeats out of range' WHEN c_custkey % 17 = 0 OR c_custkey * 5000 > 1048576 THEN 'inline_diff_max_bytes out of range'
+       WHEN c_custkey % 19 = 0 THEN 'unknown sandbox' WHEN c_custkey % 23 = 0 THEN 'unknown agent_env'
+       WHEN c_nationkey < 1 THEN 'max_parallel out of range: ' || c_mktsegment WHEN c_custkey % 113 NOT BETWEEN 1 AND 100 THEN 'max_parallel out of range: third' END AS message
+       FROM customer) WHERE message IS NOT NULL""",
+)
+def settings_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.validate(derive(spark, sf_dir, _SETTINGS), ["c_custkey"], quality.settings_rules()).select("c_custkey", "message")
+
+
 _TASK_FILES = """
 SELECT 'tasks/t' || CAST(p_partkey AS STRING) || '/task.yaml' AS path, p_partkey,
        CASE p_partkey % 50 WHEN 0 THEN 'id: [unclosed' WHEN 1 THEN '- a' || chr(10) || '- b' ELSE

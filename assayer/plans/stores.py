@@ -148,19 +148,51 @@ def set_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("suite", "key", "value")
 
 
+# A customer is a suite run: its orders are the tasks, their priorities the agents.
+_SUITE_RUNS = """
+SELECT c_custkey AS suite, CASE WHEN c_custkey % 2 = 0 THEN 'isolated' ELSE 'host' END AS agent_env, c_custkey % 3 = 0 AS corpus_dirty, sha1(c_name) AS corpus_git_sha,
+       'git' AS corpus_ref_kind, '2024-01-01T00:00:00Z' AS created_at, sha2(c_mktsegment, 256) AS env_manifest_hash, 1 + c_nationkey AS repeats, c_name AS run_id,
+       CASE c_custkey % 3 WHEN 0 THEN 'process' WHEN 1 THEN 'bwrap' ELSE 'docker' END AS sandbox, '1.0.0' AS schema_version, c_mktsegment AS suite_name,
+       '0.1.' || CAST(c_nationkey AS STRING) AS suite_version FROM {customer}"""
+_SUITE_TASKS = """
+SELECT o_custkey AS suite, 'o"' || CAST(o_orderkey AS STRING) AS task_id, sha2(CAST(o_orderkey AS STRING), 256) AS task_version_hash, o_orderkey AS position FROM {orders}"""
+_SUITE_AGENTS = "SELECT o_custkey AS suite, o_orderpriority AS agent, min(o_orderkey) AS position FROM {orders} GROUP BY o_custkey, o_orderpriority"
+_TASK_TEXT = """'"o\\"' || o_orderkey || '"'"""
+_SUITE_KEYS_SQL = f"""
+WITH t AS (SELECT o_custkey AS suite, '[' || string_agg({_TASK_TEXT}, ', ' ORDER BY o_orderkey) || ']' AS tasks,
+                  '{{' || string_agg({_TASK_TEXT} || ': "' || sha256(CAST(o_orderkey AS VARCHAR)) || '"', ', ' ORDER BY 'o"' || o_orderkey) || '}}' AS hashes
+           FROM orders GROUP BY o_custkey),
+a AS (SELECT suite, '[' || string_agg('"' || agent || '"', ', ' ORDER BY position) || ']' AS agents
+      FROM (SELECT o_custkey AS suite, o_orderpriority AS agent, min(o_orderkey) AS position FROM orders GROUP BY ALL) GROUP BY suite),
+s AS (SELECT c_custkey AS suite, [coalesce(agents, '[]'), CASE WHEN c_custkey % 2 = 0 THEN 'isolated' ELSE 'host' END, CAST(c_custkey % 3 = 0 AS VARCHAR), sha1(c_name),
+        'git', '2024-01-01T00:00:00Z', sha256(c_mktsegment), CAST(1 + c_nationkey AS VARCHAR), c_name,
+        CASE c_custkey % 3 WHEN 0 THEN 'process' WHEN 1 THEN 'bwrap' ELSE 'docker' END, '1.0.0', c_mktsegment, '0.1.' || c_nationkey, coalesce(tasks, '[]'),
+        coalesce(hashes, '{{}}')] AS texts
+      FROM customer LEFT JOIN t ON t.suite = c_custkey LEFT JOIN a ON a.suite = c_custkey)
+SELECT suite, unnest([{", ".join(f"'{key}'" for key in planning.SUITE_KEYS)}]) AS key, unnest(texts) AS value FROM s"""
+
+
+def suite_run_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(suite, key, value) of all suite runs."""
+    suites, tasks, agents = (derive(spark, sf_dir, text) for text in (_SUITE_RUNS, _SUITE_TASKS, _SUITE_AGENTS))
+    return planning.build_metadata(suites, tasks, agents, ["suite"])
+
+
+@query("K04_suite_metadata", _SUITE_KEYS_SQL)
+def suite_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suite_run_metadata(spark, sf_dir)
+
+
 @query(
-    "K04_suite_metadata",
-    """SELECT c_custkey, key, CASE key WHEN 'repeats' THEN CAST(c_nationkey AS VARCHAR) WHEN 'run_id' THEN c_name
-       WHEN 'schema_version' THEN '1.0.0' ELSE c_mktsegment END AS value
-       FROM customer, (SELECT unnest(['repeats', 'run_id', 'schema_version', 'suite_name']) AS key)""",
+    "J12_resumed_suites",
+    f"""SELECT suite, key, value AS stored_value, CASE WHEN key = 'repeats' THEN '3' ELSE 'process' END AS current_value FROM ({_SUITE_KEYS_SQL})
+        WHERE (key = 'repeats' AND value <> '3') OR (key = 'sandbox' AND value <> 'process')""",
 )
-def suite_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    suites = derive(spark, sf_dir, "SELECT c_custkey, c_name, c_nationkey, c_mktsegment FROM {customer}")
-    values = {
-        "repeats": F.col("c_nationkey"), "run_id": F.col("c_name"), "schema_version": F.lit("1.0.0"),
-        "suite_name": F.col("c_mktsegment"),
-    }
-    return planning.suite_metadata(suites, ["c_custkey"], values)
+def resumed_suites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suites that cannot be resumed with three repeats in a plain process, and why."""
+    stored, other = suite_run_metadata(spark, sf_dir), derive(spark, sf_dir, _SUITE_RUNS).withColumns({"repeats": F.lit(3), "sandbox": F.lit("process"), "run_id": F.lit("new")})
+    tasks, agents = derive(spark, sf_dir, _SUITE_TASKS), derive(spark, sf_dir, _SUITE_AGENTS)
+    return planning.metadata_mismatch(stored, planning.build_metadata(other, tasks, agents, ["suite"]), ["suite"])
 
 
 # Saved versions of cells: an order line is a save of its (order, line) cell on its ship date.
