@@ -121,6 +121,22 @@ def ancestors(path: Column) -> Column:
     )
 
 
+def module_and_parents(module: Column) -> Column:
+    """A dotted module name and every package above it."""
+    parts = F.split(module, r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "."))
+
+
+def glob_head(pattern: Column) -> Column:
+    """Directory that everything a glob matches lies below: what it names before its first wildcard; '' is the root."""
+    return F.regexp_extract(F.regexp_extract(pattern, r"(?s)^[^*?\[]*", 0), r"(?s)^(.*)/", 1)
+
+
+def tree_glob_normal(pattern: Column) -> Column:
+    """A tree glob without the empty and ``.`` segments that its matching ignores."""
+    return F.array_join(F.filter(F.split(pattern, "/"), lambda part: ~part.isin("", ".")), "/")
+
+
 def name_glob_regex(pattern: str) -> str:
     """Java regex of a glob whose ``*`` also crosses ``/`` (shell name matching)."""
     return r"\A" + re.sub(r"\\Z\Z", r"\\z", fnmatch.translate(pattern))

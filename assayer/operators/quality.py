@@ -176,7 +176,7 @@ def leaked_terms(prompts: DataFrame, hidden: DataFrame, prefix: str) -> DataFram
     """V13: prompts that mention hidden material by name.
 
     Two fixed terms are tested in place; the stems of a task's hidden files
-    come by an equi-join on the task.
+    come as one list, so a prompt is never copied for them.
     """
     prompt = F.lower("prompt")
 
@@ -184,8 +184,11 @@ def leaked_terms(prompts: DataFrame, hidden: DataFrame, prefix: str) -> DataFram
         return F.when(F.contains(prompt, F.lower(term)), F.concat(F.lit("prompt mentions forbidden term: "), term))
 
     fixed_terms = validate(prompts, ["task_id"], {"V13": F.coalesce(message(F.lit("hidden")), message(F.lit(prefix)))})
-    stems = hidden.select("task_id", stem(F.col("path")).alias("term")).distinct()
-    by_stem = validate(prompts.join(stems, "task_id"), ["task_id"], {"V13": message(F.col("term"))})
+    stems = hidden.groupBy("task_id").agg(F.collect_set(stem(F.col("path"))).alias("__terms"))
+    said = prompts.join(stems, "task_id").select(
+        "task_id", F.explode(F.filter("__terms", lambda term: F.contains(prompt, F.lower(term)))).alias("__term")
+    )
+    by_stem = validate(said, ["task_id"], {"V13": F.concat(F.lit("prompt mentions forbidden term: "), "__term")})
     return fixed_terms.unionByName(by_stem).distinct()
 
 

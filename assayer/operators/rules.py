@@ -20,16 +20,19 @@ from assayer.functions.paths import (
     TEST_CONFIG_NAMES,
     ancestors,
     basename,
+    glob_head,
     has_excluded_segment,
     inside_path,
     is_python_source,
+    module_and_parents,
     name_globs_to_regex,
+    tree_glob_normal,
     tree_globs_to_regex,
 )
 from assayer.operators.source_code import symbols
 from assayer.operators.tool_output import junit_totals, mypy_outcome, pytest_outcome, ruff_outcome
 
-# Text that weakens a test configuration, and its size limit.
+# Text that weakens a test configuration.
 SABOTAGE_PATTERNS = ("addopts", "--ignore", "python_files =", "testpaths =", "filterwarnings")
 
 HEAD = ("tree_id", "position", "name", "type", "required", "weight")
@@ -121,16 +124,26 @@ def _with_counts(specs: DataFrame, violations: DataFrame) -> DataFrame:
     return specs.join(counts, ["tree_id", "position"], "left").withColumn("found", F.coalesce("found", F.lit(0)))
 
 
-def _forbidden_changes(specs: DataFrame, changes: DataFrame) -> DataFrame:
-    """Changed paths that a check forbids: equi-join on the tree, one regex per check.
+def _reached(rows: DataFrame, rules: DataFrame, globs: Column, to_regex: Callable[[str], Column]) -> DataFrame:
+    """Rules with the ``path`` of each row that one of their globs reaches, once per rule and path.
 
-    The specification side is a few rows per tree; skewed trees are split by the
-    adaptive join because all their rows are on the changes side.
+    A glob is keyed by the directory it names before its first wildcard, a path by
+    the directories it lies in, so a rule on one directory never meets the rest of
+    a tree. Of each rule's globs with one directory there is one regex.
     """
-    rules = specs.filter(F.size("forbid_changes") > 0).select(
-        *HEAD, name_globs_to_regex("forbid_changes").alias("__regex")
+    keyed = rules.select("tree_id", "position", F.explode(globs).alias("__glob")).withColumn("__head", glob_head(F.col("__glob")))
+    heads = keyed.groupBy("tree_id", "position", "__head").agg(F.collect_list("__glob").alias("__globs")).select(
+        "tree_id", "position", "__head", to_regex("__globs").alias("__regex")
     )
-    return changes.join(rules, "tree_id").filter(F.rlike("path", F.col("__regex")))
+    placed = rows.select("tree_id", "path", F.explode(ancestors(F.col("path"))).alias("__head"))
+    hits = placed.join(heads, ["tree_id", "__head"]).filter(F.rlike("path", F.col("__regex"))).select("tree_id", "position", "path").distinct()
+    return hits.join(rules, ["tree_id", "position"])
+
+
+def _forbidden_changes(specs: DataFrame, changes: DataFrame) -> DataFrame:
+    """Changed paths that a check forbids."""
+    rules = specs.filter(F.size("forbid_changes") > 0).select(*HEAD, "forbid_changes")
+    return _reached(changes, rules, F.col("forbid_changes"), name_globs_to_regex)
 
 
 def integrity_violations(specs: DataFrame, evidence: Evidence) -> DataFrame:
@@ -221,12 +234,10 @@ def _glob_candidates(specs: DataFrame, evidence: Evidence) -> DataFrame:
     """Files other than ``in_file`` that a check's forbidden globs reach."""
     rules = specs.filter(F.size("forbid_in_globs") > 0).select(
         "tree_id", "position", "name", "symbol", F.col("kind").alias("symbol_kind"),
-        inside_path(F.col("in_file")).alias("in_path"), tree_globs_to_regex("forbid_in_globs").alias("__regex"),
+        inside_path(F.col("in_file")).alias("in_path"), F.transform("forbid_in_globs", tree_glob_normal).alias("globs"),
     )
     plain = evidence.files.filter((F.col("kind") == "file") & ~has_excluded_segment(F.col("path"))).select("tree_id", "path")
-    return plain.join(rules, "tree_id").filter(
-        F.rlike("path", F.col("__regex")) & ~F.col("path").eqNullSafe(F.col("in_path"))
-    )
+    return _reached(plain, rules, F.col("globs"), tree_globs_to_regex).filter(~F.col("path").eqNullSafe(F.col("in_path")))
 
 
 def ast_defines_violations(specs: DataFrame, evidence: Evidence) -> DataFrame:
@@ -306,17 +317,17 @@ def _import_scope(specs: DataFrame, evidence: Evidence) -> tuple[DataFrame, Data
 def ast_no_import_violations(specs: DataFrame, evidence: Evidence) -> DataFrame:
     """Each forbidden import as ``path:module`` or ``path:module.name``."""
     one, all_files = _import_scope(specs, evidence)
-    found = evidence.parsed.select(
-        "tree_id", "path", F.inline("imports").alias("ord", "imported", "imported_name")
-    )
+    # a rule on a module is met by the module and those below it, so imports are keyed by their module and its parents
+    imports = evidence.parsed.select("tree_id", "path", F.inline("imports").alias("ord", "imported", "imported_name"))
+    found = imports.withColumn("module", F.explode(module_and_parents(F.col("imported"))))
     rule = import_violates(F.col("imported"), F.col("imported_name"), F.col("module"), F.col("names"))
     text = F.concat(
         "path", F.lit(":"), "imported",
         F.when(F.col("imported_name").isNotNull(), F.concat(F.lit("."), F.col("imported_name"))).otherwise(""),
     )
     sources = evidence.files.filter(is_python_source(F.col("path"), F.col("kind"))).select("tree_id", "path")
-    in_one = found.join(one.withColumn("path", inside_path(F.col("in_file"))), ["tree_id", "path"])
-    in_all = found.join(sources, ["tree_id", "path"], "left_semi").join(all_files, "tree_id")
+    in_one = found.join(one.withColumn("path", inside_path(F.col("in_file"))), ["tree_id", "path", "module"])
+    in_all = found.join(all_files, ["tree_id", "module"]).join(sources, ["tree_id", "path"], "left_semi")
     return in_one.unionByName(in_all, allowMissingColumns=True).filter(rule).select(
         *HEAD[:3], text.alias("violation")
     )

@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions.keys import canonical_json
-from assayer.functions.paths import EXCLUDED_DIRS, ancestors, has_excluded_segment
+from assayer.functions.paths import EXCLUDED_DIRS, has_excluded_segment
 from assayer.functions.text import scrub
 from assayer.operators.ordered import list_parts
 from assayer.operators.scrubbing import scrub_with_registry
+from assayer.session import store_table
 
 # Prefix lengths of the hashed path at which a tree's entries are folded, widest first.
 FOLD_LEVELS = (5, 2, 0)
@@ -200,13 +201,17 @@ def task_version_hash(parts: DataFrame, keys: Sequence[str] = ("task_id",)) -> D
 def nearest_marked_dir(changed: DataFrame, marked_dirs: DataFrame) -> DataFrame:
     """Deepest directory with a marker file at or above each changed path, distinct.
 
-    ``marked_dirs`` has one ``dir`` per row. The best directory per path is found
-    by a partial maximum before the shuffle, so busy directories do not pile up.
+    ``marked_dirs`` has one ``dir`` per row. Paths climb together, a directory a
+    round: those that are marked are done, the others go on as their different
+    parents, so no directory is looked up twice and the root at most once. The
+    rounds are the depth of the deepest path, and shrink quickly.
     """
-    found = (
-        changed.select("path", F.explode(ancestors(F.col("path"))).alias("dir"))
-        .join(marked_dirs.select("dir").distinct(), "dir", "inner")
-        .groupBy("path")
-        .agg(F.max(F.struct(F.length("dir").alias("depth"), F.col("dir").alias("dir"))).alias("best"))
-    )
-    return found.select("best.dir").distinct().orderBy("dir")
+    marked = store_table(marked_dirs.select("dir").distinct(), "marked-dirs")
+    found, left = marked.limit(0), changed.select(F.col("path").alias("dir")).distinct()
+    while True:
+        left = store_table(left, "unmarked-dirs")
+        found = found.unionByName(left.join(marked, "dir", "left_semi"))
+        above = left.filter("dir <> ''").join(marked, "dir", "left_anti")
+        if above.isEmpty():
+            return found.distinct().orderBy("dir")
+        left = above.select(F.regexp_extract("dir", "(?s)^(.*)/", 1).alias("dir")).distinct()

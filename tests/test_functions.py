@@ -220,6 +220,15 @@ def test_large_junit_is_counted_unless_a_limit_is_set(value):
     assert (found.tests, found.problem) == (1, None)
 
 
+def test_glob_heads_and_module_parents(value):
+    heads = {"lib/*.py": "lib", "*.txt": "", "a/b/c.txt": "a/b", "a/b*/c": "a", "**/x": "", "x": "", "a/[bc]/d": "a", "a?/b": "", "": ""}
+    for pattern, head in heads.items():
+        assert value(paths.glob_head(F.lit(pattern))) == head
+    assert value(paths.tree_glob_normal(F.lit("./lib//*.py"))) == "lib/*.py"
+    assert value(paths.module_and_parents(F.lit("a.b.c"))) == ["a", "a.b", "a.b.c"]
+    assert value(paths.module_and_parents(F.lit("os"))) == ["os"]
+
+
 def test_query_strings_match_urllib(value):
     random.seed(3)
     samples = ["?empty=&flag", "a=1&a=2", "x=%zz&y=%41%", "", "?", "=v", "k%20=a+b", "a=b=c", "é=%C3%A9"]

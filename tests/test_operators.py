@@ -329,6 +329,34 @@ def test_latest_rows_replace_older_ones(spark):
     assert rows(latest.latest_cell(merged), "agent", "score") == [("a", 0.5), ("b", 0.2)]
 
 
+def test_nearest_marked_directories(spark):
+    rng = random.Random(11)
+    names = ["a", "b", "c"]
+    paths_ = ["/".join(rng.choice(names) for _ in range(rng.randrange(1, 6))) for _ in range(60)] + ["top"]
+    for marked in (["a", "a/b", "b/c/a", "c"], ["", "b"], []):
+        found = snapshots.nearest_marked_dir(spark.createDataFrame([(p,) for p in paths_], "path string"), spark.createDataFrame([(m,) for m in marked * 2], "dir string"))
+        want = set()
+        for path in paths_:
+            above = [d for d in marked if path == d or d == "" or path.startswith(d + "/")]
+            want |= {max(above, key=len)} if above else set()
+        assert [r.dir for r in found.collect()] == sorted(want)
+
+
+def test_rules_meet_only_what_their_keys_name(spark):
+    files = [("t", p, "file", bytearray(b"import os.path\n"), "x") for p in ("app.py", "lib/a.py", "lib/sub/b.py", "tests/t.py", "lib.txt")]
+    table = spark.createDataFrame(files, "tree_id string, path string, kind string, content binary, text string")
+    changes = table.select("tree_id", "path", F.lit("added").alias("change"))
+    specs = spark.createDataFrame(
+        [("t", k, f"n{k}", "integrity", True, 1.0, globs) for k, globs in enumerate([["lib/*"], ["*.py", "lib/*.py", "lib/a.py"], ["lib/sub/b.py"], ["none/*"], ["lib*"]])],
+        "tree_id string, position int, name string, type string, required boolean, weight double, forbid_changes array<string>",
+    )
+    found = rules.integrity_violations(specs, rules.Evidence(changes=changes))
+    assert rows(found, "position", "violation") == sorted(
+        [(0, "lib/a.py"), (0, "lib/sub/b.py"), (2, "lib/sub/b.py")] + [(1, p) for p in ("app.py", "lib/a.py", "lib/sub/b.py", "tests/t.py")]
+        + [(4, p) for p in ("lib/a.py", "lib/sub/b.py", "lib.txt")]
+    )
+
+
 def test_saved_runs_replace_and_are_read_back(spark, tmp_path):
     path, kind = str(tmp_path / "runs"), "run_key string, created_at int, score double, checks array<struct<name:string, passed:boolean>>"
 
