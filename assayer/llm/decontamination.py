@@ -13,10 +13,12 @@ held against all documents. Per block:
    it: local alignment of words, one point a match, one off a mismatch or gap, over the item's number
    of words. Copies that were cut, edited or paraphrased in part keep most of the score.
 
-Words are runs of letters, digits and underscores in lower case. Defined cases: null or empty texts
-and items match nothing, nor does an item of fewer words than a seed; repeated rows are reported once
-per (doc_id, item); a null doc_id is an id like any other; an empty table on either side gives no
-rows. Other columns of the input are not read.
+Words are runs of letters, digits and underscores in lower case; characters of scripts that are written
+without spaces are words of their own. Defined cases: null or empty texts and items match nothing; an
+item of fewer words than a seed is one seed, of one word it only matches texts that are that word; an
+item asks for no more different seeds than it has; repeated rows are reported once per (doc_id, item);
+a null doc_id is an id like any other; an empty table on either side gives no rows. Other columns of the
+input are not read.
 """
 
 from __future__ import annotations
@@ -34,7 +36,9 @@ from assayer.llm.common import store
 
 ITEM_WORDS = 400_000  # words of the items held in memory at once: the bound of what every task gets
 
-_WORD = re.compile(r"\w+")
+# Thai to Lao, Myanmar, Khmer, radicals, kana and Han, which need no spaces between words.
+_UNSPACED = "\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u2E80-\u2FDF\u3005-\u3007\u3040-\u30FF\u31F0-\u31FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\uFF66-\uFF9F\U00020000-\U0003FFFF"
+_WORD = re.compile(rf"[^\W{_UNSPACED}]+|[{_UNSPACED}]")
 _PLACES = T.ArrayType(T.IntegerType())
 
 
@@ -47,28 +51,33 @@ class Seeds:
 
     def __init__(self, items: list[tuple[object, str | None]], n: int):
         self.n, self.vocabulary = n, {}
-        self.items, coded = [], []
+        self.items = []
         for item, text in items:
             found = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
-            if len(found) >= n:
+            if found:
                 self.items.append((item, np.array(found, np.int64)))
         self.base = len(self.vocabulary) + 1
-        for _, found in self.items:
-            coded.append(self.code(found))
-        self.codes = np.unique(np.concatenate(coded)) if coded else np.empty(0, np.int64)
-        own = [np.unique(np.searchsorted(self.codes, grams)) for grams in coded]
+        self.lengths = np.array([len(found) for _, found in self.items], np.int64)
+        self.sizes = np.minimum(self.lengths, n)  # words of an item's seeds
+        coded = [np.unique(self.code(found, size)) for (_, found), size in zip(self.items, self.sizes.tolist())]
+        # the seeds of each size are numbered after those of the smaller ones
+        self.codes, self.starts, total = {}, {}, 0
+        for size in np.unique(self.sizes).tolist():
+            self.codes[size], self.starts[size] = np.unique(np.concatenate([c for c, s in zip(coded, self.sizes) if s == size])), total
+            total += len(self.codes[size])
+        self.count = total
+        own = [self.starts[size] + np.searchsorted(self.codes[size], grams) for grams, size in zip(coded, self.sizes.tolist())]
         seed, item = np.concatenate([[], *own]).astype(np.int64), np.repeat(np.arange(len(own)), [len(g) for g in own])
         order = np.argsort(seed, kind="stable")
         # the items of seed s are owners[first[s] : first[s + 1]]
-        self.owners, self.first = item[order], np.searchsorted(seed[order], np.arange(len(self.codes) + 1))
-        self.lengths = np.array([len(found) for _, found in self.items], np.int64)
+        self.owners, self.first = item[order], np.searchsorted(seed[order], np.arange(total + 1))
         self.kinds = np.array([len(g) for g in own], np.int64)
 
-    def code(self, found: np.ndarray) -> np.ndarray:
-        """A number for each n-gram; negative if it holds a word no item has. Exact while base**n fits in 63 bits."""
-        count = len(found) - self.n + 1
+    def code(self, found: np.ndarray, size: int) -> np.ndarray:
+        """A number for each run of ``size`` words; negative if it holds a word no item has. Exact while base**size fits in 63 bits."""
+        count = len(found) - size + 1
         out, known = np.zeros(max(count, 0), np.int64), np.ones(max(count, 0), bool)
-        for k in range(self.n if count > 0 else 0):
+        for k in range(size if count > 0 else 0):
             out = out * self.base + found[k : k + count]
             known &= found[k : k + count] > 0
         return np.where(known, out, -1)
@@ -76,17 +85,24 @@ class Seeds:
     def find(self, text: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Words of a text, places of its seeds, and the seeds' numbers."""
         own = words(text)
-        codes = self.code(np.fromiter((self.vocabulary.get(w, 0) for w in own), np.int64, len(own)))
-        at = np.flatnonzero(codes >= 0)
-        if not len(self.codes) or not len(at):
-            return own, at[:0], at[:0]
-        seed = np.minimum(np.searchsorted(self.codes, codes[at]), len(self.codes) - 1)
-        hit = self.codes[seed] == codes[at]
-        return own, at[hit], seed[hit]
+        coded = np.fromiter((self.vocabulary.get(w, 0) for w in own), np.int64, len(own))
+        places, seeds = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for size, codes in self.codes.items():
+            if size == 1 and len(own) > 1:
+                continue  # a word alone is no copy of an item
+            mine = self.code(coded, size)
+            at = np.flatnonzero(mine >= 0)
+            seed = np.minimum(np.searchsorted(codes, mine[at]), len(codes) - 1)
+            hit = codes[seed] == mine[at]
+            places.append(at[hit])
+            seeds.append(seed[hit] + self.starts[size])
+        at, seed = np.concatenate(places), np.concatenate(seeds)
+        order = np.argsort(at, kind="stable")
+        return own, at[order], seed[order]
 
     def rare(self, counts: dict[int, int], share: float) -> np.ndarray:
         """Which owners hold their seed as a rare one, by the number of documents of each seed."""
-        held = np.array([counts.get(s, 0) for s in range(len(self.codes))], np.int64)
+        held = np.array([counts.get(s, 0) for s in range(self.count)], np.int64)
         held = np.repeat(held, np.diff(self.first))
         out = np.zeros(len(held), bool)
         order = np.argsort(self.owners, kind="stable")
@@ -105,10 +121,11 @@ class Seeds:
     def passages(self, at: np.ndarray, seed: np.ndarray, rare: np.ndarray, least: int, threshold: float) -> Iterator[tuple[int, int, int]]:
         """(item, from, to) word spans in which an item's different seeds lie near each other: enough rare ones, or many.
 
-        An edit of one word changes n seeds and takes two points, so a copy at ``threshold`` has ``many`` left.
+        An edit of one word changes as many seeds as a seed has words and takes two points, so a copy at
+        ``threshold`` has ``many`` left.
         """
-        need = np.minimum(least, self.lengths - self.n + 1)
-        many = np.maximum(need, self.kinds - self.n * np.floor((1 - threshold) * self.lengths / 2 + 1e-9).astype(np.int64))
+        need = np.minimum(least, self.kinds)
+        many = np.maximum(need, self.kinds - self.sizes * np.floor((1 - threshold) * self.lengths / 2 + 1e-9).astype(np.int64))
         _, place = self._places(np.unique(seed))
         items, which = np.unique(self.owners[place], return_inverse=True)
         enough = np.bincount(which, rare[place], len(items)) >= need[items]
@@ -118,8 +135,11 @@ class Seeds:
         which, place = self._places(seed)
         mine = np.isin(self.owners[place], chosen)
         which, place = which[mine], place[mine]
-        for item in chosen.tolist():
-            own = self.owners[place] == item
+        order = np.argsort(self.owners[place], kind="stable")
+        which, place = which[order], place[order]
+        edges = np.searchsorted(self.owners[place], [chosen, chosen + 1])
+        for item, a, b in zip(chosen.tolist(), *edges.tolist()):
+            own = slice(a, b)
             found = list(zip(at[which[own]].tolist(), seed[which[own]].tolist(), rare[place[own]].tolist()))
             reach = 2 * int(self.lengths[item])
             for some, wanted in (([f for f in found if f[2]], need[item]), (found, many[item])):

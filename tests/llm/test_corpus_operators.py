@@ -127,6 +127,49 @@ def test_many_copies_of_one_text_are_linked_without_holding_all_pairs(spark, mon
 ITEM = passage(11, 30, 3)
 
 
+@pytest.mark.parametrize(("item", "text", "found"), [
+    ("ha ha ha ha", "foo ha ha ha ha bar", True), ("new york", "in New York city", True), ("new york", "a new road to york", False),
+    ("今天天气很好我们去公园散步", "他说：今天天气很好，我们去公园散步吧。", True), ("今天天气很好我们去公园散步", "昨天下雨了", False),
+    ("yes", "yes it is", False), ("yes", " Yes! ", True), ("one two three", "zero one two three four", True), ("a b a b a b", "x a b a b a b y", True),
+])
+def test_short_repeated_and_unspaced_items(spark, item, text, found):
+    docs = spark.createDataFrame([(1, text), (2, "something else altogether"), (3, None)], "doc_id long, text string")
+    got = decontamination.matches(docs, spark.createDataFrame([(9, item)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id) for r in got] == [(1, 9)] * found
+
+
+def full_alignment(item, text):
+    """Best local alignment of two word lists, cell by cell, over the item's number of words."""
+    best, above = 0, [0] * (len(text) + 1)
+    for word in item:
+        row = [0]
+        for k, other in enumerate(text):
+            row.append(max(0, above[k] + (1 if word == other else -1), above[k + 1] - 1, row[k] - 1))
+        best, above = max(best, *row), row
+    return best / len(item)
+
+
+def test_leaks_equal_the_alignment_of_all_pairs(spark):
+    rng = np.random.default_rng(12)
+    vocabulary = [f"v{k}" for k in range(4000)]
+    items = [[str(w) for w in rng.choice(vocabulary, rng.integers(4, 40))] for _ in range(25)]
+    texts = []
+    for k in range(60):
+        own = [str(w) for w in rng.choice(vocabulary, 60)]
+        copied = list(items[k % 25])
+        for at in rng.permutation(len(copied))[: len(copied) * (k % 4) // 12]:
+            if k % 2:
+                copied[at] = "changed"
+            else:
+                copied[at : at + 1] = [copied[at], "added"] if k % 3 else []
+        texts.append(own[:30] + copied + own[30:] if k % 5 else own)
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontamination.matches(docs, bench).collect()}
+    want = {(d, i): s for d, t in enumerate(texts) for i, item in enumerate(items) if (s := full_alignment(item, t)) >= 0.5}
+    assert got == pytest.approx(want) and len(want) > 40
+
+
 def test_leaks_are_found_exact_cut_and_edited(spark):
     words = ITEM.split()
     edited = " ".join("changed" if i % 7 == 3 else w for i, w in enumerate(words))
