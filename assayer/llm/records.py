@@ -14,10 +14,12 @@ can be read in any order. Ids take two bytes if the vocabulary allows it.
 Files are written by the tasks themselves, over pyarrow's file systems, under names that carry the
 task attempt. The manifest, a stored table with one row per file, names the files of the attempts that
 count; what a lost or repeated attempt left is never read. Documents are dealt out by ranges of
-doc_id and sorted, so files in order hold ascending ids.
+doc_id and of a hash of the text, and sorted, so files in order hold ascending ids and rows that share
+an id lie in as many files as others. The number of files follows from the bytes of all texts. Texts
+that come more than once near each other are encoded once.
 
 Defined cases: a null text is empty and gives the end id alone; a null doc_id comes first and is
-written as missing; rows that share an id stand together, ordered by text; an empty table gives an
+written as missing; rows that share an id stand together, equal texts side by side; an empty table gives an
 empty manifest. Very long texts are one record. Other input columns are not read.
 """
 
@@ -41,6 +43,8 @@ from assayer.llm.common import store
 from assayer.session import shared_dir
 
 MASK_DELTA = 0xA282EAD8
+FILE_BYTES = 16 << 20  # text in a file, until there would be more than MAX_FILES of them
+MAX_FILES = 100_000
 CACHE = 300_000  # encoded pieces in a generation of a worker's memory
 _BATCH = 256
 _MARKS = ".,;:!?"
@@ -129,6 +133,14 @@ class Encoder:
         return [out[p] for p in pieces]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of every text; equal ones are encoded once."""
+        different = list(dict.fromkeys(texts))
+        if len(different) == len(texts):
+            return self._encode(texts)
+        known = dict(zip(different, self._encode(different)))
+        return [known[t] for t in texts]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         cut = [t.split(" ") for t in texts]
         first = self._known("first", [p[0] for p in cut], "")
         rest = self._known("rest", list(chain.from_iterable(p[1:] for p in cut)), " ")
@@ -178,7 +190,9 @@ def write(docs: DataFrame, vocabulary: str, end_id: int = 0, doc_id: str = "doc_
     system, base = fs.FileSystem.from_uri(folder)
     system.create_dir(base, recursive=True)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    total = rows.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    order = ["doc_id", F.xxhash64("text"), "text"]
+    ordered = rows.repartitionByRange(max(1, -(-total // max(FILE_BYTES, total // MAX_FILES))), *order[:2]).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs

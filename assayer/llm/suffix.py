@@ -335,9 +335,12 @@ def remove_repeats(docs: DataFrame, length: int = 50, part_bytes: int = PART_BYT
 
         return run
 
-    runs = table.groupBy("part").applyInArrow(first, RUN)
-    flags = store(runs.groupBy("bucket").applyInArrow(_compare, FLAGS), "suffix-flags")
+    def compared(names: DataFrame, level: int) -> DataFrame:
+        """Flags of a level's names; as many tasks as there are buckets, so a task's share does not grow with the data."""
+        return store(names.repartition(buckets[level], "bucket").groupBy("bucket").applyInArrow(_compare, FLAGS), "suffix-flags")
+
+    flags = compared(table.groupBy("part").applyInArrow(first, RUN), 1)
     for level in (2, 3):
         runs = table.groupBy("part").cogroup(flags.groupBy("part")).applyInArrow(advance(level), RUN)
-        flags = flags.union(store(runs.groupBy("bucket").applyInArrow(_compare, FLAGS), "suffix-flags"))
+        flags = flags.union(compared(runs, level))
     return table.groupBy("part").cogroup(flags.groupBy("part")).applyInArrow(advance(4), RESULT)
