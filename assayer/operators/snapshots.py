@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -187,6 +187,16 @@ def tree_hash(entries: DataFrame, keys: Sequence[str] = ("tree_id",)) -> DataFra
     return folded.select(*keys, F.col("__text").alias("tree_hash"))
 
 
+def part_hashes(entries: DataFrame, parts: Mapping[str, Column], keys: Sequence[str] = ("tree_id",)) -> DataFrame:
+    """One column of content hashes for each part of a group; a part is a condition on its entries.
+
+    Entries are tagged with the parts they belong to and folded once for all of them. A part without entries has none.
+    """
+    tags = F.filter(F.array(*[F.when(inside, F.lit(name)) for name, inside in parts.items()]), lambda tag: tag.isNotNull())
+    hashed = tree_hash(entries.withColumn("__part", F.explode(tags)), (*keys, "__part"))
+    return hashed.groupBy(*keys).agg(*[F.max(F.when(F.col("__part") == name, F.col("tree_hash"))).alias(name) for name in parts])
+
+
 def task_version_hash(parts: DataFrame, keys: Sequence[str] = ("task_id",)) -> DataFrame:
     """Hash that changes with any part of a task.
 

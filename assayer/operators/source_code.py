@@ -88,7 +88,8 @@ def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns = ["parsed", "test_functions", "asserts", "symbols", "imports"]
     names = {"symbols": ("ord", "kind", "name", "parameters", "returns"), "imports": ("ord", "module", "name")}
     for batch in batches:
-        facts = pd.DataFrame([_facts(text) for text in batch["text"]], columns=columns, index=batch.index)
+        known = {text: _facts(text) for text in batch["text"].unique()}  # trees share most of their files
+        facts = pd.DataFrame([known[text] for text in batch["text"]], columns=columns, index=batch.index)
         for column, keys in names.items():
             facts[column] = facts[column].map(lambda rows, keys=keys: [dict(zip(keys, row)) for row in rows])
         yield pd.concat([batch[["tree_id", "path"]], facts], axis=1)

@@ -54,20 +54,19 @@ ALL_SQL = " UNION ALL ".join(_expected(name) for name in _EXPECTED)
 _OUT = ("tree_id", "name", "required", "passed", "score", "error_kind")
 
 
-def _results(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
-    """Results of the named checks of every workspace."""
+def _results(spark: SparkSession, sf_dir: str, *names: str, store: bool = False) -> DataFrame:
+    """Results of the named checks of every workspace; ``store`` writes the evidence that they share once."""
     types = {check["name"]: check["type"] for check in workspaces.CHECKS}
     chosen = workspaces.specs(spark, sf_dir).filter(F.col("name").isin(*names))
-    many = len(names) > 3
-    chosen = cut_lineage(chosen) if many else chosen
-    evidence = workspaces.evidence(spark, sf_dir, store=many)
+    chosen = cut_lineage(chosen) if store else chosen
+    evidence = workspaces.evidence(spark, sf_dir, store=store)
     found = rules.run_checks(chosen, evidence, tuple({types[n] for n in names}))
     return found.withColumn("score", F.round("score", 10))
 
 
 def all_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results of every check of every workspace."""
-    return _results(spark, sf_dir, *_EXPECTED)
+    return _results(spark, sf_dir, *_EXPECTED, store=True)
 
 
 def _register(query_name: str, *names: str) -> None:
@@ -136,12 +135,12 @@ def required_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("U05_run_all_checks", f"SELECT {', '.join(_OUT)}, position FROM ({ALL_SQL})")
 def run_all_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _results(spark, sf_dir, *_EXPECTED).select(*_OUT, "position")
+    return _results(spark, sf_dir, *_EXPECTED, store=True).select(*_OUT, "position")
 
 
 @query("E03_check_failures", f"SELECT name, error_kind, count(*) AS checks, max(score) AS best_score FROM ({ALL_SQL}) WHERE error_kind <> 'none' GROUP BY name, error_kind")
 def check_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    failed = _results(spark, sf_dir, *_EXPECTED).filter("error_kind <> 'none'")
+    failed = _results(spark, sf_dir, *_EXPECTED, store=True).filter("error_kind <> 'none'")
     return failed.groupBy("name", "error_kind").agg(F.count(F.lit(1)).alias("checks"), F.max("score").alias("best_score"))
 
 
@@ -151,5 +150,5 @@ def check_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
         round(sum(weight * score) / sum(weight), 10) AS score, count(*) AS checks FROM ({ALL_SQL}) GROUP BY tree_id""",
 )
 def score_workspaces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = scoring.score_runs(_results(spark, sf_dir, *_EXPECTED), ["tree_id"])
+    scored = scoring.score_runs(_results(spark, sf_dir, *_EXPECTED, store=True), ["tree_id"])
     return scored.select("tree_id", "passed", F.round("score", 10).alias("score"), "checks")

@@ -174,19 +174,14 @@ def _tree_hash_sql(source: str) -> str:
 def task_version_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = snapshots.tree_entries(files(spark, sf_dir))
 
-    def part(rows: DataFrame, name: str) -> DataFrame:
-        return snapshots.tree_hash(rows).withColumnsRenamed({"tree_id": "task_id", "tree_hash": name})
-
-    parts = (
-        part(entries, "workspace_sha256")
-        .join(part(entries.filter(F.col("path").startswith("tests/")), "hidden"), "task_id", "left")
-        .join(part(entries.filter(F.col("path").startswith("src/")), "solution"), "task_id", "left")
-        .withColumns(
-            {
-                "prompt_sha256": F.sha2(F.concat(F.lit("prompt "), "task_id"), 256),
-                "spec_sha256": F.sha2(F.concat(F.lit("spec "), "task_id"), 256),
-            }
-        )
+    path = F.col("path")
+    parts = {"workspace_sha256": F.lit(True), "hidden": path.startswith("tests/"), "solution": path.startswith("src/")}
+    hashed = snapshots.part_hashes(entries, parts).withColumnRenamed("tree_id", "task_id")
+    parts = hashed.withColumns(
+        {
+            "prompt_sha256": F.sha2(F.concat(F.lit("prompt "), "task_id"), 256),
+            "spec_sha256": F.sha2(F.concat(F.lit("spec "), "task_id"), 256),
+        }
     )
     return snapshots.task_version_hash(parts)
 
