@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions import usage
 from assayer.functions.text import LINE_BREAK, strip
+from assayer.session import spread
 
 FIELDS = {"cost_usd": "double", "tokens_in": "bigint", "tokens_out": "bigint"}
 
@@ -41,14 +42,14 @@ def json_usage(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
 
     ``keys`` name an output; rows that share them are one output. Outputs without usage stay, with nulls.
     """
-    lines = df.select(*keys, F.explode_outer(F.split(F.col(column), LINE_BREAK)).alias("__line"))
+    lines = spread(df.select(*keys, column)).select(*keys, F.explode_outer(F.split(F.col(column), LINE_BREAK)).alias("__line"))
     return _sums(with_line_usage(lines.withColumn("__line", strip(F.col("__line"))), "__line"), keys)
 
 
 def session_usage(df: DataFrame, keys: Sequence[str], adapter: str = "adapter", stdout: str = "stdout", stderr: str = "stderr") -> DataFrame:
     """(keys, cost_usd, tokens_in, tokens_out) by the way each tool reports it; both captured streams are read."""
     text = F.concat_ws("\n", F.coalesce(stdout, F.lit("")), F.coalesce(stderr, F.lit("")))
-    formed = df.select(*keys, usage.usage_format(F.col(adapter)).alias("__form"), text.alias("__text"))
+    formed = spread(df.select(*keys, usage.usage_format(F.col(adapter)).alias("__form"), text.alias("__text")))
     # prose is read whole, JSON a line at a time, and the rest not at all
     pieces = F.when(F.col("__form") == "json", F.split("__text", LINE_BREAK)).when(F.col("__form") == "text", F.array("__text"))
     lines = formed.select(*keys, "__form", F.explode_outer(pieces).alias("__line"))
