@@ -35,6 +35,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from assayer.llm.common import ascii_words, store
 
@@ -224,9 +225,9 @@ def resample(docs: DataFrame, target: DataFrame, percent: int = 10, least_words:
     ``percent`` of the documents with at least ``least_words`` words are drawn. ``settings`` are those of :func:`score`.
     """
     scored = score(docs, target, **settings)
-    kind = scored.schema["id"].dataType.simpleString()
-    # what stands for a null id does not matter, as the flag comes first
-    tie = F.coalesce(F.col("id"), F.lit("" if kind == "string" else 0).cast(kind))
+    kind = scored.schema["id"].dataType
+    # what stands for a null id does not matter, as the flag comes first; ids that are no numbers are ordered as text
+    tie = F.coalesce("id", F.lit(0).cast(kind)) if isinstance(kind, NumericType) else F.coalesce(F.col("id").cast("string"), F.lit(""))
     order = {"down": -F.col("score"), "no_id": F.col("id").isNull().cast("int"), "tie": tie, "text_hash": F.col("text_hash"), "number": F.monotonically_increasing_id()}
     scored = store(scored.withColumns(order), "importance")
     able = F.col("n_words") >= least_words

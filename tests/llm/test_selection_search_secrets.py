@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -84,6 +85,15 @@ def test_ties_go_to_the_smaller_id_and_copies_are_counted(spark):
     assert sorted(-drawn["score"]) == [w[0] for w in want]
 
 
+@pytest.mark.parametrize("kind", ["string", "date", "decimal(20,0)"])
+def test_ids_of_other_types(spark, kind):
+    raw = spark.range(40).select((F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")) if kind == "date" else F.col("id")).cast(kind).alias("doc_id"), F.lit("one two three").alias("text"))
+    got = resampling.resample(raw.union(raw.limit(1).select(F.lit(None).cast(kind), "text")), raw.select("text"), percent=50, least_words=1)
+    assert sorted(r.rank for r in got.collect() if r.rank) == list(range(1, 21)) and got.schema["row"].dataType["doc_id"].dataType == raw.schema["doc_id"].dataType
+    found = search.search(search.build(raw), raw.limit(1).select(F.lit("q").alias("item_id"), "text"), 5).collect()
+    assert [r.doc_id for r in sorted(found, key=lambda r: r.rank)] == [r.doc_id for r in raw.orderBy("doc_id").limit(5).collect()]
+
+
 def test_resampling_of_nothing(spark, docs, nothing):
     assert resampling.resample(nothing, docs).count() == 0
     assert resampling.resample(docs, nothing.select("text"), percent=0).filter("rank IS NOT NULL").count() == 0
@@ -227,6 +237,13 @@ def test_literals_that_reach_a_sensitive_name(text, found):
     assert [text[a:b] for k, a, b, _, _ in secrets.spans(text) if k == "literal"] == found
 
 
+@pytest.mark.parametrize("piece", ["a-", "a1.", "x=", 'x="\\', "pwd: ", "x = y(", "x:int", "--a=", "<a>", "'a'+", "secret", "token=", "pwd=a::"])
+def test_long_monotonous_texts_take_linear_time(piece):
+    started = time.monotonic()
+    secrets.spans("token pwd =: </" + piece * (400_000 // len(piece)))
+    assert time.monotonic() - started < 20
+
+
 def test_scan_and_mask_every_row(spark, nothing):
     rows = [(1, "x token = \"ad9b9ab81594e97f2d82ac69ac6544142c4f1d40\" y"), (1, None), (None, ""), (2, "é" * 90_000 + " pwd='q9w8e7r6'"), (3, "clean text")]
     frame = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, spans string")
