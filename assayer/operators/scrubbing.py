@@ -11,8 +11,9 @@ A placeholder can itself complete a secret that was not in the text before. Whic
 property of the registry: the index holds the pairs, found by equi-joins as well, and a text's secrets are
 closed under them. Usually there are none.
 
-Texts travel only if one of their secrets was found in a table too large to broadcast; the anchors, the
-filter's hits and the found secrets are what is shuffled. Null texts stay null; rows are never dropped.
+Texts travel only if the found secrets are too many to broadcast; the anchors, the filter's hits and the
+found secrets are what is shuffled. Null texts stay null; a secret without a name leaves an empty placeholder;
+rows are never dropped.
 """
 
 from __future__ import annotations
@@ -91,7 +92,7 @@ def index_registry(secrets: DataFrame) -> Registry:
     """Indexes (value, name, position) rows; the index is stored and serves any number of tables and batches."""
     known = registered_secrets(secrets).select(
         F.monotonically_increasing_id().alias("number"), (-F.length("value")).alias("rank"), "value",
-        F.concat(F.lit("<"), F.col("name"), F.lit(">")).alias("placeholder"),
+        F.concat(F.lit("<"), F.coalesce("name", F.lit("")), F.lit(">")).alias("placeholder"),
     )
     known = store_table(known, "registry-values")
     windows = store_table(_secret_windows(known), "registry-windows")
