@@ -181,9 +181,10 @@ class Part:
         """Every document's removed spans and kept bytes."""
         starts = self.settled
         starts[self.open_at[self.open.smaller(flags.get(3, ()), self.buckets[3])]] = True
-        total = np.concatenate([[0], np.cumsum(starts, dtype=np.int32)])
-        here = np.arange(len(self.data) + 1)
-        gone = total[1:] > total[np.maximum(here[1:] - self.length, 0)]
+        # a byte goes if a removed string starts at it or at one of the length - 1 bytes before it
+        total = np.cumsum(starts, dtype=np.int32)
+        gone = total > 0
+        gone[self.length :] = total[self.length :] > total[: -self.length]
         for k, (a, b) in enumerate(zip(self.start.tolist(), self.stop.tolist())):
             own, body = gone[a:b], self.data[a:b]
             if own.any():
@@ -199,7 +200,7 @@ def _covered(n: int, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     depth = np.zeros(n + 1, np.int32)
     np.add.at(depth, starts, 1)
     np.add.at(depth, stops, -1)
-    return np.cumsum(depth[:-1], dtype=np.int32) > 0
+    return np.cumsum(depth[:-1], dtype=np.int32, out=depth[:-1]) > 0
 
 
 class _Names:
