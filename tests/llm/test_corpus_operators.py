@@ -321,6 +321,16 @@ def test_warc_round_trip(spark):
     assert warc.read(spark, warc.write(pages.limit(0))).count() == 0
 
 
+def test_files_close_by_bytes_and_revisits_name_their_record(spark):
+    rows = [(k, "u", f"{k} " + "page " * 40_000) for k in range(40)] + [(100 + k, f"v{k}", "copy " * 400) for k in range(3)]
+    folder = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), file_bytes=2 << 20)
+    files = [r.length for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder).select("length").collect()]
+    assert 3 <= len(files) <= 8 and max(files) < 3 << 20
+    parts = {r.page_id: r for r in warc.segments(spark, folder).filter("page_id >= 100").select("page_id", "record_id", "kind", "refers_to").collect()}
+    assert parts[102].kind == "response" and [parts[k].refers_to for k in (100, 101)] == [parts[102].record_id] * 2
+    assert {r.page_id: r.refers_to for r in warc.read(spark, folder).filter("record_type = 'revisit'").collect()} == {100: 102, 101: 102}
+
+
 def test_missing_segments_are_noticed(spark):
     folder = warc.write(spark.createDataFrame([(1, "u", "x" * 9000)], "page_id long, url string, html string"), segment_bytes=1000)
     parts = warc.segments(spark, folder)
