@@ -32,7 +32,7 @@ from assayer.llm.common import store
 from assayer.session import shared_dir
 
 SEGMENT_BYTES = 16 * 1024
-FILE_BYTES = 64 << 20  # a file is one row where it is read
+FILE_BYTES = 32 << 20  # a file is one row where it is read, so this bounds a task's memory
 CHUNK_BYTES = 4096
 REVISIT_BYTES = 1000
 
