@@ -11,7 +11,7 @@ from assayer.functions.keys import run_key, run_seed
 from assayer.functions.text import strip
 from assayer.operators.ordered import running
 from assayer.operators.quality import check_settings
-from assayer.session import spread
+from assayer.session import by_shuffle, spread
 
 # Adapter names and which of them accept a model, metadata keys that
 # must not change between a run and its resumption, the keys of a suite run.
@@ -50,13 +50,13 @@ def with_cell_key(cells: DataFrame) -> DataFrame:
 def completed(cells: DataFrame, runs: DataFrame, retry_errors: bool = False) -> DataFrame:
     """Cells whose exact key is already stored; crashed runs count unless retried."""
     done = runs.filter(F.col("error_kind") == "none") if retry_errors else runs
-    return cells.join(done.select("run_key"), "run_key", "left_semi")
+    return cells.join(by_shuffle(done.select("run_key")), "run_key", "left_semi")
 
 
 def pending(cells: DataFrame, runs: DataFrame, retry_errors: bool = False) -> DataFrame:
     """Cells still to run."""
     done = runs.filter(F.col("error_kind") == "none") if retry_errors else runs
-    return cells.join(done.select("run_key"), "run_key", "left_anti")
+    return cells.join(by_shuffle(done.select("run_key")), "run_key", "left_anti")
 
 
 def runnable(cells: DataFrame, skipped: DataFrame) -> DataFrame:
@@ -67,7 +67,7 @@ def runnable(cells: DataFrame, skipped: DataFrame) -> DataFrame:
 def plan_summary(cells: DataFrame, runs: DataFrame, skipped: DataFrame | None = None) -> DataFrame:
     """Planned, resumed and pending cells and the sum of their timeouts, in one row."""
     marked = cells.join(
-        runs.select("run_key").distinct().withColumn("__done", F.lit(True)), "run_key", "left"
+        by_shuffle(runs.select("run_key").distinct().withColumn("__done", F.lit(True))), "run_key", "left"
     )
     if skipped is None:
         marked = marked.withColumn("__skip", F.lit(False))

@@ -390,3 +390,19 @@ def test_hot_keys_are_reduced_before_the_shuffle(spark):
     df = spark.range(10).select((F.col("id") % 2).alias("k"), "id")
     plan = latest.latest(df, ["k"], [F.desc("id")])._jdf.queryExecution().executedPlan().toString()
     assert "row_number(), 1, Partial" in plan
+
+
+def _joins(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return "Broadcast" in plan, "SortMergeJoin" in plan
+
+
+def test_stored_keys_are_not_sent_through_the_driver(spark):
+    tasks = spark.createDataFrame([("t", 5)], "task_id string, timeout_s int")
+    cells = planning.with_cell_key(
+        planning.build_matrix(tasks, ["a", "b"], 2).withColumns({"task_version_hash": F.lit("v"), "env_manifest_hash": F.lit("e")})
+    )
+    runs = cells.filter("repeat = 0").select("run_key", F.lit("none").alias("error_kind"))
+    for found in (planning.completed(cells, runs), planning.pending(cells, runs), planning.plan_summary(cells, runs)):
+        assert _joins(found) == (False, True)
+    assert (planning.completed(cells, runs).count(), planning.pending(cells, runs).count()) == (2, 2)
