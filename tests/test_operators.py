@@ -406,3 +406,39 @@ def test_stored_keys_are_not_sent_through_the_driver(spark):
     for found in (planning.completed(cells, runs), planning.pending(cells, runs), planning.plan_summary(cells, runs)):
         assert _joins(found) == (False, True)
     assert (planning.completed(cells, runs).count(), planning.pending(cells, runs).count()) == (2, 2)
+
+
+def test_checks_do_not_send_trees_through_the_driver(spark):
+    from assayer.plans import workspaces
+
+    current = spark.sql("SELECT id AS tree_id, 'app.py' AS path, 'file' AS kind, 'import os.path' AS text, encode('import os.path', 'UTF-8') AS content FROM range(1, 2)")
+    facts = workspaces.parsed(current)
+    metrics = source_code.test_metrics(facts)
+    evidence = rules.Evidence(
+        files=current, changes=spark.sql("SELECT id AS tree_id, 'notes.txt' AS path, 'added' AS change FROM range(1, 2)"), base_metrics=metrics,
+        metrics=source_code.test_metrics(facts, metrics), parsed=facts,
+        outputs=spark.sql("SELECT id AS tree_id, 'types' AS name, '' AS stdout, 0 AS exit_code, false AS timed_out, false AS check_timed_out, '' AS junit FROM range(1, 2)"),
+    )
+    checks = F.from_json(F.lit(json.dumps(workspaces.CHECKS)), f"array<{CHECK_SPEC.simpleString()}>")
+    tasks = spark.range(1).select(
+        F.lit("t").alias("task_id"), F.array(F.lit("types")).alias("required_checks"), checks.alias("checks"), F.lit(60).alias("timeout_s"),
+        F.array().cast("array<string>").alias("editable_files"), F.lit(None).cast("struct<cpu_s:int,mem_mb:int,nproc:int,fsize_mb:int>").alias("limits"),
+    )
+    specs = rules.expand_specs(trees.with_defaults(tasks), spark.sql("SELECT id AS tree_id, 't' AS task_id FROM range(1, 2)")).checkpoint()
+    results, found = rules.run_checks(specs, evidence), rules.check_violations(specs, evidence)
+    assert _joins(results) == (False, True) and _joins(found) == (False, True)
+    assert {r.name for r in results.collect() if r.passed} == {"gone", "tamper", "types", "scope"}
+    assert {(r.name, r.violation) for r in found.collect()} == {("no_import", "app.py:os.path"), ("intact", "notes.txt")}
+
+
+def test_judged_runs_are_joined_by_shuffle(spark):
+    from assayer.plans.lifecycle import judge_runs
+
+    results = spark.sql("SELECT id AS tree_id, true AS required, true AS passed, 1.0D AS weight, 0.5D AS score FROM range(1, 2)")
+    sessions = spark.sql(
+        """SELECT id AS tree_id, 't' AS task_id, 'a' AS agent, 'codex' AS adapter, 'v' AS version_output, 0 AS repeat, 0 AS exit_code, false AS timed_out,
+           1.5D AS duration_s, '' AS stdout, '' AS stderr, CAST(NULL AS STRING) AS crash_detail FROM range(1, 2)"""
+    )
+    judged = judge_runs(results, sessions, spark.sql("SELECT id AS tree_id, 'app.py' AS path FROM range(1, 2)"))
+    assert _joins(judged) == (False, True)
+    assert judged.first().score == 0.5
