@@ -1,10 +1,11 @@
 """A keyed table that is saved in steps: the first row of each key, in a given order, is its state.
 
 A step is one folder, written by Spark's commit protocol and counted only once it is complete, so a step
-that was lost half-way is simply saved again and changes nothing. A step holds the first row per key of
-what it brought. Every ``merge_every`` steps it holds the whole state instead: the rows of the last such
-base and of the steps since, one per key. Readers open the last base and the steps after it, never more
-than ``merge_every`` folders however many steps there were, and older folders can be removed.
+that was lost half-way is simply saved again and changes nothing. A step holds the rows that it brought and
+is written where they are, without a shuffle. Every ``merge_every`` steps it holds the whole state instead:
+of the last such base, the steps since and its own rows the first per key, found in one shuffle. Readers open
+the last base and the steps after it, never more than ``merge_every`` folders however many steps there were,
+and rank their rows; older folders can be removed. Folders are compressed with zstd, which halves hashes in hex.
 
 The number of a step is the id of a stream's batch, or the next free one for a batch job. Rows carry it as
 ``step`` while they are ordered, so an order can prefer earlier or later arrivals.
@@ -57,10 +58,10 @@ def save(rows: DataFrame, path: str, keys: Sequence[str], order: Sequence[Column
     if step is None:
         step = max(_steps(spark, path), default=-1) + 1
     merging = step % merge_every == merge_every - 1
-    own = latest(rows.withColumn(STEP, F.lit(step).cast("long")), keys, order)
-    earlier = _open(spark, path, before=step) if merging else None
-    state = own if earlier is None else latest(earlier.unionByName(own), keys, order)
-    state.drop(STEP).write.mode("overwrite").parquet(f"{path}/{'base' if merging else 'part'}-{step}")
+    if merging:
+        own, earlier = rows.withColumn(STEP, F.lit(step).cast("long")), _open(spark, path, before=step)
+        rows = latest(own if earlier is None else earlier.unionByName(own), keys, order).drop(STEP)
+    rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{'base' if merging else 'part'}-{step}")
     return step
 
 

@@ -27,7 +27,7 @@ _ARRIVALS = 4
 
 
 def _play(rows: DataFrame, place: str, purpose: str, sink: Callable[[DataFrame, str, str], DataStreamWriter]) -> str:
-    """Lets a table arrive as JSON lines in the order of ``place`` and streams each arrival.
+    """Lets a table arrive as compressed JSON lines in the order of ``place`` and streams each arrival.
 
     The query stops and resumes from its checkpoint between arrivals, so each
     arrival is one micro-batch however many files it has.
@@ -35,7 +35,7 @@ def _play(rows: DataFrame, place: str, purpose: str, sink: Callable[[DataFrame,
     spark = rows.sparkSession
     folder, out = shared_dir(spark, purpose), shared_dir(spark, f"{purpose}-out")
     for arrival in range(_ARRIVALS):
-        rows.filter(F.expr(place) == arrival).write.mode("append").json(folder)
+        rows.filter(F.expr(place) == arrival).write.mode("append").option("compression", "gzip").json(folder)
         arriving = streams.stream_runs(spark, folder, rows.schema)
         sink(arriving, out, f"{out}-state").trigger(availableNow=True).start().awaitTermination()
     return out

@@ -141,3 +141,28 @@ def test_first_arrival_wins_however_late_a_row_comes(spark, tmp_path):
         _run(streams.first_wins(_source(spark, folder), out, state, ["run_key"], ["at"]))
     rows = streams.read_first(spark, out, ["run_key"], ["at"]).orderBy("run_key").collect()
     assert [(r.run_key, r.at, r.score) for r in rows] == [("a", 4, 0.25), ("b", 9_000_000, 0.5), ("c", 0, 0.75)]
+
+
+def test_a_step_is_written_where_its_rows_are(spark, tmp_path):
+    from assayer.operators import saved
+
+    path, order = str(tmp_path / "kept"), saved.newest_first("at")
+    rows = spark.range(0, 60, 1, 3).select((F.col("id") % 20).alias("key"), F.col("id").alias("at"))
+    for step in range(2):
+        saved.save(rows.withColumn("at", F.col("at") + 100 * step), path, ["key"], order, step, merge_every=2)
+    parts, base = (list((tmp_path / "kept" / name).glob("*.parquet")) for name in ("part-0", "base-1"))
+    assert len(parts) == 3 and all(".zstd." in f.name for f in [*parts, *base])
+    assert spark.read.parquet(f"{path}/base-1").count() == 20
+    assert {(r.key, r.at) for r in saved.read(spark, path, ["key"], order).collect()} == {(k, 140 + k) for k in range(20)}
+
+
+def test_arrivals_are_compressed(spark, tmp_path):
+    from assayer.plans import streams as plans
+
+    before = spark.conf.get("spark.checkpoint.dir")
+    rows = spark.range(8).select("id", F.lit("x" * 50).alias("text"))
+    out = plans._play(rows, "id % 4", "arrivals-test", plans._to_parquet)
+    assert spark.read.parquet(out).count() == 8
+    place = tmp_path.__class__(before.removeprefix("file:"))
+    names = [f.name for folder in place.glob("assayer-arrivals-test-*") for f in folder.glob("part-*.json*")]
+    assert names and all(name.endswith(".json.gz") for name in names)
