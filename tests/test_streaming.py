@@ -166,3 +166,15 @@ def test_arrivals_are_compressed(spark, tmp_path):
     place = tmp_path.__class__(before.removeprefix("file:"))
     names = [f.name for folder in place.glob("assayer-arrivals-test-*") for f in folder.glob("part-*.json*")]
     assert names and all(name.endswith(".json.gz") for name in names)
+
+
+def test_entities_of_a_bucket_keep_their_own_tapes(spark, tmp_path):
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    arrivals = ([(e, 1, "append", str(e)) for e in (None, 1, 2, 2**60 + 1)], [(1, 2, "undo", ""), (2, 3, "append", "c"), (2, 4, "append", "d"), (None, 5, "append", "n")])
+    for i, rows in enumerate(arrivals):
+        (source / f"{i}.json").write_text("\n".join(json.dumps(dict(zip(("entity", "position", "kind", "piece"), r))) for r in rows))
+        stream = spark.readStream.schema("entity long, position long, kind string, piece string").json(str(source))
+        _run(streams.write_live_counts(edits.replay_edits(stream, buckets=1), out, str(tmp_path / "state"), ["entity"]))
+    rows = streams.read_live_counts(spark, out, ["entity"]).collect()
+    assert {(r.entity, r.value, r.operations) for r in rows} == {(None, "Nonen", 2), (1, "", 2), (2, "2cd", 3), (2**60 + 1, str(2**60 + 1), 1)}
