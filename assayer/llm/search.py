@@ -41,8 +41,8 @@ from pyspark.sql import types as T
 
 from assayer.llm.common import ascii_words, store
 
-BLOCK_DOCS = 8192
-BLOCK_BYTES = 16 << 20  # text of a block, if it has more than one document
+BLOCK_DOCS = 4096
+BLOCK_BYTES = 8 << 20  # text of a block, if it has more than one document: bounds a worker's arrays
 CHUNK_BYTES = 1 << 20  # text of the queries that are searched together: the bound of what every task gets
 DAMPING = 20
 LENGTH_SHARE = 50

@@ -257,3 +257,11 @@ def test_scan_and_mask_every_row(spark, nothing):
     assert secrets.scan(nothing).count() == 0
     shown = found.filter("row.doc_id = 1 AND row.text IS NOT NULL").select(secrets.joined(F.col("spans"))).first()[0]
     assert shown == "assign:2:51,hex:11:51"
+
+
+def test_a_block_holds_a_bounded_text(spark):
+    docs = spark.range(0, 12, 1, 1).select(F.col("id").alias("doc_id"), F.expr("repeat('word ', 200000)").alias("text"))
+    index = search.build(docs)
+    sizes = [r.n for r in index.rows.filter("term IS NULL").select(F.size("ids").alias("n")).collect()]
+    assert sum(sizes) == index.documents == 12 and max(sizes) <= 8
+    assert index.terms == 12 * 200000
