@@ -25,12 +25,15 @@ empty manifest. Very long texts are one record. Other input columns are not read
 
 from __future__ import annotations
 
+import codecs
+import json
 import os
+import re
 import struct
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -47,8 +50,13 @@ FILE_BYTES = 16 << 20  # text in a file, until there would be more than MAX_FILE
 MAX_FILES = 100_000
 CACHE = 300_000  # encoded pieces in a generation of a worker's memory
 _BATCH = 256
-_MARKS = ".,;:!?"
 _LINE = 1000  # pieces the library sees in one text
+_WORDS = 100  # words the merges see in one text
+_HEAD = re.compile(r"[^\W\d_]+")
+_LINES = re.compile(r"[^\s\x1c-\x1f]+(?:\n[^\s\x1c-\x1f]+)+")
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_HIDDEN = [b for b in range(256) if b not in _SHOWN]
+BYTES = "".join(chr(b) if b in _SHOWN else chr(256 + _HIDDEN.index(b)) for b in range(256))  # a byte-level vocabulary's character of each byte
 _PROBES = ("a", "B7", "\u00e9", "\u4e2d", "'s", "x'", *"0!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 
 MANIFEST = "file_no int, data string, records long, tokens long"
@@ -83,9 +91,12 @@ class Encoder:
 
     A byte-level tokenizer cuts a text before a single space between two characters that are not
     white space, so the pieces between such spaces are encoded by the library once and remembered.
-    New pieces go to the library as the lines of a text, and the ids are cut at the line feed's, where
-    probes show that the vocabulary keeps lines apart. Texts with any other use of spaces go to the
-    library whole.
+    Where its own pattern cuts pieces further, so do we: at single line feeds, and behind a run of letters
+    that begins a piece. Such a run is one word to the pattern, so the library's merges see it without
+    the pattern's work, a hundred at once with a byte between them that no merge holds. What is a letter
+    says the library. Other new pieces go to the library as the lines of a text, and the ids are cut at the
+    line feed's, where probes show that the vocabulary keeps lines apart. Texts with any other use of
+    spaces go to the library whole.
     """
 
     _loaded: dict[str, Encoder] = {}
@@ -98,7 +109,8 @@ class Encoder:
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.feed = self.library(["\n"])[0]
         self.apart = {lead for lead in ("", " ") if self._keeps_lines_apart(lead)}
-        self.marks = dict(zip(_MARKS, self.library(list(_MARKS))))
+        self.letters: dict[str, bool] = {}
+        self.merges, self.gap = self._merges(path)
         self.memory: dict[str, tuple[dict, dict]] = {"first": ({}, {}), "rest": ({}, {})}
 
     @classmethod
@@ -108,6 +120,28 @@ class Encoder:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
+    def _merges(self, path: str):
+        """The library's tokenizer without its pattern, and a byte that no merge holds; None where a run of letters may be more than its merges."""
+        from tokenizers import Tokenizer
+
+        with open(path, encoding="utf-8") as file:
+            own = json.load(file)
+        model, cut = own["model"], own.get("pre_tokenizer") or {}
+        plain = (
+            model.get("type") == "BPE" and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+            and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))
+            and not any(own.get(k) for k in ("normalizer", "truncation", "padding")) and model["vocab"].keys() >= set(BYTES)
+        )
+        for token in own.get("added_tokens", ()):  # found in the text before the pattern cuts it
+            content = token["content"]
+            plain = plain and not (token["lstrip"] or token["rstrip"] or _HEAD.match(content) or any(map(str.isspace, content)))
+        if not plain or self.apart != {"", " "}:
+            return None, None
+        held = set(chain.from_iterable(chain.from_iterable(model["merges"])))
+        gap = next((chr(b) for b in range(32) if BYTES[b] not in held and chr(b) != "\n"), None)
+        bare = own | {"pre_tokenizer": None, "added_tokens": []}
+        return (Tokenizer.from_str(json.dumps(bare)), gap) if gap else (None, None)
+
     def library(self, texts: list[str]) -> list[bytes]:
         code = "H" if self.kind == "<u2" else "I"
         return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -132,6 +166,21 @@ class Encoder:
         out.update(zip(rest, self.library([lead + p for p in rest])))
         return [out[p] for p in pieces]
 
+    def letter(self, c: str) -> bool:
+        """Whether the vocabulary's pattern takes a character for a letter."""
+        if c not in self.letters:
+            self.letters[c] = len(self.tokenizer.pre_tokenizer.pre_tokenize_str("a" + c)) == 1
+        return self.letters[c]
+
+    def words(self, words: list[str], lead: str) -> dict[str, bytes]:
+        """Ids of runs of letters, each behind ``lead``, by the merges alone."""
+        parts = [words[at : at + _WORDS] for at in range(0, len(words), _WORDS)]
+        seen = [codecs.charmap_decode("".join([lead + w + self.gap for w in part]).encode(), "strict", BYTES)[0] for part in parts]
+        gap, code = self.merges.token_to_id(BYTES[ord(self.gap)]), "H" if self.kind == "<u2" else "I"
+        ids = b"".join([array(code, e.ids).tobytes() for e in self.merges.encode_batch_fast(seen, add_special_tokens=False)])
+        ends = (np.flatnonzero(np.frombuffer(ids, self.kind) == gap) * len(self.feed)).tolist()
+        return dict(zip(words, [ids[a:b] for a, b in zip([0, *[e + len(self.feed) for e in ends]], ends)], strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text; equal ones are encoded once."""
         different = list(dict.fromkeys(texts))
@@ -163,24 +212,49 @@ class Encoder:
         found = list(map(young.get, pieces))
         open_ = [k for k, ids in enumerate(found) if ids is None]
         new = {pieces[k] for k in open_}.difference(young)
-        for p in new.intersection(old):
-            young[p] = old[p]
-        new.difference_update(old)
-        plain = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
-        young.update(dict.fromkeys(new))
-        # letters and one mark after them are cut apart as well, so the letters are looked up alone
-        marked = [p for p in plain if p[-1] in _MARKS and p[:-1].isalpha()]
-        bare = set(plain).difference(marked).union(p[:-1] for p in marked if p[:-1] not in young)
-        bare = list(bare)
-        young.update(zip(bare, self.lines(bare, lead)))
-        for p in marked:
-            young[p] = young[p[:-1]] + self.marks[p[-1]]
+        again = [p for p in new if p in old] if old else []
+        young.update(zip(again, map(old.get, again)))
+        if len(again) < len(new):
+            self._learn(name, new.difference(again), lead, young)
         for k in open_:
             found[k] = young[pieces[k]]
         if len(young) > CACHE:
             self.memory[name] = ({}, young)
         return found
 
+    def _learn(self, name: str, new: set[str], lead: str, known: dict) -> None:
+        """Adds the ids of new pieces to ``known``, None for those that border on white space."""
+        words = set(filter(str.isalpha, new)) if self.merges else set()
+        rest = new.difference(words)
+        plain = [p for p in rest if p and not p[0].isspace() and not p[-1].isspace()]
+        known.update(dict.fromkeys(rest.difference(plain)))
+        if not self.merges:
+            known.update(zip(plain, self.lines(plain, lead)))
+            return
+        lines, marked, whole = [], [], []
+        for p in plain:
+            if "\n" in p and _LINES.fullmatch(p):
+                lines.append((p, *p.split("\n")))
+            elif (m := _HEAD.match(p)) and (head := m[0]).isalpha() and not (c := p[len(head)]).isspace() and not self.letter(c):
+                marked.append((p, head, p[len(head) :]))
+            else:
+                whole.append(p)
+        # a word is one only where the library itself takes all its characters for letters
+        words.update(head for _, head, _ in marked if head not in known)
+        other = {c for c in set("".join(words)) if not self.letter(c)}
+        if other:
+            whole += [p for p in words if p in new and not other.isdisjoint(p)] + [p for p, head, _ in marked if not other.isdisjoint(head)]
+            words = {p for p in words if other.isdisjoint(p)}
+            marked = [x for x in marked if other.isdisjoint(x[1])]
+        known.update(self.words(list(words), lead))
+        known.update(zip(whole, self.lines(whole, lead)))
+        for (p, head, _), ids in zip(marked, self._known("first", [tail for *_, tail in marked], "")):
+            known[p] = known[head] + ids
+        starts = self._known(name, [x[1] for x in lines], lead)
+        more = iter(self._known("first", list(chain.from_iterable(x[2:] for x in lines)), ""))
+        for x, ids in zip(lines, starts):
+            known[x[0]] = self.feed.join([ids, *islice(more, len(x) - 2)])
+
 
 def write(docs: DataFrame, vocabulary: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
     """Writes the token ids of all documents and returns the stored manifest."""

@@ -248,6 +248,29 @@ def test_encoder_equals_the_library():
     assert own.encode(samples) == own.encode(samples) == own.library(samples)
 
 
+def test_new_words_take_the_merges_alone():
+    own, seen = records.Encoder(BPE), []
+    texts = [" ".join(f"w{'abcdefghij'[k % 10] * (k % 7)}é{'klmnopqrst'[k // 10 % 10]}漢{'uvwxyz'[n % 6]}{mark}" for k in range(200)) for n, mark in enumerate((",", ".\nNext", "'s", "", "$$$\nx\ny"))]
+    # letters by one edition of Unicode only, digits that are no letters, white space inside, marks that combine
+    odd = ["a\u1c89b \u1c89b c\u1c89", "x² ²x y²z,", "a\tb c\x1cd", "e\u0301a b\u0301", "a\n b", "a\n\nb c\n", "b<|endoftext|>c d\n<|endoftext|>", "a\0b \0"]
+    want, through = own.library(texts + odd), own.library
+    own.library = lambda some: seen.extend(some) or through(some)
+    assert own.encode(texts) == want[:5] and sum(map(len, seen)) < 100 < sum(map(len, texts)) / 100
+    assert own.encode(odd) == want[5:] and own.encode(odd + texts) == want[5:] + want[:5]
+
+
+def test_a_vocabulary_of_another_kind_goes_by_the_library(tmp_path):
+    import json
+
+    with open(BPE, encoding="utf-8") as file:
+        kind = json.load(file)
+    kind["added_tokens"].append(kind["added_tokens"][0] | {"id": 50257, "content": "token,"})
+    (tmp_path / "own.json").write_text(json.dumps(kind), encoding="utf-8")
+    own = records.Encoder(str(tmp_path / "own.json"))
+    texts = ["a token, b", "a btoken,\nc,", "a token b,"]
+    assert own.merges is None and own.encode(texts) == own.library(texts)
+
+
 def test_damage_is_noticed():
     import io
 
