@@ -48,7 +48,8 @@ from assayer.session import shared_dir
 MASK_DELTA = 0xA282EAD8
 FILE_BYTES = 16 << 20  # text in a file, until there would be more than MAX_FILES of them
 MAX_FILES = 100_000
-CACHE = 300_000  # encoded pieces in a generation of a worker's memory
+CACHE = 600_000  # encoded pieces in a generation of a worker's memory
+_PIECE = 12  # characters of a remembered piece, on average; longer ones end a generation before
 _BATCH = 256
 _LINE = 1000  # pieces the library sees in one text
 _WORDS = 100  # words the merges see in one text
@@ -112,6 +113,7 @@ class Encoder:
         self.letters: dict[str, bool] = {}
         self.merges, self.gap = self._merges(path)
         self.memory: dict[str, tuple[dict, dict]] = {"first": ({}, {}), "rest": ({}, {})}
+        self.chars = {"first": 0, "rest": 0}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -218,8 +220,9 @@ class Encoder:
             self._learn(name, new.difference(again), lead, young)
         for k in open_:
             found[k] = young[pieces[k]]
-        if len(young) > CACHE:
-            self.memory[name] = ({}, young)
+        self.chars[name] += sum(map(len, new))
+        if len(young) > CACHE or self.chars[name] > CACHE * _PIECE:
+            self.memory[name], self.chars[name] = ({}, young), 0
         return found
 
     def _learn(self, name: str, new: set[str], lead: str, known: dict) -> None:

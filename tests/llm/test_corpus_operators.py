@@ -259,6 +259,15 @@ def test_new_words_take_the_merges_alone():
     assert own.encode(odd) == want[5:] and own.encode(odd + texts) == want[5:] + want[:5]
 
 
+def test_remembered_pieces_are_bounded_by_characters(monkeypatch):
+    monkeypatch.setattr(records, "CACHE", 100)
+    own = records.Encoder(BPE)
+    texts = [f"a {'xyz' * 300}{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10]} b{k % 7}," for k in range(100)]
+    for text in texts:
+        assert own.encode([text]) == own.library([text])
+        assert sum(map(len, [*own.memory["rest"][0], *own.memory["rest"][1]])) < 5000
+
+
 def test_a_vocabulary_of_another_kind_goes_by_the_library(tmp_path):
     import json
 
